@@ -24,7 +24,6 @@ KEEP_QUALITY = 0.5
 KEEP_TOXICITY = 0.5
 #: A lexicon word's log-odds, two standard errors below the estimate, is at least so much.
 LEXICON_ODDS = 1.0
-SURE_ODDS = 2.0
 #: At most so many terms are weighed for the lexicon.
 CANDIDATES = 3000
 #: Lengths of the stems that count as terms, beside whole words.
@@ -83,10 +82,10 @@ class Logistic:
         return np.clip(np.c_[(x - self.mean) / self.sd, np.ones(len(x))] @ self.w, -30, 30)
 
 
-def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool], sure: list[str]) -> dict[str, float]:
+def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> dict[str, float]:
     """Greedily the terms that each add most toxic documents, less three times the others that they add; at least two.
 
-    And the terms of `sure` that no other document has.
+    Terms that only go with chosen ones are left out: clean documents may have them too.
     """
     yes: dict[str, set[int]] = {w: set() for w in found}
     no: dict[str, set[int]] = {w: set() for w in found}
@@ -105,8 +104,7 @@ def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool], sure
         seen |= yes.pop(best)
         wrong |= no[best]
         yes = {w: d for w, d in yes.items() if gain[w] >= 2}
-    # words that say the same again help where a text has few of them
-    return chosen | {w: found[w] for w in sure if not no[w]}
+    return chosen
 
 
 class Model:
@@ -151,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         for r in rows.where("t is not null").select("t", F.array_intersect("words", candidates).alias("w")).toArrow().to_pylist():
             hits.append(set(r["w"]))
             toxic.append(r["t"] == 1)
-    lexicon = cover({w: r.odds for w, r in found.items()}, hits, toxic, [w for w, r in found.items() if r.low >= SURE_ODDS and not w.endswith("*")])
+    lexicon = cover({w: r.odds for w, r in found.items()}, hits, toxic)
     known = ~np.isnan(q)
     quality = Logistic(x[known], q[known])
     toxicity = Logistic(np.zeros((0, 2)), np.zeros(0))
