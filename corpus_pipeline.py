@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import ball_simhash, language_id, pareto_mix, quality_eb, residual_packing
-from factloom.llm.common import cut, read
+from factloom.llm.common import aside, cut, read
 from factloom.llm.queries import TOKENIZER, site
 
 #: A document whose language is predicted with less than this goes, as does one without any letter.
@@ -14,13 +14,14 @@ SURE = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = quality_eb.classify(docs, read(spark, sf_dir, "labels"), *site(docs), columns=docs.columns)
-    return out.where("keep").select(*docs.columns)
+    docs, own = aside(docs)
+    return own(quality_eb.classify(docs, read(spark, sf_dir, "labels"), *site(docs), columns=docs.columns).where("keep"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, own = aside(docs)
     found = language_id.identify(docs, language_id.fit(docs))
-    return found.where((found.lang_pred != language_id.UNKNOWN) & (found.score >= SURE)).select(*docs.columns)
+    return own(found.where((found.lang_pred != language_id.UNKNOWN) & (found.score >= SURE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pareto_mix.repeated(docs)
+    docs, own = aside(docs)
+    return own(pareto_mix.repeated(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
