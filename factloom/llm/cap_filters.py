@@ -46,7 +46,7 @@ def plan(n: int, dim: int, threshold: float = THRESHOLD, miss: float = MISS, buc
     mean = threshold * (height + 1 / (z * math.sqrt(dim)) * 0.8)
     both = max(0.02, 1 - NormalDist(mean, math.sqrt((1 - threshold**2) / dim)).cdf(height))
     wanted = math.log(miss) / math.log(1 - both)
-    total = 1.5 * wanted / share  # more: the number of filters varies from vector to vector
+    total = 2.5 * wanted / share  # more: the number of filters varies from vector to vector
     blocks = 2 if total <= 300_000 else 4
     return {"height": height, "blocks": blocks, "code": math.ceil(total ** (1 / blocks))}
 

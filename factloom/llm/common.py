@@ -86,3 +86,9 @@ def append_columns(df: DataFrame, of: str, f: Callable[[list], dict[str, list]],
 def joined_by_site(df: DataFrame, sites: DataFrame, on: Column, bound: int = 50_000) -> DataFrame:
     """Left join with a table of sites: broadcast only if it has been counted to be within the bound."""
     return df.join(F.broadcast(sites) if sites.count() <= bound else sites, on, "left")
+
+
+def aside(df: DataFrame, needed: tuple[str, ...] = DOCUMENT_COLUMNS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its other columns under names that clash with nothing, and what selects all columns under their own names again."""
+    names = {c: c if c in needed else f"__aside_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import append_columns, batch
+from .common import append_columns, batch, joined_by_site
 
 UNKNOWN = "und"
 DIM = 4096
@@ -99,8 +99,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from documents with a language whose crc32(id as text) mod 3 is not 1."""
     bucket = F.crc32(F.col(id_col).cast("string")) % 3
     known = docs.where((bucket != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    ids = known.select(F.col(lang_col).cast("string").alias("__lang"), F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col)).alias("__hash"))
+    # a share of the hashes that about twice as many documents of the language have, so that no task ranks more than those
+    shares = ids.groupBy(F.col("__lang").alias("l")).agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
+    near = joined_by_site(ids, shares, F.expr("__lang = l")).where((F.shiftrightunsigned("__hash", 33) / 2.0**31 < F.col("share")))
     order = Window.partitionBy("__lang").orderBy("__hash", "__id")
-    picked = known.select(F.col(lang_col).cast("string").alias("__lang"), F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col)).alias("__hash")).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language).select("__id").distinct()
+    picked = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language).select("__id").distinct()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
