@@ -3,7 +3,7 @@
 Filter directions are a structured random product code: the space, after a random rotation, is cut into blocks, each
 block has a small code of random unit vectors, and a direction is one codeword of every block. A vector is
 list-decoded to all directions whose inner product with it reaches the cap's height, by extending partial tuples only
-while the rest can still make up the height. Vectors meet in their filters (within a label), and those that meet
+while the rest can still make up the height; one that exceeds only a few gets the ones nearest to it. Vectors meet in their filters (within a label), and those that meet
 are verified by the exact cosine.
 
 How many directions there are and how high the caps lie follow from the number of vectors by one formula (plan):
@@ -29,6 +29,8 @@ from .common import batch, connected_components, cut
 THRESHOLD = 0.93
 MISS = 1e-4
 BUCKET = 16
+#: A vector that exceeds fewer directions gets so many that it comes nearest to.
+LEAST = 10
 BLOCK = 1500
 SEED = 20
 
@@ -46,7 +48,7 @@ def plan(n: int, dim: int, threshold: float = THRESHOLD, miss: float = MISS, buc
     mean = threshold * (height + 1 / (z * math.sqrt(dim)) * 0.8)
     both = max(0.02, 1 - NormalDist(mean, math.sqrt((1 - threshold**2) / dim)).cdf(height))
     wanted = math.log(miss) / math.log(1 - both)
-    total = 2.5 * wanted / share  # more: the number of filters varies from vector to vector
+    total = 1.5 * wanted / share  # more: the number of filters varies from vector to vector
     blocks = 2 if total <= 300_000 else 4
     return {"height": height, "blocks": blocks, "code": math.ceil(total ** (1 / blocks))}
 
@@ -71,9 +73,28 @@ def decode(x: np.ndarray, height: float, rotation: np.ndarray, codes: list[np.nd
         reach = p[rows] + (score + left)[:, None] >= height
         r, c = np.nonzero(reach)
         score, key, rows = score[r] + p[rows[r], c], key[r] * len(codes[i]) + c, rows[r]
+    few = np.flatnonzero(np.bincount(rows, minlength=len(x)) < LEAST)
+    if len(few):
+        kept = ~np.isin(rows, few)
+        low, low_key = highest([p[few] for p in parts], LEAST)
+        rows, key = np.concatenate([rows[kept], few[low]]), np.concatenate([key[kept], low_key])
+        order = np.lexsort((key, rows))
+        rows, key = rows[order], key[order]
     return rows, key
 
 
+def highest(parts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of the n directions with the highest inner products; each is made of a block's n highest codewords."""
+    score, key = np.zeros((len(parts[0]), 1)), np.zeros((len(parts[0]), 1), np.int64)
+    for p in parts:
+        top = np.argsort(-p, axis=1, kind="stable")[:, :n]
+        score = (score[:, :, None] + np.take_along_axis(p, top, 1)[:, None, :]).reshape(len(p), -1)
+        key = (key[:, :, None] * p.shape[1] + top[:, None, :]).reshape(len(p), -1)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :n]
+        score, key = np.take_along_axis(score, best, 1), np.take_along_axis(key, best, 1)
+    return np.repeat(np.arange(len(key)), key.shape[1]), key.ravel()
+
+
 def unit_rows(vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x /= np.abs(x).max(1, keepdims=True)
