@@ -10,7 +10,7 @@ from factloom.llm.common import aside, cut, read
 from factloom.llm.queries import TOKENIZER, site
 
 #: A document whose language is predicted with less than this goes, as does one without any letter.
-SURE = 0.5
+SURE = 0.25
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
