@@ -1 +1,12 @@
 
+
+from . import page_queries, queries as _queries, value_queries  # noqa: E402, F401
+from .registry import QUERIES, SQL  # noqa: E402
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict:
+    return dict(SQL)

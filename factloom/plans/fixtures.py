@@ -36,6 +36,28 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "components": ("note int, value double, total double, parent double", [(1, 10.0, 30.0, 30.2), (1, 20.0, 30.0, 30.2), (2, 10.0, 30.0, 30.0), (2, None, 30.0, 30.0), (3, 5.0, 5.0, None)]),
     "concepts": ("key string, hint string, scope string", [("Share Premium", "other equity note", "both"), ("Total Power & Fuel Expenses", "other expenses", "both"), ("Share Depreciation Joint ventures", "consolidated notes", "consolidated"), ("Sundry Creditors", "trade payables note", "standalone"), ("Unknown", None, "both"), ("Bad Debts", "P&L other expenses", "both")]),
     "found_tables": ("doc string, page int, n int, scope string, section string, title string", [("a", 1, 1, "s", "Balance Sheet", "x"), ("a", 2, 1, "s", "balance sheet ", "y"), ("a", 4, 1, "s", "Balance Sheet", "z"), ("a", 4, 2, "s", "", "Loans: long/short"), ("a", 5, 1, "s", "", ""), ("b", 1, 1, "c", "A very long section title that has no end", "t"), ("b", 1, 1, "c", "A very long section title that has no end", "u")]),
+    "report_pages": ("doc string, page int, text string", [
+        ("a", 1, "Contents\nOverview 4\nBoard report 12\nBalance sheet 20\nNotes 31\nRatios 44 .\nGlossary 51\nIndex ..... 60\nNotice 66"),
+        ("a", 2, "Letter to members\nas per the Consolidated Statement of Cash Flows we did well\nTotal income rose for the year"),
+        ("a", 3, "INDEPENDENT AUDITOR'S REPORT\nReport on the standalone statements"),
+        ("a", 4, "Standalone Balance Sheet as at 31 March 2026\nNon-current assets 10\nTotal assets 1,000\nEquity and liabilities\nTotal equity and liabilities 1,000"),
+        ("a", 5, "Statement of Profit and Loss for the year ended\nRevenue from operations 9\nTax expense 1"),
+        ("a", 6, "Notes to the Standalone Financial Statements\nNote 12. Other expenses\nPower 5\nLegal 6"),
+        ("a", 7, "Notes to the Consolidated Financial Statements\nsegments"),
+        ("a", 8, "Company   Consolidated Balance Sheet as at 31 March 2026\nTotal equity 5\nCapital & Liabilities 1\ndeposits"),
+        ("a", 9, "x\n\n  Consolidated Balance Sheet\nas at 31 March\nTotal equity 7"),
+        ("a", 10, "31 Other items\nsome words 31. Other expenses 44\nShare capital: authorised, issued, subscribed and paid-up equity shares"),
+        ("b", 1, "Balance Sheet as on 31 March\nCAPITAL & LIABILITIES\nDeposits 5\nTotal assets 4\nTotal liabilities 4\nFinancial assets\nDebt securities"),
+        ("b", 2, "Cash flow from operating activities\nshare capital authorized issued equity"),
+        ("b", 3, ""),
+        ("c", 1, "Sources of funds\nPolicyholders' funds\nApplication of funds"),
+        ("c", 2, "Revenue account\nforming part of the consolidated financial statements\nStatement of cash flows for the year"),
+        ("d", 1, "Balance Sheet as at 1 April\nTotal equity and more"),
+        ("d", 2, "Forming part of the consolidated financial statements"),
+        ("d", 3, "plain"),
+    ]),
+    "note_refs": ("doc string, ref string, title string", [("a", "12", "other expenses"), ("a", "31", "other expenses"), ("a", "2", "other expenses"), ("b", "1", "deposits")]),
+    "reflows": ("page int, before string, after string", [(1, "a 1,000 b 5 c 5", "b 5 a 1000 c 5"), (2, "a 7 b 7", "a b 7"), (3, "x 1", None), (4, "no numbers", ""), (5, "", "1")]),
     "year_lines": ("doc string, ord int, txt string", [("a", 1, "As at 31 March 2026 and 31 March 2025, lease to 2040"), ("a", 2, "2026 2025"), ("b", 1, "2024 2024 2023"), ("b", 2, "none"), ("c", 1, "2031 2030 2030 1999")]),
 }
 

@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as N, text as T
 from ..operators import matching as M, ordered as O, reports as P, retrieval as R, verify as V
 from ..sources import files
 from ..streaming.sessions import sessions
-from .fixtures import table, values
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str, *tables: str):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = (values(*tables) + " " if tables else "") + sql
-        return f
-
-    return add
-
-
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of reports: the source is the report, the id the page."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
-
+from .fixtures import table
+from .registry import documents as _docs, query as _query
 
 # Numbers and text
 
@@ -346,11 +326,3 @@ def s12_lines(spark, sf_dir):
   SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true))::INT AS s FROM events)) GROUP BY user_id, g""")
 def x_sessions(spark, sf_dir):
     return sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)

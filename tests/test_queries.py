@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numbers as N
 from factloom.operators import ordered as O, verify as V
-from factloom.plans import queries as own
+from factloom import plans as own
 from factloom.streaming.sessions import sessions
 from oracle import SF, by_sql, rows
 
