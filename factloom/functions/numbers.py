@@ -32,9 +32,11 @@ def statement_number(s: Column) -> Column:
 
 
 def whole_cell_number(s: Column) -> Column:
-    """A number only if the cell holds nothing else (footnote marks aside)."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(s), r"[*^ ,]", ""), r"^\((.*)\)$", "-$1")
-    return F.when(t.rlike(r"^-*\d+\.?\d*$"), F.regexp_replace(t, "^--", "").try_cast("double"))
+    """A number only if the cell holds nothing else (footnote marks at its ends, commas and the rupee sign aside)."""
+    t = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"^[*^]+|[*^]+$", "")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(t, r"^[()]+|[()]+$", ""), "[,₹]", ""))
+    v = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), bare.try_cast("double"))
+    return F.when(t.startswith("(") & t.endswith(")"), -v).otherwise(v)
 
 
 def row_numbers(s: Column) -> Column:

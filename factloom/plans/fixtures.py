@@ -58,6 +58,38 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     ]),
     "note_refs": ("doc string, ref string, title string", [("a", "12", "other expenses"), ("a", "31", "other expenses"), ("a", "2", "other expenses"), ("b", "1", "deposits")]),
     "reflows": ("page int, before string, after string", [(1, "a 1,000 b 5 c 5", "b 5 a 1000 c 5"), (2, "a 7 b 7", "a b 7"), (3, "x 1", None), (4, "no numbers", ""), (5, "", "1")]),
+    "read_values": ("id int, value string, evidence string, is_count boolean", [
+        (1, "` 1.00", "Total 1.00 2.00", False), (2, "12.5*", "Loss (12.5) 3", False), (3, "7", "( 7 ) and 7", False), (4, "7", "17 (7) 7.5", False), (5, "(9)", "(9)", False), (6, "Nil", "Nil", False), (7, "₹", None, False),
+        (8, "404", "(404)", True), (9, "Rs. 5,000.25", "x (5,000.25) y (5,000.25)", False), (10, None, "(3)", False), (11, "", "", False), (12, "INR 8 #", None, False), (13, "3.5", "(3x5)", False)]),
+    "seen_cells": ("id int, cell string", [(i, c) for i, c in enumerate(["1,234", "Note 5", "abc", "", None, "(12.5)", "FY24 x9y", "12b", "a1", "–", "nil", "{}©ab", "plain text", " - ", "NIL", "1st"])]),
+    "definitions": ("id int, meaning string, selector string", [(1, "payables — total trade payables", None), (2, "the sub-total of x", ""), (3, None, "TOTAL trade payables"), (4, "Return the total", "x"), (5, "only one line", "subtotal"), (6, None, None), (7, "x", "the note's total"), (8, "totals", "totally")]),
+    "addends": ("id int, adds array<string>, source string", [(1, ["1,000", "(250)"], "a 1,000 b (250)"), (2, ["100.5", "200.25", "x"], "100.5 and 200.25"), (3, ["100"], "100"), (4, ["12", "345"], "12 345"), (5, [], "x"), (6, ["-900", "` 100.004"], "900 100.004"), (7, ["111", "999"], "111 only")]),
+    "face_labels": ("id int, label string", [(1, "III Total Income (I+II)"), (2, "Sub-total income"), (3, "Total non-current assets"), (4, "TOTAL ASSETS"), (5, "Total income"), (6, "Grand total income"), (7, "Totals")]),
+    "results_grid": ("sheet int, row_no int, cells array<string>", [
+        (1, 1, ["Total income", "1,000", "900"]), (1, 2, ["Total expenses", "800", "700"]), (1, 3, ["Profit before tax", "200", "200"]), (1, 4, ["Total tax expense", "50", "50"]), (1, 5, ["Profit for the period", "150", "150"]),
+        (1, 6, ["Remeasurement", "5", "6"]), (1, 7, ["Hedges", "(2)", "-"]), (1, 8, ["Total other comprehensive income", "3", "6"]), (1, 9, ["Total comprehensive income", "153", "156"]),
+        (2, 1, ["Total income", "1,000", "900"]), (2, 2, ["Total expenses", "800", "700"]), (2, 3, ["Profit before tax", "260", "200"]), (2, 4, ["Tax expense: current", "10", "10"]), (2, 5, ["Tax expense", "50", "50"]), (2, 6, ["Profit for the year", "210", "150"]),
+        (3, 1, ["Segment", "1", "2"]), (3, 2, ["Other", None, ""]),
+        (4, 1, ["Total income", "1,000"]), (4, 2, ["Total expenses", "800"]), (4, 3, ["Finance and other income", "40"]), (4, 4, ["Finance expenses", "10"]), (4, 5, ["Share of net profit", "20"]), (4, 6, ["Profit before tax", "250"])]),
+    "asset_rows": ("id int, nums array<double>", [(1, [100.0, 20.0, 5.0, 115.0, 10.0, 5.0, 15.0, 100.0]), (2, [10.0, 10.0, 4.0, 4.0, 6.0]), (3, [1.0, 2.0]), (4, [100.0, 100.0, 30.0, 30.0, 60.0]), (5, [])]),
+    "targets": ("id int, value double, total double, comps array<double>, total_wanted boolean", [(1, 100.0, 100.2, [60.0, 40.0], False), (2, 100.0, 100.0, [100.0, 0.0], False), (3, 100.0, 100.0, [60.0, 40.0], True), (4, 60.0, 100.0, [60.0, 40.0], False), (5, None, 100.0, [60.0, 40.0], False)]),
+    "tax_lines": ("page int, line_no int, line string", [(1, i, t) for i, t in enumerate(["Note 9", "Deferred tax liabilities", "Depreciation and", "amortisation 100.5 90.0", "Provisions 20.0 10.0", "Gross deferred tax liabilities 120.5 100.0", "Deferred tax assets", "Leave 5.0 6.0", "Other 1.0 1.0", "Total deferred tax assets 7.5 7.0", "x", "Losses 3.0 2.0", "Total deferred tax assets 3.0 2.0"])] + [(2, 0, "A 1.0 2.0"), (2, 1, "B 1.0 2.0"), (2, 2, "C 1.0 2.0"), (2, 3, "Total deferred tax asset 2.0 4.0")]),
+    "answers": ("id int, doc string, page int, value string, quote string", [(1, "a", 2, "1,000", None), (2, "a", 4, "1000", "x"), (3, "a", None, "7", "Power 5"), (4, "b", 1, "12345", "no such quote"), (5, "c", 9, None, "Policyholders' FUNDS"), (6, "c", None, None, None)]),
+    "answer_pages": ("id int, page int, rank int", [(1, 6, 1), (1, 4, 2), (2, 5, 1), (3, 5, 1), (3, 6, 2), (4, 2, 1), (5, 2, 1), (5, 1, 2), (6, 1, 1)]),
+    "summaries": ("id int, summary string, source string, cells array<string>", [(1, "Revenue rose 12% to ₹1,234.5 from (987)", "rev 1234.5 then 987", ["1,234.5", "12", "x", None]), (2, "2,000 and 2,000 and 45", "none", ["2,000"]), (3, "no figures", "", []), (4, "$555 555", "long " * 50 + "55", ["555"])]),
+    "confidences": ("doc string, id int, confidence string, section string, status string", [("a", 1, "reconciled", "investments", "tie"), ("a", 2, "grounded", "ppe", "absent"), ("b", 3, "absent", "investments", "absent"), ("b", 4, "unverified", "ppe", "absent"), ("c", 5, "grounded", "investments", "tie"), ("c", 6, "reconciled", "tax", "no-tie")]),
+    "taxonomy": ("key string, concept string, column_hint string, aliases array<string>, scope string", [("Share Premium", "old", None, ["Premium"], "both"), ("Other CWIP", "cwip", "closing", None, "consolidated"), ("Bad Debts", "debts", None, ["Bad debts", "Write-offs"], "standalone"), ("Unlisted", "u", None, [], "both")]),
+    "audit": ("key string, severity string, suggested_concept string, suggested_column_hint string, suggested_aliases string", [("share  premium", "major", "new ", "", "Securities premium; Premium | Share premium"), ("OTHER CWIP", "ok", "x", "y", "z"), ("Bad Debts", "Minor", "other", None, None)]),
+    "profiles": ("company string, na_items array<string>, has_consolidated boolean", [("acme", ["Bad Debts"], True), ("bolt", None, False)]),
+    "page_grids": ("doc string, page int, n int, grid array<array<string>>", [("a", 1, 1, [["x", "1,0"], ["y", "2"]]), ("a", 1, 2, [["q", "10"], ["z", "2"], ["t", ""], ["w", "7"]]), ("a", 1, 3, [["x", "11"]]), ("a", 2, 1, [["x", "10"], ["y", "2"]]), ("b", 1, 1, [["x", None], ["y", ""]]), ("b", 1, 2, [["only words"]])]),
+    "face_pages": ("doc string, page int, text string", [
+        ("a", 1, "Balance Sheet as at 31 March 2026\nProperty, plant and equipment   3   500.00   450.00\nGoodwill   10.00   10.00\nInvestments   4   90.00   80.00\nDeferred tax assets (net)  5  -  2.00\nInventories   100.00   90.00\nTrade receivables   6   200.00   180.00\nCash and cash equivalents   100.00   88.00\nTOTAL ASSETS   1,000.00   900.00\nEquity share capital   7   50.00   50.00\nOther equity   8   450.00   400.00\nBorrowings   9   300.00   280.00\nTrade payables (2,0)   200.00   170.00\nTotal Equity and Liabilities   1,002.00   900.00"),
+        ("a", 2, "Statement of Profit and Loss for the year ended\nI   Revenue from operations   1,000.00   900.00\nII   Other income   50.00   40.00\nIII Total Income (I+II)   1,050.00   940.00\nCost of materials consumed   20   500.00   450.00\nEmployee benefits   100.00   90.00\nFinance costs   21   50.00   40.00\nOther expenses   22   200.00   160.00\nTotal expenses   850.00   740.00\nProfit before tax   200.00   200.00\nTax expense   50.00   50.00\nProfit for the year   150.00   150.00"),
+        ("b", 1, "BALANCE SHEET AS AT 31 MARCH\nCAPITAL & LIABILITIES\nItem a words  10.00  10.00\nItem b words  20.00  20.00\nItem c words  30.00  30.00\nItem d words  40.00  40.00\nTOTAL  100.00  90.00\nDeposits held  60.00  50.00\nLoans given  40.00  40.00\nTotal  100.00  90.00"),
+        ("c", 1, "Balance Sheet as at 31 March 2026\nProperty, plant and equipment   3   500.00   450.00\nGoodwill   10.00   10.00\nInvestments   4   90.00   80.00\nDeferred tax assets (net)  5  -  2.00\nInventories   100.00   90.00\nTrade receivables   6   200.00   180.00\nCash and cash equivalents   100.00   88.00"),
+        ("c", 2, "TOTAL ASSETS   1,000.00   900.00\nEquity share capital   7   50.00   50.00\nOther equity   8   450.00   400.00\nBorrowings   9   300.00   280.00\nTrade payables (2,0)   200.00   170.00\nTotal Equity and Liabilities   1,002.00   900.00"),
+        ("d", 1, "Balance Sheet as at 31 March 2026\nProperty, plant and equipment   3   500.00   450.00\nGoodwill   10.00   10.00\nInvestments   4   90.00   80.00\nDeferred tax assets (net)  5  -  2.00\nInventories   100.00   90.00\nTrade receivables   6   200.00   180.00\nCash and cash equivalents   100.00   88.00\nTOTAL ASSETS   1,000.00   900.00\nEquity share capital   7   50.00   50.00\nOther equity   8   450.00   400.00\nBorrowings   9   300.00   280.00\nTrade payables (2,0)   200.00   170.00\nTotal Equity and Liabilities   1,200.00   900.00"),
+    ]),
     "year_lines": ("doc string, ord int, txt string", [("a", 1, "As at 31 March 2026 and 31 March 2025, lease to 2040"), ("a", 2, "2026 2025"), ("b", 1, "2024 2024 2023"), ("b", 2, "none"), ("c", 1, "2031 2030 2030 1999")]),
 }
 
@@ -69,15 +101,19 @@ def table(spark: SparkSession, name: str) -> DataFrame:
 
 def _literal(v, kind: str) -> str:
     if v is None:
-        return f"NULL::{_TYPES.get(kind, kind)}"
+        return f"NULL::{_type(kind)}"
     if isinstance(v, str):
         return "'" + v.replace("'", "''") + "'"
     if isinstance(v, list):
-        return "[" + ", ".join(_literal(x, "double") for x in v) + "]"
+        return "[" + ", ".join(_literal(x, kind[6:-1]) for x in v) + f"]::{_type(kind)}"
     return f"{v}::DOUBLE" if kind == "double" else str(v)
 
 
-_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<double>": "DOUBLE[]"}
+_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def _type(kind: str) -> str:
+    return _type(kind[6:-1]) + "[]" if kind.startswith("array<") else _TYPES[kind]
 
 
 def values(*names: str) -> str:

@@ -8,7 +8,7 @@ from factloom.streaming.sessions import sessions
 from oracle import SF, by_sql, rows
 
 
-@pytest.mark.parametrize("name", sorted(own.queries()))
+@pytest.mark.parametrize("name", sorted(own.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     got, want = own.queries()[name](spark, SF).toPandas(), by_sql(own.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
