@@ -95,7 +95,7 @@ def highest(parts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(key)), key.shape[1]), key.ravel()
 
 
-def unit_rows(vectors: list) -> np.ndarray:
+def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -129,7 +129,7 @@ def _links_in_block(threshold: float):
         """One filter, or two chunks of one: counts per vector, and a spanning forest of the links."""
         f, i, j = (k.as_py() for k in key[-3:])
         rep, times, chunk = t["rep"].to_numpy(), t["times"].to_numpy(), t["chunk"].to_numpy()
-        x = unit_rows(t["v"].to_pylist())
+        x = unit_rows(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1))
         first = np.arange(len(rep)) if i == j else np.flatnonzero(chunk == i)
         second = first if i == j else np.flatnonzero(chunk == j)
         linked = x[first] @ x[second].T >= threshold
