@@ -90,6 +90,20 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         ("c", 2, "TOTAL ASSETS   1,000.00   900.00\nEquity share capital   7   50.00   50.00\nOther equity   8   450.00   400.00\nBorrowings   9   300.00   280.00\nTrade payables (2,0)   200.00   170.00\nTotal Equity and Liabilities   1,002.00   900.00"),
         ("d", 1, "Balance Sheet as at 31 March 2026\nProperty, plant and equipment   3   500.00   450.00\nGoodwill   10.00   10.00\nInvestments   4   90.00   80.00\nDeferred tax assets (net)  5  -  2.00\nInventories   100.00   90.00\nTrade receivables   6   200.00   180.00\nCash and cash equivalents   100.00   88.00\nTOTAL ASSETS   1,000.00   900.00\nEquity share capital   7   50.00   50.00\nOther equity   8   450.00   400.00\nBorrowings   9   300.00   280.00\nTrade payables (2,0)   200.00   170.00\nTotal Equity and Liabilities   1,200.00   900.00"),
     ]),
+    "words": ("doc string, page int, x0 double, y0 double, x1 double, y1 double, word string", [
+        ("a", 1, x, y + dy, x + 7.0 * len(t), y + dy + 10.0, t)
+        for y, row in ((50.0, [(10.0, "Schedule"), (70.0, "of"), (88.0, "assets")]), (80.0, [(10.0, "Land"), (200.0, "1,000"), (300.0, "900")]), (95.0, [(10.0, "Plant"), (50.0, "and"), (75.0, "tools"), (200.0, "2,500.5"), (300.0, "40")]), (110.0, [(10.0, "Other")]),
+                       (125.0, [(10.0, "Cars"), (200.0, "(7)"), (300.0, "8")]), (140.0, [(10.0, "Total"), (200.0, "3,493.5"), (300.0, "948")]), (230.0, [(10.0, "Notes"), (60.0, "follow")]))
+        for (x, t), dy in zip(row, (0.0, 1.5, -1.0, 0.5, 0.0))] + [("b", 1, 5.0, 6.0, 20.0, 16.0, "alone"), ("b", 1, 5.0, 10.0, 9.0, 14.0, "x")]),
+    "proposals": ("doc string, ord int, year int, item string", [("a", 1, 2025, "x"), ("a", 2, 2024, "y"), ("a", 3, 2025, "x"), ("a", 4, 2024, "z"), ("b", 1, 2020, "x"), ("b", 2, None, "q"), ("c", 1, None, "q")]),
+    "payloads": ("id int, payload string, text string", [
+        (1, '[{"key":"x","present":true,"value":"` 1,234","evidence":"x (1,234)"},{"key":"y","present":true,"value":"9","addends":["1,000","(250)"]},{"key":"z","present":false}]', "x (1,234) and 1,000 with 250"),
+        (2, '[{"key":"x","present":true,"value":"-"},{"key":"w","present":true,"value":"777","evidence":""}]', "nothing here"), (3, "not json", "t"), (4, None, None)]),
+    "note_targets": ("doc string, window int, key string, value string, total double, comps array<double>, evidence string, doc_year int, wanted boolean, reconciled boolean", [
+        ("a", 1, "x", "10", 100.0, [60.0, 40.0], "x 10 in 2026", 2026, False, True), ("a", 1, "y", "100", 100.0, [60.0, 40.0], "", 2026, False, True), ("a", 2, "x", "10", 100.0, [60.0, 40.0], None, 2026, False, True), ("a", 2, "y", "100", 100.0, [60.0, 40.0], "", 2026, True, True),
+        ("a", 3, "x", "1", 1.0, [1.0], "", 2026, False, False), ("b", 1, "x", "5", 9.0, [5.0, 4.0], "2023 and 2024", 2025, False, True), ("b", 2, "x", None, 9.0, [5.0, 4.0], "", 2025, False, True)]),
+    "calls": ("company string, tokens_in int, tokens_out int", [("acme", 1000, 200), ("acme", 5000, 10), ("bolt", 1, 1)]),
+    "alias_keys": ("key string, alias string", [("tp", "Trade payables"), ("lp", "Legal and professional charges"), ("lp", "Legal charges"), ("rs", "Reserves")]),
     "year_lines": ("doc string, ord int, txt string", [("a", 1, "As at 31 March 2026 and 31 March 2025, lease to 2040"), ("a", 2, "2026 2025"), ("b", 1, "2024 2024 2023"), ("b", 2, "none"), ("c", 1, "2031 2030 2030 1999")]),
 }
 
@@ -123,5 +137,5 @@ def values(*names: str) -> str:
         schema, rows = TABLES[name]
         columns = [c.split(" ") for c in schema.split(", ")]
         body = ", ".join("(" + ", ".join(_literal(v, k) for v, (_, k) in zip(r, columns)) + ")" for r in rows)
-        parts.append(f"{name}({', '.join(c for c, _ in columns)}) AS (VALUES {body})")
+        parts.append(f"{name}({', '.join(f'"{c}"' for c, _ in columns)}) AS (VALUES {body})")
     return "WITH " + ", ".join(parts)
