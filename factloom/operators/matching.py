@@ -66,7 +66,16 @@ def without_earlier_year(rows: DataFrame, by: list[str], share: float = 0.005, f
     return rows.join(other, [rows[c].eqNullSafe(other[c]) for c in by] + [F.abs(F.col("closing") - F.col("__o")) < tolerance, F.col("id") != F.col("__id")], "left_anti")
 
 
-def keyword_totals(rows: DataFrame, rules: DataFrame, label: Column, value: Column) -> DataFrame:
-    """(section, total, n): rows whose label has one of the section's words, each row once for each section."""
-    hit = rows.join(F.broadcast(rules), label.contains(F.col("word"))).dropDuplicates(["section", *rows.columns])
-    return hit.groupBy("section").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+def keyword_totals(rows: DataFrame, rules: DataFrame, label: Column, value: Column, bound: int = 10_000) -> DataFrame:
+    """(section, total, n): rows whose label has one of the section's words, each row once for each section.
+
+    Rules are counted: up to the bound they travel to the rows at once, beyond it in blocks of about that size, since a part
+    of a label is no key to join on.
+    """
+    blocks = -(-max(rules.count(), 1) // bound)
+    parts = [rules] if blocks == 1 else [rules.where(F.pmod(F.xxhash64("section", "word"), F.lit(blocks)) == i) for i in range(blocks)]
+    hit = None
+    for part in parts:
+        found = rows.join(F.broadcast(part), label.contains(F.col("word"))).drop("word")
+        hit = found if hit is None else hit.unionByName(found)
+    return hit.dropDuplicates(["section", *rows.columns]).groupBy("section").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
