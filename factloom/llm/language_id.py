@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import append_columns, batch, joined_by_site
@@ -49,8 +50,9 @@ def features(text: str) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, on: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> np.ndarray:
     """Weights and bias of an L2-regularised squared-hinge machine on the rows `on` of x (y: +1, -1, of those), by accelerated gradient steps."""
-    z = np.ones((len(y), x.shape[1] + 1), np.float32)  # the only copy of the rows: the driver's memory is small
-    np.compress(on, x, axis=0, out=z[:, :-1])
+    z = np.ones((len(y), x.shape[1] + 1), np.float32)  # the only float32 copy of the rows: the driver's memory is small
+    for to, row in enumerate(np.flatnonzero(on)):
+        z[to, :-1] = x[row]
     w = last = np.zeros(z.shape[1])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
     rate = 1 / (1 + 2 * weight.sum() * 2)
@@ -113,9 +115,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield batch({"x": [features(t).astype(np.float16).tobytes() for t, _ in keep], "lang": [l for _, l in keep]}, {"x": pa.binary(), "lang": pa.string()})
 
     # `picked` has at most per_language rows for each language
-    rows = known.join(F.broadcast(picked), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, "x binary, lang string").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).astype(np.float32).reshape(-1, DIM)
-    return Model(x, rows["lang"].to_pylist())
+    rows = known.join(F.broadcast(picked), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, "x binary, lang string").toArrow()
+    order = pc.sort_indices(rows, [("lang", "ascending"), ("x", "ascending")])
+    langs, x = rows["lang"].take(order).to_pylist(), np.empty((len(rows), DIM), np.float16)
+    for to, at in enumerate(order.to_numpy()):
+        x[to] = np.frombuffer(rows["x"][at].as_buffer(), np.float16)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return Model(x, langs)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

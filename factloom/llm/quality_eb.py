@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     table = rows.select("q", "t", "x").toArrow().sort_by([("x", "ascending"), ("q", "ascending"), ("t", "ascending")])
     q, t = (np.array([np.nan if v is None else v for v in table[c].to_pylist()], float) for c in ("q", "t"))
     x = np.array([np.frombuffer(v) for v in table["x"].to_pylist()]).reshape(-1, 136)
+    del table
     n_toxic, n_clean = int((t == 1).sum()), int((t == 0).sum())
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_clean + 1))
     counted = rows.where("t is not null").select(F.explode("words").alias("word"), "t").groupBy("word").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b")).where("a >= 4")
