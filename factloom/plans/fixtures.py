@@ -105,6 +105,33 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "calls": ("company string, tokens_in int, tokens_out int", [("acme", 1000, 200), ("acme", 5000, 10), ("bolt", 1, 1)]),
     "alias_keys": ("key string, alias string", [("tp", "Trade payables"), ("lp", "Legal and professional charges"), ("lp", "Legal charges"), ("rs", "Reserves")]),
     "year_lines": ("doc string, ord int, txt string", [("a", 1, "As at 31 March 2026 and 31 March 2025, lease to 2040"), ("a", 2, "2026 2025"), ("b", 1, "2024 2024 2023"), ("b", 2, "none"), ("c", 1, "2031 2030 2030 1999")]),
+    "printed_lines": ("id int, line string, words array<string>", [(i, t, t.split()) for i, t in enumerate([
+        "5. RIGHT-OF-USE ASSETS", "SCHEDULE 2 - RESERVES AND SURPLUS", "B. Other Equity", "M. Sanaulla Khan Company Secretary", "X. Row marker", "12) 1,234 5,678 9", "230 STATUTORY REPORTS AND FINANCIAL STATEMENTS", "42", "1234567",
+        "(₹ in millions, unless otherwise stated)", "Rupees crores", "Annual Report 2026", "CORPORATE OVERVIEW STATUTORY REPORTS", "Total 5,568 4,968", "Total - nil", "Loans and advances to others 12", "a b", "Total 1 2 3 4 5 6 7 8", "7. Loans (in crores)", "Ab", "C. It's A-B, (x)", "D. one two three four five", "", "Trade receivables 10 20"])]),
+    "row_words": ("id int, rows array<string>", [(1, ["1 2", "3 -", "nil 4", "(5) 6"]), (2, ["1 2", "3 -", "label 4", "5 6", "7 8"]), (3, []), (4, ["x", "1", "2", "3", "4 5 6 7 y"]), (5, ["1", "", "2", "3", "4"])]),
+    "wanted_items": ("key string, selector string, value_type string, examples array<string>", [("a", None, "monetary", ["x"]), ("b", "Gross block", "monetary", ["x"]), ("c", "the ACCUMULATED column", None, ["x"]), ("d", "net", "count", ["x"]), ("e", "net", "monetary", []), ("f", "", "per_share", ["x", "y"]), ("g", None, None, None)]),
+    "results": ("company string, scope string, key string, found boolean, value string, status string", [
+        ("acme", "standalone", "Share Premium", True, "1,003", None), ("Acme", "standalone", "Hedging Reserve", True, "50", ""), ("acme", "consolidated", "Other CWIP", False, None, None), ("acme", "consolidated", "Bad Debts", False, None, "N/A (sector)"),
+        ("bolt", "standalone", "Equity Issued", True, "4.5", None), ("bolt", "standalone", "Unlisted", True, "1", None), ("bolt", "consolidated", "Equity Issued", False, None, None)]),
+    "gold": ("company string, scope string, key string, expected string, ord int", [
+        ("acme", "Standalone ", " Share Premium", "999", 1), ("ACME", "standalone", "Share Premium", "1,004", 2), ("acme", "standalone", "Hedging Reserve", "(52)", 3), ("acme", "consolidated", "Other CWIP", "Not disclosed", 4), ("acme", "consolidated", "Bad Debts", "7", 5),
+        ("bolt", "standalone", "Equity Issued", "45", 6), ("bolt", "consolidated", "Equity Issued", "12", 7)]),
+    "adjudicated": ("key string, scope string, verdict string, true_value string", [("Share Premium", "standalone", "GT_WRONG", "1,005"), ("Other CWIP", "consolidated", "BOTH_NOT_DISCLOSED", None), ("Bad Debts", "both", "PIPELINE_WRONG", "7"), ("Nowhere", "x", None, None), ("Unlisted", "standalone", "MATCH_BOTH", "1")]),
+    "questions": ("id int, doc string, question string", [(1, "a", "What are total ASSETS and net profit?"), (2, "a", "Cash from operating activities"), (3, "b", "Earnings per share"), (4, "a", "Who audits?"), (5, "c", "Borrowings"), (6, "a", None)]),
+    "located": ("doc string, kind string, page int", [("a", "bs", 4), ("a", "pl", 5), ("a", "cf", 9), ("b", "bs", 1), ("b", "pl", 2)]),
+    "asset_nets": ("doc string, note int, net double, parent double", [("a", 1, 60.0, 100.5), ("a", 1, 40.0, 100.5), ("a", 2, 60.0, 103.0), ("a", 2, None, 103.0), ("b", 1, None, 5.0), ("b", 2, 5.0, None), ("b", 3, 0.5, 0.0)]),
+    "odd_grids": ("id int, grid array<array<string>>", [(1, [["{}$©", "10", ""], ["Deposits", "", " "], ["Loans", "5", "6"]]), (2, [["{}$©", "10"], ["Deposits", "7"]]), (3, [["{}$©", "x"], ["Deposits", ""]]), (4, [["plain", "1"], ["Deposits", ""]]), (5, []), (6, [["{}$©", "1"]])]),
+    "asset_pages": ("doc string, page int, rank int, text string", [
+        ("a", 7, 1, "Land   Buildings   Plant   Vehicles   Total\nGross carrying value\nAs at 1 April 2024   1 2 3 4 10\nAs at 31 March 2025   2 3 4 5 14\nAccumulated depreciation\nAs at 31 March 2025   1 1 1 1 4\nNet block as at 31 March 2025   1 2 3 4 10"),
+        ("a", 6, 2, "Particulars        Office\n   Land   Buildings   equipment   Total\nGross carrying value\nAs at 1 April 2025   2 3 4 9\nAs at 31 March 2026   5 (6) - 7 3\nAs at 31 March 2026   8 8 8 8\nAccumulated depreciation\nAs at 31 March 2026   0 1 2 3\nCarrying value as at 31 March 2026   5 5 5 15"),
+        ("a", 9, 3, "Total   Land   Buildings   Plant\n1 2 3 4 5\n1 2 3 4 5\n2026 1 2 3 4\ncarrying value"),
+        ("b", 1, 1, "no table\nLand\n5"), ("b", 2, 2, None),
+        ("b", 3, 3, "gross block and accumulated depreciation\nLand\nBuildings\nPlant and\nOffice\nx 1 2 3 4"), ("b", 4, 4, "accumulated depreciation policy\nland buildings"), ("b", 5, 5, "gross block accumulated depreciation\nLand\nBuilding\nPlant\nOffice\nland 1 2 3 4\nplant 1 2 3 4\noffice 1 2 3 4")]),
+    "chapter_pages": ("doc string, page int, text string", [
+        ("title", 1, "Contents\n" + "\n".join(f"Part {i} {i}" for i in range(9)) + "\nManagement Discussion 4"), ("title", 2, "x\nManagement Discussion and Analysis\nprose"), ("title", 3, "more"), ("title", 4, "Management discussion | corporate governance"), ("title", 5, "Corporate Governance Report"), ("title", 6, "end"),
+        ("ribbon", 1, "Management Discussion"), ("ribbon", 2, "BRSR"), *[("ribbon", i, "body\nReports  |  Management   Discussion and Analysis") for i in (4, 5, 7, 12)], ("ribbon", 13, "z"),
+        ("heading", 1, "cover"), ("heading", 2, "1\n2\n3\n4\n5\n6\n7\n8\nMANAGEMENT DISCUSSION AND ANALYSIS\nNEXT ENTRY"), ("heading", 3, "a\n\n  MANAGEMENT DISCUSSION AND ANALYSIS REPORT OF THIS YEAR TOO\n" + "the year was one of steady growth in every one of our segments"), ("heading", 4, "on"), ("heading", 5, "RESPONSIBILITY STATEMENT OF DIRECTORS"), ("heading", 6, "x"),
+        ("short", 1, "Management Discussion"), ("short", 2, "Financial statements"), ("short", 3, "Management discussion of much else that is too long for a title"), ("none", 1, "nothing"), ("none", 2, None)]),
 }
 
 
