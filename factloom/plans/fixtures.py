@@ -132,6 +132,23 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         ("ribbon", 1, "Management Discussion"), ("ribbon", 2, "BRSR"), *[("ribbon", i, "body\nReports  |  Management   Discussion and Analysis") for i in (4, 5, 7, 12)], ("ribbon", 13, "z"),
         ("heading", 1, "cover"), ("heading", 2, "1\n2\n3\n4\n5\n6\n7\n8\nMANAGEMENT DISCUSSION AND ANALYSIS\nNEXT ENTRY"), ("heading", 3, "a\n\n  MANAGEMENT DISCUSSION AND ANALYSIS REPORT OF THIS YEAR TOO\n" + "the year was one of steady growth in every one of our segments"), ("heading", 4, "on"), ("heading", 5, "RESPONSIBILITY STATEMENT OF DIRECTORS"), ("heading", 6, "x"),
         ("short", 1, "Management Discussion"), ("short", 2, "Financial statements"), ("short", 3, "Management discussion of much else that is too long for a title"), ("none", 1, "nothing"), ("none", 2, None)]),
+    "reports": ("doc string", [("a",), ("b",), ("c",)]),
+    "statement_candidates": ("doc string, kind string, page int, rank int", [("a", "bs", 4, 1), ("a", "bs", 8, 2), ("a", "pl", 5, 1), ("a", "cf", 6, 1), ("b", "bs", 1, 1), ("b", "pl", 2, 1), ("b", "pl", 3, 2)]),
+    "statement_payloads": ("doc string, kind string, page int, attempt int, payload string", [
+        ("a", "bs", 4, 1, '{"grand_total_a": "1,000", "grand_total_b": "1,100", "unit": "crore"}'), ("a", "bs", 8, 1, '{"grand_total_a": "2,000", "grand_total_b": "900"}'), ("a", "bs", 8, 2, '{"grand_total_a": "2,000", "grand_total_b": "2,000", "unit": "lakh", "scope": "consolidated"}'),
+        ("a", "pl", 5, 1, '{"profit_before_tax": "100", "tax_total": "25", "profit_for_year": "75"}'), ("a", "pl", 5, 2, '{"profit_before_tax": "101", "tax_total": "25", "profit_for_year": "76"}'), ("a", "cf", 6, 1, "no JSON"),
+        ("b", "bs", 1, 1, None), ("b", "pl", 3, 1, '{"total_income": "500", "total_expenses": "400", "profit_before_tax": "101"}')]),
+    "whole_payloads": ("doc string, payload string", [
+        ("a", '{"unit": "crore", "scope": "standalone", "bs_total_assets": "100", "bs_total_equity_and_liabilities": "100", "pl_total_income": "5", "cf_net_change": ""}'), ("b", "broken"), ("c", None),
+        ("d", '{"cf_net_operating": "50", "cf_net_investing": "(20)", "cf_net_financing": "(10)", "cf_net_change": "20"}')]),
+    "line_answers": ("doc string, payload string", [("a", '[{"label": "unused", "value": "1"}]'), ("e", '[{"label": "Loans", "note_ref": "4", "value": "(5)"}, {"label": "Cash", "value": "7"}]'), ("f", "no JSON"), ("g", None)]),
+    "target_payloads": ("doc string, window int, payload string", [
+        ("a", 1, '[{"key": "x", "present": true, "value": "10", "evidence": "x (10)"}, {"key": "y", "present": false}]'), ("a", 2, '[{"key": "x", "present": true, "value": "` 12", "evidence": "x 12"}, {"key": "y", "present": true, "value": "3"}]'),
+        ("a", 3, '[{"key": "x", "present": true, "value": "1"}, {"key": "y", "present": true, "value": "2"}]'), ("b", 1, '[{"key": "x", "present": true, "value": "-"}]'), ("c", 1, "no JSON")]),
+    "category_payloads": ("doc string, payload string", [("a", '[{"key": "bonds", "present": true, "lines": [{"label": "p", "value": "1,000"}, {"label": "q", "value": "(250)"}, {"label": "r", "value": "x"}]}, {"key": "ventures", "present": false, "lines": [{"label": "p", "value": "5"}]}, {"key": "none", "present": true}]'), ("b", None)]),
+    "section_pages": ("doc string, page int, scope string, statement string, units string", [("a", 1, "standalone", "Balance Sheet", "crore"), ("a", 2, "standalone", None, None), ("a", 3, "consolidated", None, None), ("a", 4, "consolidated", "Cash flow statement", "lakh"), ("b", 1, None, None, None)]),
+    "section_headings": ("doc string, page int, y double, heading string", [("a", 1, 50.0, "1. Loans"), ("a", 2, 80.0, "2. Cash"), ("a", 3, 90.0, "3. Equity"), ("a", 9, 1.0, "elsewhere"), ("b", 1, 30.0, "A. Notes")]),
+    "section_tables": ("doc string, page int, n int, y double, own string", [("a", 1, 1, 20.0, None), ("a", 1, 2, 50.0, None), ("a", 2, 1, 10.0, None), ("a", 2, 2, 60.0, "Profit and loss"), ("a", 2, 3, 70.0, None), ("a", 2, 4, 100.0, None), ("a", 3, 1, 10.0, None), ("a", 3, 2, 95.0, None), ("a", 4, 1, 5.0, None), ("b", 1, 1, 20.0, None)]),
 }
 
 

@@ -31,3 +31,29 @@ def markdown_rows(lines: DataFrame, by: list[str], order: str = "line_no", text:
     out = out.withColumn("__s", starts).withColumn("table_no", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cells = F.transform(F.split(F.regexp_replace(t, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return out.where("__row").where(~t.rlike(r"^\|[\s:|-]+\|?$")).select(*by, order, "heading", "table_no", cells.alias("cells"))
+
+
+def write_wide(facts: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
+    """A wide table as CSV; its files follow one another in the order of its reports."""
+    write_csv(facts.orderBy(*order).select(*columns), path)
+
+
+def write_workbook(tables: DataFrame, path: str) -> None:
+    """Tables with their sheets (doc, sheet, page, n, scope, section, grid) as two folders.
+
+    `index`: a sheet's pages, scope, section, tables, rows and columns. `cells`: doc, sheet, page, n, row, col, text from 1, in
+    ranges of documents, so that reading one of them skips most files.
+    """
+    rows, columns = F.size("grid"), F.coalesce(F.array_max(F.transform("grid", F.size)), F.lit(0))
+    index = tables.groupBy("doc", "sheet").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min("scope").alias("scope"), F.min("section").alias("section"), F.count("*").alias("tables"), F.sum(rows).alias("rows"), F.max(columns).alias("cols"))
+    write_csv(index, f"{path}/index")
+    lines = tables.select("doc", "sheet", "page", "n", F.posexplode("grid").alias("row", "__cells"))
+    cells = lines.select("doc", "sheet", "page", "n", (F.col("row") + 1).alias("row"), F.posexplode("__cells").alias("col", "text")).withColumn("col", F.col("col") + 1)
+    cells.repartitionByRange("doc", "sheet", "row").sortWithinPartitions("doc", "sheet", "n", "row", "col").write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def write_error_report(rows: DataFrame, calls: DataFrame, path: str) -> None:
+    """Compared rows (company, verdict, …) as JSON lines in `rows`, the call log in `calls`, counts by company and verdict in `summary`."""
+    write_json(rows, f"{path}/rows")
+    write_json(calls, f"{path}/calls")
+    write_json(rows.groupBy("company", "verdict").agg(F.count("*").alias("n")), f"{path}/summary")
