@@ -26,6 +26,8 @@ KEEP_TOXICITY = 0.5
 LEXICON_ODDS = 1.0
 #: At most so many terms are weighed for the lexicon.
 CANDIDATES = 3000
+#: A term that no other of the lexicon goes with in more than this share of its toxic documents stands for itself.
+COMPANION = 0.6
 #: Lengths of the stems that count as terms, beside whole words.
 STEMS = (4, 5)
 _word = re.compile(r"\w+")
@@ -85,7 +87,9 @@ class Logistic:
 def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> dict[str, float]:
     """Greedily the terms that each add most toxic documents, less three times the others that they add; at least two.
 
-    Terms that only go with chosen ones are left out: clean documents may have them too.
+    Terms that only go with chosen ones are left out: clean documents may have them too, as the other words of a toxic document
+    that has copies. A term of ten toxic documents and no other is taken all the same if no chosen term goes with it in more
+    than COMPANION of them: its documents have nothing else in common.
     """
     yes: dict[str, set[int]] = {w: set() for w in found}
     no: dict[str, set[int]] = {w: set() for w in found}
@@ -95,6 +99,7 @@ def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> d
     chosen: dict[str, float] = {}
     seen: set[int] = set()
     wrong: set[int] = set()
+    every = dict(yes)
     while yes:
         gain = {w: len(d - seen) - 3 * len(no[w] - wrong) for w, d in yes.items()}
         best = min(gain, key=lambda w: (-gain[w], w.endswith("*"), w))
@@ -104,6 +109,11 @@ def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> d
         seen |= yes.pop(best)
         wrong |= no[best]
         yes = {w: d for w, d in yes.items() if gain[w] >= 2}
+    main = list(chosen)
+    for w in sorted(every):
+        d = every[w]
+        if w not in chosen and len(d) >= 10 and not no[w] and max((len(d & every[c]) for c in main), default=len(d)) <= COMPANION * len(d):
+            chosen[w] = found[w]
     return chosen
 
 

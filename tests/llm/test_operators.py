@@ -142,6 +142,16 @@ def test_lexicon_covers_without_bystanders():
     assert set(quality_eb.cover(found, hits, [True] * 10 + [False] * 4)) == {"bad", "dull*"}
 
 
+def test_lexicon_takes_terms_that_stand_for_themselves():
+    hits = [{f"w{i % 4}", "own"} for i in range(16)] + [{"w0", "x0"}] * 12
+    found = {w: 5.0 for w in ("w0", "w1", "w2", "w3", "x0")}
+    chosen = quality_eb.cover(found | {"own": 1.0}, hits, [True] * len(hits))
+    assert "own" in chosen and "x0" not in chosen
+    spread = [{a, b} for a in "abcde" for b in "abcde" if a < b] * 3
+    assert set(quality_eb.cover(dict.fromkeys("abcde", 5.0), spread, [True] * 30)) == set("abcde")
+    assert "e" not in quality_eb.cover(dict.fromkeys("abcde", 5.0), [*spread, {"e"}], [True] * 30 + [False])
+
+
 def test_mix(spark, odd):
     for docs in (odd, all_of(spark)):
         got = pareto_mix.taken(docs).toPandas()
