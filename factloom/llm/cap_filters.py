@@ -6,9 +6,11 @@ list-decoded to all directions whose inner product with it reaches the cap's hei
 while the rest can still make up the height; one that exceeds only a few gets the ones nearest to it. Vectors meet in their filters (within a label), and those that meet
 are verified by the exact cosine.
 
-How many directions there are and how high the caps lie follow from the number of vectors by one formula (plan):
-a filter gets about `bucket` unrelated vectors, and a pair just at the threshold misses all of its filters with
-probability `miss`. Equal vectors are one, with a multiplicity. In a filter, a pair counts only if the filter
+How high the caps lie and how many directions a code has follow from the number of vectors by one formula (plan):
+a filter gets about `bucket` unrelated vectors, and a vector about LEAST filters of a code. A code's filters are not
+independent, so its miss is measured: the share of random pairs just at the threshold that have no filter of a random
+code in common. A random rotation makes that share the same for every pair, and independent codes (each with
+a rotation of its own) multiply it; there are as many codes as bring it down to `miss`. Equal vectors are one, with a multiplicity. In a filter, a pair counts only if the filter
 is the first that both have, so that links are counted once without emitting pairs: what leaves a filter is one count
 per vector and the edges of a spanning forest. A filter with more than `block` vectors is dealt out as pairs of
 chunks, each of a bounded size.
@@ -33,27 +35,54 @@ BUCKET = 16
 LEAST = 10
 BLOCK = 1500
 SEED = 20
+#: Parts of the space that a code is a product of.
+BLOCKS = 2
+#: A code's miss is measured on so many random codes, each with so many pairs.
+TRIALS = 24
+PAIRS = 128
 
 
 def plan(n: int, dim: int, threshold: float = THRESHOLD, miss: float = MISS, bucket: float = BUCKET) -> dict:
-    """Height of the caps and size of the code for n vectors of `dim` dimensions.
+    """Height of the caps, size of a code and number of codes for n vectors of `dim` dimensions.
 
-    Where one dimension or two leave no room for caps, one direction that everything exceeds is the code.
+    Where one dimension or two leave no room for caps, or a code misses nearly all pairs, one direction that
+    everything exceeds is the code.
     """
     share = min(0.02, max(1e-7, bucket / max(n, 1)))
-    z = NormalDist().inv_cdf(1 - share)
-    height = min(0.8, z / math.sqrt(dim))
-    if dim < 8:
-        return {"height": -2.0, "blocks": 1, "code": 1}
-    mean = threshold * (height + 1 / (z * math.sqrt(dim)) * 0.8)
-    both = max(0.02, 1 - NormalDist(mean, math.sqrt((1 - threshold**2) / dim)).cdf(height))
-    wanted = math.log(miss) / math.log(1 - both)
-    total = 1.5 * wanted / share  # more: the number of filters varies from vector to vector
-    blocks = 2 if total <= 300_000 else 4
-    return {"height": height, "blocks": blocks, "code": math.ceil(total ** (1 / blocks))}
-
-
-def directions(dim: int, blocks: int, code: int, seed: int = SEED) -> tuple[np.ndarray, list[np.ndarray]]:
+    height = min(0.8, NormalDist().inv_cdf(1 - share) / math.sqrt(dim))
+    if dim >= 8:
+        code = math.ceil(math.sqrt(LEAST / share))
+        one = missed(dim, threshold, height, BLOCKS, code)
+        if one < 0.9:
+            return {"height": height, "blocks": BLOCKS, "code": code, "codes": math.ceil(math.log(miss) / math.log(one))}
+    return {"height": -2.0, "blocks": 1, "code": 1, "codes": 1}
+
+
+def pairs_at(cosine: float, n: int, dim: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors at that cosine."""
+    x, y = unit_rows(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
+    y = unit_rows(y - (x * y).sum(1, keepdims=True) * x)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * y
+
+
+def missed(dim: int, threshold: float, height: float, blocks: int, code: int) -> float:
+    """Share of random pairs at the threshold without a common filter of a code, two standard errors above the measured one."""
+    rng, n = np.random.Generator(np.random.PCG64(SEED)), 0
+    for seed in range(TRIALS):
+        x, y = pairs_at(threshold, PAIRS, dim, rng)
+        of = [directions(dim, blocks, code, [SEED, dim, seed])]
+        n += PAIRS - len(sharing(filters(x, height, of), filters(y, height, of)))
+    return (n + 2 * math.sqrt(n) + 3) / (TRIALS * PAIRS)
+
+
+def sharing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rows that have a filter in both."""
+    both = np.concatenate([np.unique(np.stack(x, 1), axis=0) for x in (a, b)])
+    found, times = np.unique(both, axis=0, return_counts=True)
+    return np.unique(found[times > 1, 0])
+
+
+def directions(dim: int, blocks: int, code: int, seed: int | list[int] = SEED) -> tuple[np.ndarray, list[np.ndarray]]:
     rng = np.random.Generator(np.random.PCG64(seed))
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     codes = [rng.standard_normal((code, len(part))) for part in np.array_split(np.arange(dim), blocks)]
@@ -83,6 +112,18 @@ def decode(x: np.ndarray, height: float, rotation: np.ndarray, codes: list[np.nd
     return rows, key
 
 
+def filters(x: np.ndarray, height: float, codes: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) by row and filter, of all codes."""
+    found, base = [], 0
+    for rotation, parts in codes:
+        rows, keys = decode(x, height, rotation, parts)
+        found.append((rows, keys + base))
+        base += math.prod(map(len, parts))
+    rows, keys = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((keys, rows))
+    return rows[order], keys[order]
+
+
 def highest(parts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of the n directions with the highest inner products; each is made of a block's n highest codewords."""
     score, key = np.zeros((len(parts[0]), 1)), np.zeros((len(parts[0]), 1), np.int64)
@@ -101,7 +142,7 @@ def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _decoder(n: int, threshold: float):
+def _decoder(plans: dict[int, dict]):
     made: dict = {}
     types = {"rep": pa.int64(), "filters": pa.list_(pa.int64())}
 
@@ -111,12 +152,12 @@ def _decoder(n: int, threshold: float):
             out: list[list] = [[] for _ in vectors]
             for dim in {len(v) for v in vectors}:
                 if dim not in made:
-                    p = plan(n, dim, threshold)
-                    made[dim] = (p["height"], *directions(dim, p["blocks"], p["code"]))
+                    p = plans[dim]
+                    made[dim] = p["height"], [directions(dim, p["blocks"], p["code"], [SEED, k]) for k in range(p["codes"])]
                 of = [i for i, v in enumerate(vectors) if len(v) == dim]
                 for at in range(0, len(of), 256):
                     some = of[at : at + 256]
-                    rows, keys = decode(unit_rows([vectors[i] for i in some]), *made[dim])
+                    rows, keys = filters(unit_rows([vectors[i] for i in some]), *made[dim])
                     for i, ks in zip(some, np.split(keys, np.searchsorted(rows, np.arange(1, len(some))))):
                         out[i] = ks.tolist()
             yield batch({"rep": pa.array(ids), "filters": out}, types)
@@ -181,7 +222,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     groups = rows.where("fine").groupBy("digest", "other").agg(F.min("vec_id").alias("low"), F.count("*").alias("times"), F.first("v").alias("v"), F.first("label").alias("label")).withColumnRenamed("digest", "rep")
     groups = cut(groups)
     n = groups.count()
-    decoded = cut(groups.select("rep", "v").mapInArrow(_decoder(n, threshold), "rep long, filters array<long>"))
+    plans = {r.dim: plan(n, r.dim, threshold) for r in groups.select(F.size("v").alias("dim")).distinct().collect()}
+    decoded = cut(groups.select("rep", "v").mapInArrow(_decoder(plans), "rep long, filters array<long>"))
     dealt = decoded.select("rep", F.explode("filters").alias("f")).join(groups.select("rep", "label", F.size("v").alias("dim")), "rep")
     sizes = dealt.groupBy("label", "dim", "f").agg(F.count("*").alias("size")).where("size > 1")
     dealt = dealt.join(sizes, ["label", "dim", "f"]).withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))

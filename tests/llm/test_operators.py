@@ -117,6 +117,16 @@ def test_cap_filters(spark):
     assert cap_filters.near_duplicates(e).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 20_000, 300_000, 1_000_000, 5_000_000])
+def test_pairs_at_the_threshold_share_a_filter(n):
+    p = cap_filters.plan(n, 64)
+    codes = [cap_filters.directions(64, p["blocks"], p["code"], [cap_filters.SEED, k]) for k in range(p["codes"])]
+    for cosine in (0.931, 0.95):
+        x, y = cap_filters.pairs_at(cosine, 1000, 64, np.random.default_rng(n))
+        a, b = (cap_filters.filters(v, p["height"], codes) for v in (x, y))
+        assert len(cap_filters.sharing(a, b)) >= 998  # MISS is 1e-4
+
+
 def test_quality(spark, odd):
     docs, labels = all_of(spark), all_of(spark, "labels")
     got = quality_eb.classify(docs, labels, *Q.site(docs)).join(labels, "doc_id").toPandas()
