@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table, and on nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -80,6 +81,23 @@ def test_lm_scoring(spark, odd):
     assert lm_scoring.score(odd, epochs=3).count() == odd.count() and lm_scoring.score(empty(odd), epochs=3).count() == 0
 
 
+def test_every_word_has_a_probability_within_its_class(spark):
+    docs = all_of(spark).select("doc_id", "text").limit(60).union(spark.createDataFrame([(9001, "the nation of the station"), (9002, "the nation of the qxzzvtion"), (9003, None), (None, "the nation")], "doc_id long, text string"))
+    docs = spark.createDataFrame([tuple(r) for r in docs.collect()] + [(9004, "station " * 50)], "doc_id long, text string")
+    vocab, net = lm_scoring.train(docs, frequent=5, epochs=5)
+    texts = [(r.doc_id, lm_scoring.tokens(r.text)) for r in docs.collect()]
+    words = [w for _, ws in texts for w in ws]
+    n, of = Counter(words), Counter(vocab[w] for w in words)
+    table, want = net.table().reshape(vocab.size, vocab.size, vocab.size), []
+    for i, ws in texts:
+        ids = [0, *[vocab[w] for w in ws], 0]
+        want.append((str(i), len(ws), sum(float(table[a, c, b]) for a, b, c in zip(ids, ids[1:], ids[2:])) + sum(np.log(n[w] / of[vocab[w]]) for w in ws)))
+    for held in (3, 50_000):
+        got = {(str(r.doc_id), r.n_tokens): r for r in lm_scoring.score(docs, frequent=5, epochs=5, held=held).collect()}
+        assert len(got) == len(want) and all(abs(got[i, k].log_likelihood - t) < 1e-3 * (1 + k) for i, k, t in want)
+        assert got["9001", 5].mean_log_prob > got["9002", 5].mean_log_prob + 0.3
+
+
 def test_license_scan(spark, odd):
     def brute(text):
         ws = license_scan.words(text)
