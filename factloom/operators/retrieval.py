@@ -8,7 +8,7 @@ from ..functions import text as T
 
 
 def lines(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, line_no, line), counted from 0."""
+    """(keys, line_no, line), counted from 0. Lines end with \\n or \\r\\n; an empty text is one empty line, a null text has none."""
     return pages.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
 
 

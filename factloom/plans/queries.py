@@ -319,7 +319,7 @@ def s11_markdown_tables(spark, sf_dir):
 
 @_query("""SELECT source AS doc, doc_id AS page, (unnest(range(len(string_split(text, chr(10))))))::INTEGER AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE NOT contains(text, chr(13))""")
 def s12_lines(spark, sf_dir):
-    return R.lines(_docs(spark, sf_dir).where(~F.col("text").contains("\r")), ["doc", "page"])
+    return R.lines(_docs(spark, sf_dir), ["doc", "page"])
 
 
 @_query("""SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, sum(value) AS value FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (
