@@ -10,6 +10,7 @@ plus the log-odds by which its path departs from the global mean.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,6 @@ KEEP_QUALITY = 0.5
 KEEP_TOXICITY = 0.5
 #: A lexicon word's log-odds, two standard errors below the estimate, is at least so much.
 LEXICON_ODDS = 1.0
-#: At most so many terms are weighed for the lexicon.
-CANDIDATES = 3000
 #: A term that no other of the lexicon goes with in more than this share of its toxic documents stands for itself.
 COMPANION = 0.6
 #: Lengths of the stems that count as terms, beside whole words.
@@ -153,13 +152,19 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_clean + 1))
     counted = rows.where("t is not null").select(F.explode("words").alias("word"), "t").groupBy("word").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b")).where("a >= 4")
     low = odds - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    found = {r.word: r for r in counted.select("word", odds.alias("odds"), low.alias("low")).where(F.col("low") >= LEXICON_ODDS).orderBy(F.desc("low"), "word").limit(CANDIDATES).collect()} if n_toxic and n_clean else {}
+    found = {r.word: r for r in counted.select("word", odds.alias("odds"), low.alias("low")).where(F.col("low") >= LEXICON_ODDS).collect()} if n_toxic and n_clean else {}
     hits, toxic = [], []
     if found:
-        candidates = F.array(*[F.lit(w) for w in sorted(found)])
-        for r in rows.where("t is not null").select("t", F.array_intersect("words", candidates).alias("w")).toArrow().to_pylist():
-            hits.append(set(r["w"]))
-            toxic.append(r["t"] == 1)
+        candidates = frozenset(found)
+
+        def among(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                yield batch({"t": b.column(0), "w": [[w for w in ws if w in candidates] for ws in b.column(1).to_pylist()]}, {"t": pa.int32(), "w": pa.list_(pa.string())})
+
+        for b in rows.where("t is not null").select("t", "words").mapInArrow(among, "t int, w array<string>").toArrow().to_batches():
+            for r in b.to_pylist():
+                hits.append({sys.intern(w) for w in r["w"]})
+                toxic.append(r["t"] == 1)
     lexicon = cover({w: r.odds for w, r in found.items()}, hits, toxic)
     known = ~np.isnan(q)
     quality = Logistic(x[known], q[known])

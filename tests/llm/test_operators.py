@@ -180,6 +180,15 @@ def test_lexicon_takes_terms_that_stand_for_themselves():
     assert "e" not in quality_eb.cover(dict.fromkeys("abcde", 5.0), [*spread, {"e"}], [True] * 30 + [False])
 
 
+def test_copies_of_a_toxic_text_leave_room_for_terms_of_others(spark):
+    long = " ".join(f"z{i:04d}" for i in range(3500))
+    texts = [(long, 1)] * 30 + [(f"some vile{chr(97 + i)} plain common text", 1) for i in range(12)] + [(f"some plain common text {i}", 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - t, t) for i, (_, t) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    model = quality_eb.fit(docs, labels)
+    assert "vile*" in model.lexicon
+
+
 def test_mix(spark, odd):
     for docs in (odd, all_of(spark)):
         got = pareto_mix.taken(docs).toPandas()
