@@ -149,17 +149,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each component: the row whose id is the component's.
+    """docs without all but one row of each component: the one with the smallest id (a null one is the largest), then text hash.
 
-    Of several rows with that id the one with the smallest text stays. A row without an id stays. Columns are those of docs.
+    Rows are told apart by id and two hashes of the text; of rows that are equal in these one stays. Columns are those of docs.
     """
-    found = cut(near_duplicates(docs, id_col, text_col))
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(drop, F.col(id_col) == F.col("__id"), "left_anti")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, F.col(id_col) == F.col("__id"), "left_anti")
-    again = kept.join(repeated, F.col(id_col) == F.col("__id"), "left_semi")
-    first = again.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))).where("__n = 1").drop("__n")
-    return single.unionByName(first)
+    text = F.col(text_col).cast("string")
+    marks = [F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__h"), F.xxhash64(F.lit(13), text).alias("__o")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            fps = np.array([fingerprint(t) for t in b.column(3).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps)], ["__id", "__h", "__o", "fp"])
+
+    rows = cut(docs.select(*marks, text.alias("__t")).mapInArrow(run, "__id long, __h long, __o long, fp long"))
+    key = F.struct(F.col("__id").isNull().alias("none"), "__id", "__h", "__o")
+    nodes = rows.groupBy("fp").agg(F.min(key).alias("low"))
+    of = connected_components(links(rows))
+    placed = nodes.join(of, nodes.fp == of.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    first = placed.join(placed.groupBy("c").agg(F.min("low").alias("first")), "c").select("fp", "first")
+    keys = cut(rows.groupBy("__id", "__h", "__o", "fp").count().join(first, "fp").withColumn("stays", key.eqNullSafe(F.col("first"))))
+    same = lambda k: marked["__id"].eqNullSafe(k["k_id"]) & (marked["__h"] == k["k_h"]) & (marked["__o"] == k["k_o"])
+    named = [F.col("__id").alias("k_id"), F.col("__h").alias("k_h"), F.col("__o").alias("k_o")]
+    marked = docs.select("*", *marks)
+    drop = keys.where("not stays").select(*named)
+    marked = marked.join(drop, same(drop), "left_anti")
+    repeated = keys.where("stays and count > 1").select(*named)
+    if not repeated.isEmpty():
+        once = F.row_number().over(Window.partitionBy("__id", "__h", "__o").orderBy(F.lit(0)))
+        again = marked.join(repeated, same(repeated), "left_semi").withColumn("__n", once).where("__n = 1").drop("__n")
+        marked = marked.join(repeated, same(repeated), "left_anti").unionByName(again)
+    return marked.drop("__id", "__h", "__o")

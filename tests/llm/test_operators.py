@@ -272,6 +272,13 @@ def test_simhash(spark, odd):
     assert ball_simhash.near_duplicates(empty(odd)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    texts = ["the red fox ran over the far hill", "nine old men sat by a green door", "a small boat came home in heavy rain", "my cat will not eat blue cheese today"]
+    data = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (None, texts[3]), (None, "no id here at all but some words"), (None, "no id here at all but some words"), (4, None), (5, "")]
+    got = ball_simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [data[0], data[2], data[3], data[4], data[6], data[8]]))
+
+
 def test_simhash_links_random_balls(spark):
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**63, 30).astype(np.uint64)
