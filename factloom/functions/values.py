@@ -60,7 +60,7 @@ def numericish(cell: Column) -> Column:
 
 def odd_share(s: Column) -> Column:
     """Share of characters that old fonts leave when they are read as Latin."""
-    return F.when(F.length(s) > 0, 1.0 - F.length(F.regexp_replace(s, r"[{}$©§¶‘’ñÕ«‹>|~ˆ†›]|[^\x{0}-\x{C0}]", "")) / F.length(s)).otherwise(0.0)
+    return F.when(F.length(s) > 0, 1.0 - F.length(F.regexp_replace(s, f"[{ODD}]|[^\\x{{0}}-\\x{{C0}}]", "")) / F.length(s)).otherwise(0.0)
 
 
 def wants_total(meaning: Column, selector: Column) -> Column:

@@ -47,10 +47,21 @@ def mutual_nearest(a: DataFrame, b: DataFrame, by: list[str], reach: float) -> D
 
 
 def contained_aliases(aliases: DataFrame, lines: DataFrame, line_keys: list[str], text: str = "line") -> DataFrame:
-    """(alias, line keys): every token of the alias is on the line (relational division on one token equi-join)."""
-    wanted = aliases.select("alias", F.explode(T.alias_tokens(F.col("alias"))).alias("token"), F.size(T.alias_tokens(F.col("alias"))).alias("needed"))
-    has = lines.select(*line_keys, F.explode(T.alias_tokens(F.col(text))).alias("token"))
-    return has.join(wanted, "token").groupBy("alias", *line_keys, "needed").agg(F.count("*").alias("got")).where("got = needed").drop("got", "needed")
+    """(alias, line keys): every token of the alias is on the line (relational division on one token equi-join).
+
+    An alias or a line that is listed twice gives one match; lines of one key with other texts are lines of their own.
+    """
+    wanted = aliases.select("alias").distinct().select("alias", F.explode(T.alias_tokens(F.col("alias"))).alias("token"), F.size(T.alias_tokens(F.col("alias"))).alias("needed"))
+    has = lines.select(*line_keys, F.xxhash64(text).alias("__line"), F.explode(T.alias_tokens(F.col(text))).alias("token"))
+    met = has.join(wanted, "token").groupBy("alias", *line_keys, "__line", "needed").agg(F.count_distinct("token").alias("got")).where("got = needed")
+    return met.select("alias", *line_keys).distinct()
+
+
+def table_row(line: Column) -> Column:
+    """A printed row of a table: a digit, 9 to 219 characters, at most ten words before the first digit."""
+    t = F.trim(line)
+    words = F.size(F.filter(F.split(F.regexp_extract(t, r"^[^\d]*", 0), r"\s+"), lambda x: x != ""))
+    return (F.length(t) > 8) & (F.length(t) < 220) & t.rlike(r"\d") & (words <= 10)
 
 
 def uncaptured(tokens: DataFrame, cells: DataFrame, page: str, token: str, cell: str) -> DataFrame:
@@ -66,16 +77,21 @@ def without_earlier_year(rows: DataFrame, by: list[str], share: float = 0.005, f
     return rows.join(other, [rows[c].eqNullSafe(other[c]) for c in by] + [F.abs(F.col("closing") - F.col("__o")) < tolerance, F.col("id") != F.col("__id")], "left_anti")
 
 
-def keyword_totals(rows: DataFrame, rules: DataFrame, label: Column, value: Column, bound: int = 10_000) -> DataFrame:
-    """(section, total, n): rows whose label has one of the section's words, each row once for each section.
+def keyword_totals(rows: DataFrame, rules: DataFrame, label: Column, value: Column, ref: Column | None = None, exclude: tuple[str, ...] = (), bound: int = 10_000) -> DataFrame:
+    """(section, total, n, refs): rows whose label has one of the section's words and none of `exclude`, each row once for each section.
 
-    Rules are counted: up to the bound they travel to the rows at once, beyond it in blocks of about that size, since a part
-    of a label is no key to join on.
+    Equal rows are rows of their own. n counts the rows, total adds up their values (null if none has one), refs are
+    the rows' references, sorted. Rules are counted: up to the bound of sections they travel to the rows at once, beyond it in
+    blocks of about that size, since a part of a label is no key to join on.
     """
-    blocks = -(-max(rules.count(), 1) // bound)
-    parts = [rules] if blocks == 1 else [rules.where(F.pmod(F.xxhash64("section", "word"), F.lit(blocks)) == i) for i in range(blocks)]
+    lists = rules.groupBy("section").agg(F.collect_set("word").alias("__words"))
+    blocks = -(-max(lists.count(), 1) // bound)
+    parts = [lists] if blocks == 1 else [lists.where(F.pmod(F.xxhash64("section"), F.lit(blocks)) == i) for i in range(blocks)]
+    seen = rows.select(label.alias("__label"), value.alias("__value"), (F.lit(None).cast("string") if ref is None else ref.cast("string")).alias("__ref"))
+    for word in exclude:
+        seen = seen.where(~F.col("__label").contains(word))
     hit = None
     for part in parts:
-        found = rows.join(F.broadcast(part), label.contains(F.col("word"))).drop("word")
+        found = seen.join(F.broadcast(part), F.exists("__words", lambda w: F.col("__label").contains(w))).select("section", "__value", "__ref")
         hit = found if hit is None else hit.unionByName(found)
-    return hit.dropDuplicates(["section", *rows.columns]).groupBy("section").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+    return hit.groupBy("section").agg(F.sum("__value").alias("total"), F.count("*").alias("n"), F.array_sort(F.collect_list("__ref")).alias("refs"))

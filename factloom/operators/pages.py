@@ -220,14 +220,15 @@ def assemble(pages: DataFrame, doc: str = "doc", page: str = "page", text: str =
 
 
 def routing(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
-    """(doc, n_pages, small, image_only): small reports fit one reading; image-only ones have under 1,500 characters on up to
+    """(doc, n_pages, small, one_call, image_only): small reports fit one reading, by the gate of reports (50 pages, 100,000 tokens of
+    four characters) and by that of items (one_call: 60 pages, 60,000 tokens); image-only ones have under 1,500 characters on up to
     60 evenly spaced pages."""
     sized = pages.select(doc, page, F.coalesce(F.length(text), F.lit(0)).cast("long").alias("__c"))
     n = sized.groupBy(doc).agg(F.max(page).alias("n_pages"), F.sum("__c").alias("__all"))
     step = F.greatest(F.lit(1), F.floor(F.col("n_pages") / 60))
     sampled = sized.join(n, doc).withColumn("__s", F.when((F.col(page) - 1) % step == 0, F.col("__c")).otherwise(0))
     out = sampled.groupBy(doc, "n_pages", "__all").agg(F.sum("__s").alias("__t"))
-    return out.select(doc, "n_pages", ((F.col("n_pages") <= 50) & (F.col("__all") / 4 <= 100000)).alias("small"), (F.col("__t") < 1500).alias("image_only"))
+    return out.select(doc, "n_pages", ((F.col("n_pages") <= 50) & (F.col("__all") / 4 <= 100000)).alias("small"), ((F.col("n_pages") <= 60) & (F.floor(F.col("__all") / 4) <= 60000)).alias("one_call"), (F.col("__t") < 1500).alias("image_only"))
 
 
 def loses_numbers(before: Column, after: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numbers as N, text as T, values as X
 from . import reconcile as R, verify as V
-from .matching import contained_aliases
+from .matching import contained_aliases, table_row
 from .pages import any_of, filled_lines
 from .retrieval import top_k
 
@@ -58,9 +58,9 @@ def rescue_candidates(aliases: DataFrame, lines: DataFrame, read: DataFrame, k:
     """(key, doc, page, line_no, rank): printed rows (a digit, 9 to 219 characters, at most ten words before it) that hold
     all words of an alias; longer aliases first, then pages that were read, then short labels. aliases: key, alias; read: doc, page."""
     words = F.size(F.filter(F.split(F.regexp_extract(F.trim("line"), r"^[^\d]*", 0), r"\s+"), lambda x: x != ""))
-    rows = lines.where((F.length(F.trim("line")) > 8) & (F.length(F.trim("line")) < 220) & F.col("line").rlike(r"\d")).withColumn("__w", words).where("__w <= 10")
+    rows = lines.where(table_row(F.col("line"))).withColumn("__w", words).dropDuplicates(["doc", "page", "line_no", "line"])
     hit = contained_aliases(aliases.select("alias").distinct(), rows, ["doc", "page", "line_no"])
-    sized = hit.join(aliases.withColumn("__n", F.size(T.alias_tokens(F.col("alias")))), "alias").groupBy("key", "doc", "page", "line_no").agg(F.max("__n").alias("__n"))
+    sized = hit.join(aliases.distinct().withColumn("__n", F.size(T.alias_tokens(F.col("alias")))), "alias").groupBy("key", "doc", "page", "line_no").agg(F.max("__n").alias("__n"))
     seen = read.select("doc", "page").distinct().withColumn("__r", F.lit(0))
     ranked = sized.join(rows.select("doc", "page", "line_no", "__w"), ["doc", "page", "line_no"]).join(seen, ["doc", "page"], "left")
     return top_k(ranked, ["key", "doc"], [F.desc("__n"), F.coalesce("__r", F.lit(1)), F.col("__w"), F.col("page"), F.col("line_no")], k).select("key", "doc", "page", "line_no", "rank")

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def wide(facts: DataFrame, rows: list[str], key: str, value: str, keys: list[str], missing: str = "Not disclosed") -> DataFrame:
-    """One row for each of `rows`, one column for each key, in the given order (a fixed list: one pass)."""
-    out = facts.groupBy(*rows).pivot(key, keys).agg(F.first(value, ignorenulls=True))
-    return out.select(*rows, *[F.coalesce(F.col(f"`{k}`"), F.lit(missing)).alias(k) for k in keys])
+def wide(facts: DataFrame, rows: list[str], key: str, value: str, keys: list[str], order: str, found: Column | None = None, status: Column | None = None, verified: DataFrame | None = None, missing: str = "Not disclosed") -> DataFrame:
+    """One row for each of `rows`, one column for each key, in the given order (a fixed list: one pass).
+
+    A cell is the verified value if there is one, "" if the key has no record, "N/A" if its last record (by `order`) has a status,
+    its value ("" if null) if it is found, else `missing`. verified: rows, key, value, order; of several the last.
+    """
+    there = F.col(value).isNotNull() if found is None else F.coalesce(found, F.lit(False))
+    cell = F.when(there, F.coalesce(F.col(value), F.lit(""))).otherwise(F.lit(missing))
+    if status is not None:
+        cell = F.when(F.coalesce(status, F.lit("")) != "", F.lit("N/A")).otherwise(cell)
+    cells = facts.select(*rows, key, cell.alias("__cell"), F.lit(0).alias("__tier"), F.col(order).alias("__order"))
+    if verified is not None:
+        kept = verified.where(F.col(value).isNotNull()).join(facts.select(*rows).distinct(), rows, "left_semi")
+        cells = cells.unionByName(kept.select(*rows, key, F.col(value).alias("__cell"), F.lit(1).alias("__tier"), F.col(order).alias("__order")))
+    out = cells.groupBy(*rows).pivot(key, keys).agg(F.max_by("__cell", F.struct("__tier", "__order", "__cell")))
+    return out.select(*rows, *[F.coalesce(F.col(f"`{k}`"), F.lit("")).alias(k) for k in keys])
 
 
 def rollup(rows: DataFrame, by: str, total: str = "TOTAL", **sums) -> DataFrame:
@@ -35,9 +47,9 @@ def sheet_names(tables: DataFrame, order: list[str]) -> DataFrame:
     return tables.withColumn("__name", name).withColumn("sheet", F.when(k == 1, F.col("__name")).otherwise(F.concat(short, suffix))).drop("__name")
 
 
-def section_groups(tables: DataFrame, by: list[str], order: str) -> DataFrame:
+def section_groups(tables: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Number the runs of tables of one scope and section on adjoining pages; a table without a section stands alone."""
-    w = Window.partitionBy(*by).orderBy(order)
+    w = Window.partitionBy(*by).orderBy(*order)
     section = F.lower(F.trim("section"))
     same = (section != "") & F.col("scope").eqNullSafe(F.lag("scope").over(w)) & (section == F.lag(section).over(w)) & (F.col("page") - F.lag("page").over(w) <= 1)
     return tables.withColumn("__new", 1 - F.coalesce(same.cast("int"), F.lit(0))).withColumn("group_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")

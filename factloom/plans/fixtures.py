@@ -16,6 +16,9 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         ("bolt", "standalone", "Share Premium", "-", "ok"), ("bolt", "standalone", "Other CWIP", "77.3", "ok"), ("bolt", "standalone", "Equity Issued", "45", "ok"), ("bolt", "consolidated", "Hedging Reserve", "-", "ok"), ("bolt", "consolidated", "Equity Issued", "5", "ok"),
     ]),
     "prior": ("company string, scope string, key string, value string", [("acme", "standalone", "Share Premium", "905"), ("acme", "standalone", "Hedging Reserve", "(45)"), ("acme", "consolidated", "Share Premium", "949"), ("bolt", "standalone", "Other CWIP", "76.5")]),
+    "verified": ("company string, scope string, key string, value string, ord int", [("acme", "standalone", "Share Premium", "1,006", 1), ("acme", "standalone", "Share Premium", "1,007", 2), ("acme", "standalone", "Other CWIP", "3", 3), ("acme", "consolidated", "Equity Issued", None, 4), ("none", "standalone", "Share Premium", "9", 5)]),
+    "parent_lines": ("label string, value string, note_ref string", [("Trade payables", "5.0", "12"), ("Trade payables", "5.0", "12"), ("Profit before trade payables", "99", "3"), ("Other trade payables and borrowings", "(2)", None), ("Borrowings", "-", "14"), ("Retained earnings", "7", None), (None, "4", None)]),
+    "parent_rules": ("section string, word string", [("payables", "trade payable"), ("payables", "payables"), ("loans", "borrowing"), ("loans", "borrowing"), ("none", "nothing")]),
     "statements": ("id int, total_a string, total_b string, pbt string, tax string, pat string, income string, expense string, op string, inv string, fin string, fx string, net string, opening string, closing string", [
         (1, "1,000", "1,004", "100", "25", "75", "500", "400", "50", "(20)", "(10)", None, "20", "5", "25"), (2, "1,000", "1,006", "100", "25", "70", "500", "401", "50", "(20)", "(10)", "2", "90", "5", "97"),
         (3, "0", "0", "100", None, "75", "500", "300", None, None, None, None, "20", "5", "25"), (4, None, "5", None, None, None, None, None, "1", "1", "1", "1", "40", "1", "2"), (5, "(900)", "(902)", "-10", "(2)", "(8)", "5", "15", "10", "5", "5", "-1", "19", "1", "20"),
@@ -29,8 +32,8 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "marks": ("page int, a int, x double", [(1, 1, 10.0), (1, 2, 33.0), (1, 3, 41.0), (2, 1, 5.0)]),
     "centres": ("page int, b int, c double", [(1, 1, 12.0), (1, 2, 38.0), (1, 3, 200.0), (2, 1, 80.0)]),
     "blocks": ("id int, nums array<double>", [(1, [100.0, 20.0, 5.0, 115.0]), (2, [40.0, 10.0, 50.0]), (3, [100.0, 20.0, 99.0]), (4, [5.0]), (5, [37869.0, -334.0, 37535.0]), (6, [1843.74, 97.91, -439.69, 1501.96]), (7, [296.0, -62.0, 234.0]), (8, [1.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0])]),
-    "aliases": ("alias string", [("Trade payables",), ("Legal and professional charges",), ("Interest on loans",), ("Reserves",)]),
-    "report_lines": ("page int, line_no int, line string", [(1, 1, "Trade payable 12 1,234 1,100"), (1, 2, "Legal & professional charges 55"), (1, 3, "legal and other professional charge 3"), (2, 1, "Interest paid on term loan 9,876.5"), (2, 2, "Reserve and surplus 4"), (2, 3, "# Note 5"), (2, 4, "|a|b|"), (2, 5, "|---|---|"), (2, 6, "| 1 | 2 |"), (2, 7, "end"), (2, 8, "|c|d|")]),
+    "aliases": ("alias string", [("Trade payables",), ("Legal and professional charges",), ("Interest on loans",), ("Reserves",), ("Trade payables",), ("of the",)]),
+    "report_lines": ("page int, line_no int, line string", [(1, 1, "Trade payable 12 1,234 1,100"), (1, 2, "Legal & professional charges 55"), (1, 3, "legal and other professional charge 3"), (1, 1, "Trade payable 12 1,234 1,100"), (2, 1, "Interest paid on term loan 9,876.5"), (2, 2, "Reserve and surplus 4"), (2, 3, "# Note 5"), (2, 4, "|a|b|"), (2, 5, "|---|---|"), (2, 6, "| 1 | 2 |"), (2, 7, "end"), (2, 8, "|c|d|"), (3, 1, "**Cash flows**:"), (3, 2, "  "), (3, 3, "|a|**b**|"), (3, 4, "| :-- | --: |"), (3, 5, "||x|"), (3, 6, "|5|6"), (3, 7, "|one|"), (3, 8, "|two|"), (4, 1, "|p|q|"), (4, 2, "|---|---|"), (4, 3, "|r|s|t|")]),
     "cells": ("page int, cell string", [(1, "1,234"), (1, "55"), (2, "(9,876.50)")]),
     "moves": ("item string, id int, opening double, closing double", [("dep", 1, 100.0, 120.0), ("dep", 2, 120.0, 140.0), ("dep", 3, 300.0, 310.0), ("tax", 1, 5.0, 6.0), ("tax", 2, 9.0, 5.01)]),
     "components": ("note int, value double, total double, parent double", [(1, 10.0, 30.0, 30.2), (1, 20.0, 30.0, 30.2), (2, 10.0, 30.0, 30.0), (2, None, 30.0, 30.0), (3, 5.0, 5.0, None)]),

@@ -143,7 +143,7 @@ def s12_assemble(spark, sf_dir):
     return P.assemble(table(spark, "report_pages").where("page <= 3"))
 
 
-@query(""", sized AS (SELECT *, max(page) OVER (PARTITION BY doc) AS n FROM report_pages) SELECT doc, n AS n_pages, n <= 50 AND sum(length(text)) / 4 <= 100000 AS small, sum(CASE WHEN (page - 1) % greatest(1, n // 60) = 0 THEN length(text) ELSE 0 END) < 1500 AS image_only FROM sized GROUP BY doc, n""", "report_pages")
+@query(""", sized AS (SELECT *, max(page) OVER (PARTITION BY doc) AS n FROM report_pages) SELECT doc, n AS n_pages, n <= 50 AND sum(length(text)) / 4 <= 100000 AS small, n <= 60 AND sum(length(text)) // 4 <= 60000 AS one_call, sum(CASE WHEN (page - 1) % greatest(1, n // 60) = 0 THEN length(text) ELSE 0 END) < 1500 AS image_only FROM sized GROUP BY doc, n""", "report_pages")
 def s13_routing(spark, sf_dir):
     return P.routing(table(spark, "report_pages"))
 

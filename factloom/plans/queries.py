@@ -167,18 +167,24 @@ def j15_latest_year(spark, sf_dir):
 _ALIAS = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z][a-z&/\\-]+'), lambda w: length(w) > 2 AND w NOT IN ('of','and','on','for','the','to','in','from','with','a','an','net')), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') THEN w[:-2] ELSE w END))"
 
 
-@_query(f"SELECT alias, page, line_no FROM aliases, report_lines WHERE len({_ALIAS.format('alias')}) > 0 AND list_has_all({_ALIAS.format('line')}, {_ALIAS.format('alias')})", "aliases", "report_lines")
+@_query(f"SELECT DISTINCT alias, page, line_no FROM aliases, report_lines WHERE len({_ALIAS.format('alias')}) > 0 AND list_has_all({_ALIAS.format('line')}, {_ALIAS.format('alias')})", "aliases", "report_lines")
 def j7_contained_aliases(spark, sf_dir):
     return M.contained_aliases(table(spark, "aliases"), table(spark, "report_lines"), ["page", "line_no"])
 
 
-@_query("""SELECT section, sum(l_extendedprice)::DOUBLE AS total, count(*) AS n FROM (SELECT DISTINCT section, l_orderkey, l_linenumber, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN (VALUES ('a', 'STEEL'), ('a', 'PROMO'), ('b', 'BRASS')) r(section, word) ON contains(p_type, word)) GROUP BY section""")
+@_query("""SELECT section, sum(l_extendedprice)::DOUBLE AS total, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (VALUES ('a', ['STEEL', 'PROMO']), ('b', ['BRASS'])) r(section, words)
+  ON len(list_filter(words, lambda w: contains(p_type, w))) > 0 WHERE NOT contains(p_type, 'ECONOMY') GROUP BY section""")
 def j6_keyword_totals(spark, sf_dir):
     l, p = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part"))
-    rows = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_extendedprice", "p_type")
-    rules = spark.createDataFrame([("a", "STEEL"), ("a", "PROMO"), ("b", "BRASS")], "section string, word string")
-    return M.keyword_totals(rows, rules, F.col("p_type"), F.col("l_extendedprice"))
+    rows = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_extendedprice", "p_type")
+    rules = spark.createDataFrame([("a", "STEEL"), ("a", "PROMO"), ("b", "BRASS"), ("a", "STEEL")], "section string, word string")
+    return M.keyword_totals(rows, rules, F.col("p_type"), F.col("l_extendedprice"), exclude=("ECONOMY",)).drop("refs")
+
+
+@_query(f""", v AS (SELECT *, {_stated('value')} AS v FROM parent_lines) SELECT section, sum(v) AS total, count(*) AS n, list_sort(list(note_ref) FILTER (note_ref IS NOT NULL)) AS refs FROM v JOIN (SELECT section, list(word) AS words FROM parent_rules GROUP BY section)
+  ON len(list_filter(words, lambda w: contains(lower(label), w))) > 0 WHERE NOT contains(lower(label), 'profit') AND NOT contains(lower(label), 'earning') GROUP BY section""", "parent_lines", "parent_rules")
+def j6_parent_values(spark, sf_dir):
+    return M.keyword_totals(table(spark, "parent_lines"), table(spark, "parent_rules"), F.lower("label"), N.statement_number(F.col("value")), F.col("note_ref"), ("profit", "earning"))
 
 
 # Verification
@@ -279,10 +285,15 @@ def v11_sole_value(spark, sf_dir):
 
 # Reports
 
-@_query("""SELECT company, scope, coalesce(any_value(value) FILTER (key = 'Share Premium'), 'Not disclosed') AS "Share Premium", coalesce(any_value(value) FILTER (key = 'Hedging Reserve'), 'Not disclosed') AS "Hedging Reserve",
-  coalesce(any_value(value) FILTER (key = 'Other CWIP'), 'Not disclosed') AS "Other CWIP" FROM facts WHERE ord < 9 GROUP BY company, scope""", "facts")
+_WIDE = ["Share Premium", "Hedging Reserve", "Other CWIP", "Equity Issued"]
+
+
+@_query(""", f AS (SELECT company, scope, key, CASE WHEN company = 'bolt' AND key = 'Equity Issued' THEN 'N/A' WHEN found THEN coalesce(value, '') ELSE 'Not disclosed' END AS cell, 0 AS tier, ord FROM facts
+  UNION ALL SELECT company, scope, key, value, 1, ord FROM verified v WHERE value IS NOT NULL AND EXISTS (SELECT 1 FROM facts f WHERE f.company = v.company AND f.scope = v.scope))
+  SELECT company, scope, """ + ", ".join(f"""coalesce(arg_max(cell, (tier, ord, cell)) FILTER (key = '{k}'), '') AS "{k}\"""" for k in _WIDE) + """ FROM f GROUP BY company, scope""", "facts", "verified")
 def r24_wide(spark, sf_dir):
-    return P.wide(table(spark, "facts").where("ord < 9"), ["company", "scope"], "key", "value", ["Share Premium", "Hedging Reserve", "Other CWIP"])
+    status = F.when((F.col("company") == "bolt") & (F.col("key") == "Equity Issued"), "not applicable")
+    return P.wide(table(spark, "facts"), ["company", "scope"], "key", "value", _WIDE, "ord", F.col("found"), status, table(spark, "verified"))
 
 
 @_query("""SELECT o_custkey, max(y)::INTEGER AS year, 'FY' || (max(y) - 1) || '-' || lpad((max(y) % 100)::VARCHAR, 2, '0') AS label FROM (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY o_custkey, year(o_orderdate)
@@ -299,25 +310,26 @@ def k4_sheet_names(spark, sf_dir):
     return P.sheet_names(table(spark, "found_tables"), ["doc", "page", "n", "title"]).select("doc", "page", "n", "title", "sheet")
 
 
-@_query("""SELECT doc, page, n, title, sum(new) OVER (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no FROM (
+@_query("""SELECT doc, page, n, title, sum(new) OVER (PARTITION BY doc ORDER BY ord, title ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no FROM (
   SELECT *, 1 - coalesce((s <> '' AND scope = lag(scope) OVER w AND s = lag(s) OVER w AND page - lag(page) OVER w <= 1)::INT, 0) AS new FROM (
-    SELECT *, lower(trim(section)) AS s, page * 100 + n AS ord FROM found_tables WHERE title <> 'u') WINDOW w AS (PARTITION BY doc ORDER BY ord))""", "found_tables")
+    SELECT *, lower(trim(section)) AS s, page * 100 + n AS ord FROM found_tables) WINDOW w AS (PARTITION BY doc ORDER BY ord, title))""", "found_tables")
 def w7_section_groups(spark, sf_dir):
-    t = table(spark, "found_tables").where("title <> 'u'").withColumn("ord", F.expr("page * 100 + n"))
-    return P.section_groups(t, ["doc"], "ord").select("doc", "page", "n", "title", "group_no")
+    t = table(spark, "found_tables").withColumn("ord", F.expr("page * 100 + n"))
+    return P.section_groups(t, ["doc"], ["ord", "title"]).select("doc", "page", "n", "title", "group_no")
 
 
 # Sources, streams
 
-@_query("""SELECT page, line_no, heading, table_no, list_transform(string_split(regexp_replace(regexp_replace(trim(line), '^\\|', ''), '\\|$', ''), '|'), lambda x: trim(x)) AS cells FROM (
-  SELECT *, last_value(CASE WHEN starts_with(line, '#') THEN trim(replace(line, '#', '')) END IGNORE NULLS) OVER w AS heading, (sum(s) OVER w)::BIGINT AS table_no FROM (
-    SELECT *, (starts_with(line, '|') AND NOT coalesce(starts_with(lag(line) OVER (PARTITION BY page ORDER BY line_no), '|'), false))::INT AS s FROM report_lines) WINDOW w AS (PARTITION BY page ORDER BY line_no ROWS UNBOUNDED PRECEDING))
-  WHERE starts_with(line, '|') AND NOT regexp_matches(line, '^\\|[\\s:|-]+\\|?$')""", "report_lines")
+@_query(r""", l AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM report_lines), r AS (SELECT *, starts_with(t, '|') AND ends_with(t, '|') AS row FROM l), m AS (SELECT *, (row AND NOT coalesce(lag(row) OVER w, false))::INT AS s,
+  CASE WHEN t <> '' AND NOT starts_with(t, '|') THEN regexp_replace(regexp_replace(t, '^[#* ]+', ''), '[*: ]+$', '') END AS said FROM r WINDOW w AS (PARTITION BY page ORDER BY line_no)),
+  n AS (SELECT *, coalesce(last_value(said IGNORE NULLS) OVER w, '') AS heading, (sum(s) OVER w)::BIGINT AS table_no, list_transform(string_split(regexp_replace(t, '^\|+|\|+$', '', 'g'), '|'), lambda x: trim(regexp_replace(trim(x), '^\*+|\*+$', '', 'g'))) AS cells
+    FROM m WINDOW w AS (PARTITION BY page ORDER BY line_no ROWS UNBOUNDED PRECEDING)), k AS (SELECT * FROM n WHERE row AND len(list_filter(cells, lambda c: NOT regexp_matches(c, '^[-: ]*$'))) > 0)
+  SELECT page, line_no, heading, table_no, cells FROM k QUALIFY count(*) OVER (PARTITION BY page, table_no) >= 2 AND first_value(len(cells)) OVER (PARTITION BY page, table_no ORDER BY line_no) >= 2""", "report_lines")
 def s11_markdown_tables(spark, sf_dir):
     return files.markdown_rows(table(spark, "report_lines"), ["page"])
 
 
-@_query("""SELECT source AS doc, doc_id AS page, (unnest(range(len(string_split(text, chr(10))))))::INTEGER AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE NOT contains(text, chr(13))""")
+@_query(r"""SELECT source AS doc, doc_id AS page, (unnest(range(len(string_split_regex(text, '\r?\n')))))::INTEGER AS line_no, unnest(string_split_regex(text, '\r?\n')) AS line FROM documents""")
 def s12_lines(spark, sf_dir):
     return R.lines(_docs(spark, sf_dir), ["doc", "page"])
 

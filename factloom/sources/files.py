@@ -22,15 +22,23 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def markdown_rows(lines: DataFrame, by: list[str], order: str = "line_no", text: str = "line") -> DataFrame:
-    """(by, order, heading, table_no, cells): rows of pipe tables, dash rows left out, with the heading last seen."""
+    """(by, order, heading, table_no, cells): rows of pipe tables of at least two rows and two columns, rules of dashes left out.
+
+    A line that begins and ends with a pipe is a row. The heading is the last line before the table that is neither empty nor begins
+    with a pipe, without #, * and colons around it.
+    """
     w = Window.partitionBy(*by).orderBy(order)
-    t = F.trim(text)
-    is_row, is_heading = t.startswith("|") & (F.length(t) > 1), t.startswith("#")
-    out = lines.withColumn("__row", is_row).withColumn("heading", F.last(F.when(is_heading, F.trim(F.regexp_replace(t, "^#+|#+$", ""))), ignorenulls=True).over(w))
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    is_row = t.startswith("|") & t.endswith("|")
+    said = F.regexp_replace(F.regexp_replace(t, r"^[#* ]+", ""), r"[*: ]+$", "")
+    out = lines.withColumn("__row", is_row).withColumn("heading", F.coalesce(F.last(F.when((t != "") & ~t.startswith("|"), said), ignorenulls=True).over(w), F.lit("")))
     starts = (F.col("__row") & ~F.coalesce(F.lag("__row").over(w), F.lit(False))).cast("int")
     out = out.withColumn("__s", starts).withColumn("table_no", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = F.transform(F.split(F.regexp_replace(t, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    return out.where("__row").where(~t.rlike(r"^\|[\s:|-]+\|?$")).select(*by, order, "heading", "table_no", cells.alias("cells"))
+    cells = F.transform(F.split(F.regexp_replace(t, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(F.regexp_replace(F.trim(c), r"^\*+|\*+$", "")))
+    out = out.where("__row").withColumn("cells", cells).where(F.exists("cells", lambda c: ~c.rlike("^[-: ]*$")))
+    table = Window.partitionBy(*by, "table_no")
+    first = F.first(F.size("cells")).over(table.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return out.withColumn("__n", F.count("*").over(table)).withColumn("__w", first).where("__n >= 2 and __w >= 2").select(*by, order, "heading", "table_no", "cells")
 
 
 def write_wide(facts: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
