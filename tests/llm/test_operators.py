@@ -62,40 +62,64 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_lm_scoring(spark, odd):
     docs = all_of(spark)
-    vocab, net = lm_scoring.train(docs, epochs=20)
-    cells = lm_scoring.window_counts(docs, vocab).toArrow()
-    texts = [r.text for r in docs.collect()]
-    brute: dict = {}
-    for t in texts:
-        ids = [0, *vocab.ids(t).tolist(), 0]
-        for a, b, c in zip(ids, ids[1:], ids[2:]):
-            brute[(a * vocab.size + c) * vocab.size + b] = brute.get((a * vocab.size + c) * vocab.size + b, 0) + 1
+    lexicon = lm_scoring.train(docs, epochs=1)[0].lexicon
+    cells = lm_scoring.class_counts(docs, lexicon).toArrow()
+    of_word = lambda w: lexicon.kinds[lexicon[w]]
+    brute, v = Counter(), lexicon.size
+    for r in docs.collect():
+        ids = [0, *map(of_word, lm_scoring.tokens(r.text)), 0]
+        brute.update((a * v + c) * v + b for a, b, c in zip(ids, ids[1:], ids[2:]))
     assert dict(zip(cells["cell"].to_pylist(), cells["n"].to_pylist())) == brute
-    fresh = lm_scoring.Network(vocab.size)
+    fresh = lm_scoring.Network(v)
     seen = fresh.fit(cells["cell"].to_numpy(), cells["n"].to_numpy(), 20)
     assert seen[-1] > seen[0] + 0.1
-    assert np.allclose(np.exp(net.table().reshape(-1, vocab.size)).sum(1), 1, atol=1e-4)
+    assert np.allclose(np.exp(fresh.table().reshape(-1, v)).sum(1), 1, atol=1e-4)
     got = {r.doc_id: r for r in lm_scoring.score(odd, epochs=3).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 0 and got[1].log_likelihood == 0 and got[1].mean_log_prob is None
     assert got[4].n_tokens == 120_000 and got[4].log_likelihood < 0
     assert lm_scoring.score(odd, epochs=3).count() == odd.count() and lm_scoring.score(empty(odd), epochs=3).count() == 0
 
 
-def test_every_word_has_a_probability_within_its_class(spark):
-    docs = all_of(spark).select("doc_id", "text").limit(60).union(spark.createDataFrame([(9001, "the nation of the station"), (9002, "the nation of the qxzzvtion"), (9003, None), (None, "the nation")], "doc_id long, text string"))
-    docs = spark.createDataFrame([tuple(r) for r in docs.collect()] + [(9004, "station " * 50)], "doc_id long, text string")
-    vocab, net = lm_scoring.train(docs, frequent=5, epochs=5)
-    texts = [(r.doc_id, lm_scoring.tokens(r.text)) for r in docs.collect()]
-    words = [w for _, ws in texts for w in ws]
-    n, of = Counter(words), Counter(vocab[w] for w in words)
-    table, want = net.table().reshape(vocab.size, vocab.size, vocab.size), []
-    for i, ws in texts:
-        ids = [0, *[vocab[w] for w in ws], 0]
-        want.append((str(i), len(ws), sum(float(table[a, c, b]) for a, b, c in zip(ids, ids[1:], ids[2:])) + sum(np.log(n[w] / of[vocab[w]]) for w in ws)))
-    for held in (3, 50_000):
-        got = {(str(r.doc_id), r.n_tokens): r for r in lm_scoring.score(docs, frequent=5, epochs=5, held=held).collect()}
-        assert len(got) == len(want) and all(abs(got[i, k].log_likelihood - t) < 1e-3 * (1 + k) for i, k, t in want)
-        assert got["9001", 5].mean_log_prob > got["9002", 5].mean_log_prob + 0.3
+def test_lm_scores_by_brute_force(spark):
+    texts = [r.text for r in all_of(spark).limit(40).collect()]
+    texts += [texts[3], texts[3], texts[7] + " and more", "the nation of the station", "the nation of the qxzzvtion", None, "a", "station " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed, words = lm_scoring.word_hash, [lm_scoring.tokens(t) for t in texts]
+    n = Counter(w for ws in words for w in ws)
+    unsigned = lambda x: x % 2**64
+
+    def window(ws, i):
+        w = 0
+        for at in (i - 2, i - 1, i + 1, i + 2):
+            w = (w ^ (unsigned(hashed(ws[at])) if 0 <= at < len(ws) else 0)) * 0x9E3779B97F4A7C15 % 2**64
+            w ^= w >> 29
+        w = w * 0xBF58476D1CE4E5B9 % 2**64
+        return w ^ (w >> 32)
+
+    held, pairs, whole = [], Counter(), Counter()
+    for ws in words:
+        keys = [window(ws, i) for i in range(len(ws))]
+        low = sorted(keys)[: lm_scoring.LEAST][-1] if keys else 0
+        held.append([(i, k) for i, k in enumerate(keys) if k <= max(low, int(lm_scoring.SHARE * (2**64 - 1)))])
+        pairs.update((k, ws[i]) for i, k in held[-1])
+        whole.update(k for _, k in held[-1])
+    for many in (3, 50_000):
+        model, _ = lm_scoring.train(docs, frequent=5, epochs=5, held=many)
+        lexicon, v = model.lexicon, model.lexicon.size
+        kind = {w: lexicon.kinds[lexicon[w]] for w in n}
+        of_kind = Counter()
+        for w, k in n.items():
+            of_kind[kind[w]] += k
+        table, want = model.network.table().reshape(v, v, v), []
+        for ws, windows in zip(words, held):
+            ids = [0, *[kind[w] for w in ws], 0]
+            log = [float(table[a, c, b]) + np.log(n[w] / of_kind[kind[w]]) for a, b, c, w in zip(ids, ids[1:], ids[2:], ws)]
+            net = sum(log[i] for i, _ in windows)
+            full = sum(log[i] if whole[k] < 2 else np.log(0.5 * np.exp(log[i]) + 0.5 * (pairs[k, ws[i]] - 1) / (whole[k] - 1)) for i, k in windows)
+            want.append(sum(log) * (full / net if net else 1))
+        got = {r.doc_id: r for r in lm_scoring.score(docs, frequent=5, epochs=5, held=many).collect()}
+        assert all(abs(got[i].log_likelihood - x) < 1e-3 * (1 + abs(x)) and got[i].n_tokens == len(words[i]) for i, x in enumerate(want))
+        assert got[40].mean_log_prob > got[8].mean_log_prob + 2 and got[43].mean_log_prob > got[44].mean_log_prob + 0.3
 
 
 def test_license_scan(spark, odd):
