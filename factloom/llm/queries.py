@@ -84,7 +84,7 @@ FROM v LEFT JOIN low ON vec_id = low.a LEFT JOIN n ON vec_id = n.a""",
     "op5_pareto_mix": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0 AS u FROM documents
+    length(bin(greatest(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0), 1)::BIGINT)) - 1 AS class, (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0 AS u FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -98,13 +98,23 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, place) FROM f WHERE level <= cap / w) * w, cap)) AS target FROM f
 ), p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(least(2.0::DOUBLE, target / source_size)) ELSE 0 END AS copies FROM t
+  SELECT *, target - whole * source_size AS need FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(least(2.0::DOUBLE, target / source_size)) ELSE 0 END AS whole FROM t)
+), c AS (
+  SELECT d.source, d.class, sqrt(pow(2.0::DOUBLE, d.class)) AS m, sum(d.size)::BIGINT AS words, any_value(greatest(0, p.need)) AS need FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY d.source, d.class
+), e AS (
+  SELECT source, class, m, CASE WHEN upto > 0 THEN (need - above) / upto ELSE 0 END AS scale FROM (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+    sum(m * words) OVER (PARTITION BY source ORDER BY class ROWS UNBOUNDED PRECEDING) AS upto FROM c)
+), i AS (
+  SELECT source, greatest(0, arg_max(scale, class)) AS scale FROM e WHERE scale * m < 1 GROUP BY source
+), o AS (
+  SELECT d.*, p.source_size, p.target, p.whole, p.need, sqrt(pow(2.0::DOUBLE, d.class)) * coalesce(i.scale, 0) AS p FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN i ON d.source IS NOT DISTINCT FROM i.source
 ), q AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.copies, greatest(0, p.target - p.copies * p.source_size) AS need,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2 AS middle
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT *, (u / (1 - u)) / (least(greatest(p, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) / (1 - least(greatest(p, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE))) AS q,
+    need - coalesce(sum(size) FILTER (p >= 1) OVER (PARTITION BY source), 0) AS left_over FROM o
+), r AS (
+  SELECT *, p < 1 AND left_over > 0 AND coalesce(sum(size) OVER (PARTITION BY source, p < 1 ORDER BY q, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= left_over AS first FROM q
 )
-SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN need > 0 AND middle <= need THEN 1 ELSE 0 END))::BIGINT AS taken FROM q""",
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN p >= 1 OR first THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
     "op7_chat_collapse": r"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text,

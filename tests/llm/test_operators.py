@@ -227,6 +227,37 @@ def test_mix(spark, odd):
     assert pareto_mix.taken(empty(odd)).count() == 0
 
 
+def test_mix_of_one_source_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    sizes = [int(x) for x in rng.integers(1, 400, 300)] + [40_000]
+    docs = spark.createDataFrame([(i, "w " * n, "only", 1.0, 2.0) for i, n in enumerate(sizes)] + [(i + 1000, "w " * n, "other", 1.0, 2.0) for i, n in enumerate(sizes)], "doc_id long, text string, source string, target double, need double")
+    got = {r.doc_id: r.copies for r in pareto_mix.taken(docs).collect()}
+    u = {r.doc_id: r["__u"] for r in pareto_mix.sized(docs).collect()}
+    # weights 3 and 1: the first source gets its most, two copies; the second half of its words, so none for certain
+    assert all(got[i] == 2 for i in range(len(sizes)))
+    ids, need = np.arange(len(sizes)) + 1000, sum(sizes)
+    assert abs(sum(got[i] * sizes[i - 1000] for i in ids) - need) <= 40_000
+    docs = docs.where("doc_id >= 1000")
+    got = {r.doc_id: r.copies for r in pareto_mix.taken(docs).collect()}
+    need = 0.5 * sum(sizes)
+    m = np.sqrt(2.0 ** np.floor(np.log2(sizes)))
+    lo, hi = 0.0, 10.0
+    for _ in range(200):
+        c = (lo + hi) / 2
+        lo, hi = (lo, c) if (np.minimum(1, c * m) * sizes).sum() > need else (c, hi)
+    p = np.minimum(1, c * m)
+    assert p[-1] == 1 and got[ids[-1]] == 2
+    left, order = need - 40_000, sorted(range(len(sizes) - 1), key=lambda k: (u[ids[k]] / (1 - u[ids[k]])) / (p[k] / (1 - p[k])))
+    assert order != sorted(order, key=lambda k: u[ids[k]])
+    at, want = 0, {}
+    for k in order:
+        want[ids[k]] = 2 if at + sizes[k] / 2 <= left else 1
+        at += sizes[k]
+    assert all(got[i] == want[i] for i in want)
+    mixed = pareto_mix.repeated(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(got.values())
+
+
 def test_languages(spark, odd):
     got = Q.op6_language_id(spark, "/root/testdata/sf0.01").join(read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
