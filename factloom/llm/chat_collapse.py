@@ -1,18 +1,22 @@
 """Chat formatting after a collapse of cumulative snapshots.
 
-A chat log often holds a conversation again each time it has grown. Every conversation's turns are hashed one after
-the other, each with the hash of what came before; the hash at its last turn names the conversation, the ones before name
-its prefixes. An anti-join drops conversations that are a proper prefix of another one, equal ones stay once (smallest id),
-and what stays is rendered. Hashes are worked with before texts are moved; no Python runs.
+A chat log often holds a conversation again each time it has grown. Every conversation's turns get rolling prefix hashes: the
+hash of a prefix is that of the one before combined with the next turn's, so all of them are one running aggregate. The hash at
+its last turn names the conversation, the ones before name its prefixes. An anti-join drops conversations that are a proper
+prefix of another one, equal ones stay once (smallest id), and what stays is rendered. Hashes are worked with before texts are
+moved; no Python runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut
 
 TURN = "<|{role}|>\n{text}\n<|end|>\n"
+# The order of roles in turns of one number; others follow by name.
+ROLES = ("system", "user", "assistant", "tool")
+SEED = 23
 
 
 def _turn_hash(role: Column, text: Column) -> Column:
@@ -21,38 +25,47 @@ def _turn_hash(role: Column, text: Column) -> Column:
     return F.md5(F.concat(part(role), F.lit("|"), part(text)))
 
 
-def prefix_hashes(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """(conv, hashes): the rolling hashes of each conversation's turns in the order of turn, role and text."""
-    each = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), _turn_hash(F.col(role_col).cast("string"), F.col(text_col).cast("string")).alias("h")).distinct()
-    listed = each.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "h"))).alias("list"))
-    rolled = "aggregate(list, array(''), (a, x) -> concat(a, array(md5(concat(element_at(a, -1), x.h)))), a -> slice(a, 2, size(a)))"
-    return listed.select("conv", F.expr(rolled).alias("hashes"))
+def _keyed(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """turns as (key, conv, turn, rank, role, h, text); a turn without a conversation is a conversation of its own."""
+    role, text = F.col(role_col).cast("string"), F.col(text_col).cast("string")
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROLES]), role), F.lit(0)).cast("int")
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.when(rank > 0, rank).otherwise(len(ROLES) + 1).alias("rank"), role.alias("role"), _turn_hash(role, text).alias("h"), text.alias("text"))
+    return rows.withColumn("key", F.when(F.col("conv").isNotNull(), F.concat(F.lit("c"), F.col("conv").cast("string"))).otherwise(F.concat(F.lit("t"), F.col("h"))))
+
+
+def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(key, conv, n, p, q, last): per turn its number n in its conversation, the two hashes (p, q) of the prefix that it ends, and whether it is the last."""
+    each = _keyed(turns, conv_col, turn_col, role_col, text_col).drop("text").distinct()
+    order = Window.partitionBy("key").orderBy(F.col("turn").asc_nulls_first(), "rank", F.col("role").asc_nulls_first(), "h")
+    each = each.withColumn("n", F.row_number().over(order)).withColumn("last", F.lead("h").over(order).isNull())
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("key", "conv", "n", F.bit_xor(F.xxhash64("n", "h")).over(upto).alias("p"), F.bit_xor(F.xxhash64(F.lit(SEED), "h", "n")).over(upto).alias("q"), "last")
 
 
 def maximal(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, n_turns, n_snapshots): the conversations that are no proper prefix of another, of equal ones the smallest id.
+    """(key, conv, n_turns, n_snapshots): the conversations that are no proper prefix of another, of equal ones the smallest id.
 
     n_snapshots: how many logged conversations are equal to it.
     """
-    # an array of rolling hashes grows with the square of nothing: 32 characters a turn
     hashed = cut(prefix_hashes(turns, conv_col, turn_col, role_col, text_col))
-    whole = hashed.groupBy(F.element_at("hashes", -1).alias("h")).agg(F.min("conv").alias("conv"), F.count("*").alias("n_snapshots"), F.first(F.size("hashes")).cast("long").alias("n_turns"))
-    prefixes = hashed.select(F.explode(F.expr("slice(hashes, 1, size(hashes) - 1)")).alias("h")).distinct()
-    return whole.join(prefixes, "h", "left_anti").select("conv", "n_turns", "n_snapshots")
+    first = F.struct(F.col("conv").isNull().alias("none"), "conv", "key")
+    whole = hashed.where("last").groupBy("p", "q", "n").agg(F.min(first).alias("first"), F.count("*").alias("n_snapshots"))
+    prefixes = hashed.where("not last").select("p", "q", "n").distinct()
+    return whole.join(prefixes, ["p", "q", "n"], "left_anti").select("first.key", "first.conv", F.col("n").cast("long").alias("n_turns"), "n_snapshots")
 
 
 def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = TURN) -> DataFrame:
     """(conv_id, n_turns, n_snapshots, rendered), one row per maximal conversation.
 
-    Turns are in the order of turn (null first), then of role and text's hash; repeated rows of a turn count once. A null
-    role or text is rendered as an empty string but hashed apart from one. Rows without a conversation id are one conversation
-    of that null id. Empty table: no rows. Other columns are ignored.
+    Turns are in the order of turn (null first), of role (system, user, assistant, tool, then others by name, null first) and of
+    the hash of role and text; repeated rows of a turn count once. A null role or text is rendered as an empty string but hashed
+    apart from one. A row without a conversation id is a conversation of its own, of one turn; equal ones are one, and of
+    equal conversations one with an id is kept. Empty table: no rows. Other columns are ignored.
     """
     kept = cut(maximal(turns, conv_col, turn_col, role_col, text_col))
-    role, text = F.col(role_col).cast("string"), F.col(text_col).cast("string")
-    rows = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("turn"), _turn_hash(role, text).alias("h"), role.alias("role"), text.alias("text")).distinct()
-    rows = rows.join(kept, F.col("c").eqNullSafe(F.col("conv")))
     before, middle, after = template.partition("{role}")[0], template.partition("{role}")[2].partition("{text}")[0], template.partition("{text}")[2]
     piece = F.concat(F.lit(before), F.coalesce("role", F.lit("")), F.lit(middle), F.coalesce("text", F.lit("")), F.lit(after))
-    out = rows.groupBy("c").agg(F.first("n_turns").alias("n_turns"), F.first("n_snapshots").alias("n_snapshots"), F.array_sort(F.collect_list(F.struct("turn", "h", piece.alias("piece")))).alias("list"))
-    return out.select(F.col("c").alias("conv_id"), "n_turns", "n_snapshots", F.array_join(F.col("list.piece"), "").alias("rendered"))
+    rows = _keyed(turns, conv_col, turn_col, role_col, text_col).select("key", F.struct("turn", "rank", "role", "h", piece.alias("piece")).alias("t"))
+    listed = rows.join(kept, "key").groupBy("key").agg(F.first("conv").alias("conv_id"), F.first("n_turns").alias("n_turns"), F.first("n_snapshots").alias("n_snapshots"), F.array_sort(F.collect_list("t")).alias("list"))
+    once = F.filter("list", lambda t, i: (i == 0) | ~t.eqNullSafe(F.get("list", i - 1)))
+    return listed.select("conv_id", "n_turns", "n_snapshots", F.array_join(F.transform(once, lambda t: t.piece), "").alias("rendered"))

@@ -117,19 +117,20 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN p >= 1 OR first THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
     "op7_chat_collapse": r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, role, text,
+  SELECT DISTINCT conv_id, turn, coalesce(nullif(coalesce(list_position(['system', 'user', 'assistant', 'tool'], role), 0), 0), 5) AS rank, role, text,
     md5(coalesce('v' || length(role) || ':' || role, 'n') || '|' || coalesce('v' || length(text) || ':' || text, 'n')) AS h FROM conversations
+), k AS (
+  SELECT *, coalesce('c' || conv_id, 't' || h) AS key FROM t
 ), p AS (
-  SELECT *, string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h ROWS UNBOUNDED PRECEDING) AS pre,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t
+  SELECT *, string_agg(h, '') OVER (w ROWS UNBOUNDED PRECEDING) AS pre, row_number() OVER w AS k, count(*) OVER (PARTITION BY key) AS n FROM k WINDOW w AS (PARTITION BY key ORDER BY turn NULLS FIRST, rank, role NULLS FIRST, h)
 ), whole AS (
-  SELECT pre, min(conv_id) AS conv_id, count(*) AS n_snapshots, min(n) AS n_turns FROM p WHERE k = n GROUP BY pre
+  SELECT pre, arg_min(key, (conv_id IS NULL, coalesce(conv_id, 0), key)) AS key, min(conv_id) AS conv_id, count(*) AS n_snapshots, min(n) AS n_turns FROM p WHERE k = n GROUP BY pre
 ), kept AS (
   SELECT * FROM whole WHERE pre NOT IN (SELECT pre FROM p WHERE k < n)
 )
-SELECT k.conv_id, k.n_turns::BIGINT AS n_turns, k.n_snapshots::BIGINT AS n_snapshots,
-  string_agg('<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY t.turn NULLS FIRST, t.h) AS rendered
-FROM kept k JOIN t ON k.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY ALL""",
+SELECT s.conv_id, s.n_turns::BIGINT AS n_turns, s.n_snapshots::BIGINT AS n_snapshots,
+  string_agg('<|' || coalesce(k.role, '') || '|>' || chr(10) || coalesce(k.text, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY k.turn NULLS FIRST, k.rank, k.role NULLS FIRST, k.h) AS rendered
+FROM kept s JOIN k USING (key) GROUP BY s.key, s.conv_id, s.n_turns, s.n_snapshots""",
 }
 
 

@@ -1,5 +1,6 @@
 """Each operator against brute force on a small table, and on nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -269,15 +270,44 @@ def test_languages(spark, odd):
     assert language_id.identify(empty(odd).select("doc_id", "text"), language_id.fit(empty(odd))).count() == 0
 
 
+def chat_by_hand(rows):
+    """(conv, n_turns, n_snapshots, rendered) of (conv, turn, role, text)."""
+    null = lambda x: (x is not None, x)
+    rank = lambda r: {"system": 1, "user": 2, "assistant": 3, "tool": 4}.get(r, 5)
+    part = lambda x: "n" if x is None else f"v{len(x)}:{x}"
+    turn_hash = lambda r, t: hashlib.md5(f"{part(r)}|{part(t)}".encode()).hexdigest()
+    convs = {}
+    for c, n, r, t in set(rows):
+        convs.setdefault(("c", c) if c is not None else ("t", turn_hash(r, t)), set()).add((null(n), rank(r), null(r), turn_hash(r, t), r or "", t or ""))
+    seqs = {k: [x[3:] for x in sorted(v)] for k, v in convs.items()}
+    prefixes = {tuple(x[0] for x in s[:i]) for s in seqs.values() for i in range(1, len(s))}
+    out = {}
+    for (kind, c), s in sorted(seqs.items(), key=str):
+        name = tuple(x[0] for x in s)
+        if name not in prefixes:
+            same = [k[1] for k, o in seqs.items() if k[0] == "c" and tuple(x[0] for x in o) == name]
+            out[name] = (min(same, default=None), len(s), sum(tuple(x[0] for x in o) == name for o in seqs.values()), "".join(f"<|{r}|>\n{t}\n<|end|>\n" for _, r, t in s))
+    return sorted(map(str, out.values()))
+
+
 def test_chat(spark):
     t = [(1, 1, "u", "hi"), (1, 2, "a", "yo"), (2, 1, "u", "hi"), (3, 1, "u", "hi"), (3, 2, "a", "yo"), (3, 3, "u", None), (3, 3, "u", None), (4, 1, "u", ""), (5, 1, "u", None), (6, 1, "u", "hi"), (6, 2, "a", "yo"), (6, 3, "u", None), (None, 1, "u", "hi"), (7, None, None, "x")]
-    df = spark.createDataFrame([(*r, "c") for r in t], "conv_id long, turn long, role string, text string, h string")
-    got = {r.conv_id: r for r in chat_collapse.render(df).collect()}
-    assert set(got) == {3, 4, 5, 7} and got[3].n_turns == 3 and got[3].n_snapshots == 2
-    assert got[3].rendered == "<|u|>\nhi\n<|end|>\n<|a|>\nyo\n<|end|>\n<|u|>\n\n<|end|>\n"
+    t += [(None, 5, "u", "alone"), (None, 5, "u", "alone"), (None, 1, "b", None), (8, 1, "assistant", "yes"), (8, 1, "user", "well?"), (9, 1, "user", "why?"), (9, 1, "assistant", "so"), (9, 1, "system", "be kind"), (10, 2, "user", "x"), (10, 1, "user", "y" * 100_000)]
+    df = spark.createDataFrame([(*r, "c", 1, 2) for r in t], "conv_id long, turn long, role string, text string, h string, key int, n int")
+    got = chat_collapse.render(df).collect()
+    assert sorted(str(tuple(r)) for r in got) == chat_by_hand(t)
+    by_id = {r.conv_id: r for r in got if r.conv_id}
+    assert set(by_id) == {3, 4, 5, 7, 8, 9, 10} and by_id[3].n_turns == 3 and by_id[3].n_snapshots == 2
+    assert by_id[3].rendered == "<|u|>\nhi\n<|end|>\n<|a|>\nyo\n<|end|>\n<|u|>\n\n<|end|>\n"
+    assert by_id[8].rendered.startswith("<|user|>") and by_id[9].rendered.startswith("<|system|>\nbe kind")
     assert chat_collapse.render(df.where("false")).count() == 0
 
 
+def test_chat_of_the_whole_table(spark):
+    rows_of = [tuple(r) for r in all_of(spark, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted(str(tuple(r)) for r in chat_collapse.render(all_of(spark, "conversations")).collect()) == chat_by_hand(rows_of)
+
+
 def test_packing(spark, odd):
     own = Tokenizer.from_file(PATH)
     docs = odd.union(all_of(spark).select(*[F.col(c) if c in all_of(spark).columns else F.lit(None).alias(c) for c in odd.columns]))
