@@ -18,9 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, connected_components, cut
+from .common import aside, batch, connected_components, cut
 
 RADIUS = 4
 SHINGLE = 4
@@ -132,6 +132,20 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.where("a <> b").union(stars)
 
 
+def labelled(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(fp, first): the smallest label of all fingerprints reachable by links. nodes: fp (distinct), label (comparable, one for each fp, not null).
+
+    Components run on the labels (with the fingerprint behind each, so that equal labels of two fingerprints stay two), so the
+    component is the answer at once and no group of a component's members is ever made.
+    """
+    named = nodes.select("fp", F.struct("label", "fp").alias("node"))
+    edges = links(nodes, block).where("a <> b")
+    ends = edges.join(named.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    of = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    reached = of.select(F.col("node.fp").alias("fp"), F.col("component.label").alias("first"))
+    return nodes.join(reached, "fp", "left").select("fp", F.coalesce("first", "label").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of docs.
 
@@ -140,19 +154,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a fingerprint and a component (null only if all ids in it are). Empty table: no rows. Other columns are ignored.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    of = connected_components(links(fps, block))
-    placed = nodes.join(of, nodes.fp == of.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    lowest = placed.groupBy("c").agg(F.min("low").alias("component_id"))
-    by_fp = placed.join(lowest, "c").select("fp", "component_id")
+    low = F.min("doc_id")
+    nodes = fps.groupBy("fp").agg(F.struct(low.isNull().alias("none"), low.alias("id")).alias("label"))
+    by_fp = labelled(nodes, block).select("fp", F.col("first.id").alias("component_id"))
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one row of each component: the one with the smallest id (a null one is the largest), then text hash.
 
-    Rows are told apart by id and two hashes of the text; of rows that are equal in these one stays. Columns are those of docs.
+    Rows are told apart by id and two hashes of the text; of rows that are equal in these one stays. Null and empty texts are near-duplicates
+    of one another. An empty table gives no rows. Columns are those of docs, whatever their names.
     """
+    docs, own = aside(docs, (id_col, text_col))
     text = F.col(text_col).cast("string")
     marks = [F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__h"), F.xxhash64(F.lit(13), text).alias("__o")]
 
@@ -163,10 +177,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = cut(docs.select(*marks, text.alias("__t")).mapInArrow(run, "__id long, __h long, __o long, fp long"))
     key = F.struct(F.col("__id").isNull().alias("none"), "__id", "__h", "__o")
-    nodes = rows.groupBy("fp").agg(F.min(key).alias("low"))
-    of = connected_components(links(rows))
-    placed = nodes.join(of, nodes.fp == of.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    first = placed.join(placed.groupBy("c").agg(F.min("low").alias("first")), "c").select("fp", "first")
+    first = labelled(rows.groupBy("fp").agg(F.min(key).alias("label")))
     keys = cut(rows.groupBy("__id", "__h", "__o", "fp").count().join(first, "fp").withColumn("stays", key.eqNullSafe(F.col("first"))))
     same = lambda k: marked["__id"].eqNullSafe(k["k_id"]) & (marked["__h"] == k["k_h"]) & (marked["__o"] == k["k_o"])
     named = [F.col("__id").alias("k_id"), F.col("__h").alias("k_h"), F.col("__o").alias("k_o")]
@@ -175,7 +186,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = marked.join(drop, same(drop), "left_anti")
     repeated = keys.where("stays and count > 1").select(*named)
     if not repeated.isEmpty():
-        once = F.row_number().over(Window.partitionBy("__id", "__h", "__o").orderBy(F.lit(0)))
-        again = marked.join(repeated, same(repeated), "left_semi").withColumn("__n", once).where("__n = 1").drop("__n")
-        marked = marked.join(repeated, same(repeated), "left_anti").unionByName(again)
-    return marked.drop("__id", "__h", "__o")
+        # one of each: a number is drawn for every row once, and the smallest of a key's numbers is found by partial aggregation
+        again = cut(marked.join(repeated, same(repeated), "left_semi").withColumn("__n", F.monotonically_increasing_id()))
+        least = again.groupBy("__id", "__h", "__o").agg(F.min("__n").alias("k_n")).select("k_n")
+        marked = marked.join(repeated, same(repeated), "left_anti").unionByName(again.join(least, F.col("__n") == F.col("k_n"), "left_semi").drop("__n"))
+    return own(marked)

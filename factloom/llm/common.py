@@ -18,19 +18,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no lineage.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a
-    temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset and all runs on one machine (tests) a temporary
+    one is made: on a cluster each executor would write to a disk of its own.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def batch(columns: dict[str, list | pa.Array], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     arrays = [columns[n] if isinstance(columns[n], (pa.Array, pa.ChunkedArray)) else pa.array(columns[n], t) for n, t in types.items()]
     return pa.RecordBatch.from_arrays(arrays, names=list(types))
@@ -43,7 +42,7 @@ def unit_hash(*parts: Column) -> Column:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of `edges` (a, b: comparable ids), component its smallest reachable node.
+    """(node, component) for every node of `edges` (a, b: comparable ids, also structs), component its smallest reachable node.
 
     Alternating large-star and small-star rounds, each one grouped minimum and one join on the node; nothing
     but a convergence count reaches the driver. A hot node's edges shrink by partial aggregation in the
@@ -68,19 +67,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def append_columns(df: DataFrame, of: str, f: Callable[[list], dict[str, list]], types: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
-    """df and new columns that f makes of the values of column `of`, batch by batch; names in df may not clash with them."""
+    """df and new columns that f makes of the values of column `of`, batch by batch. Columns of df may have any names; new ones replace those of their names."""
     arrow = {n: t for n, (_, t) in types.items()}
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    place = df.columns.index(of)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             row = b.column(0)
-            made = f(row.field(of).to_pylist())
+            made = f(row.field(place).to_pylist())
             yield pa.RecordBatch.from_arrays([row, *[pa.array(made[n], t) for n, t in arrow.items()]], ["__row", *arrow])
 
-    schema = f"__row {df.schema.simpleString()}, " + ", ".join(f"{n} {t}" for n, (t, _) in types.items())
-    if any(not c.replace("_", "").isalnum() for c in df.columns):
-        raise ValueError("column names are letters, digits and underscores")
-    return df.select(F.struct(*df.columns).alias("__row")).mapInArrow(run, schema).select("__row.*", *arrow)
+    renamed = df.toDF(*inner)
+    schema = f"__row {renamed.schema.simpleString()}, " + ", ".join(f"{n} {t}" for n, (t, _) in types.items())
+    kept = [F.col(f"__row.{i}").alias(c) for i, c in zip(inner, df.columns) if c not in types]
+    return renamed.select(F.struct(*inner).alias("__row")).mapInArrow(run, schema).select(*kept, *arrow)
 
 
 def joined_by_site(df: DataFrame, sites: DataFrame, on: Column, bound: int = 50_000) -> DataFrame:
@@ -90,5 +91,5 @@ def joined_by_site(df: DataFrame, sites: DataFrame, on: Column, bound: int = 50_
 
 def aside(df: DataFrame, needed: tuple[str, ...] = DOCUMENT_COLUMNS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """df with its other columns under names that clash with nothing, and what selects all columns under their own names again."""
-    names = {c: c if c in needed else f"__aside_{i}" for i, c in enumerate(df.columns)}
-    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+    names = [c if c in needed else f"__aside_{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns)])

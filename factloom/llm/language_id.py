@@ -20,8 +20,9 @@ from .common import append_columns, batch, joined_by_site
 
 UNKNOWN = "und"
 DIM = 4096
-#: At most so many documents of each language, by a hash of the id, are learned from.
+#: At most so many documents of each language, by a hash of the id and of the text, are learned from, and of all languages together.
 PER_LANGUAGE = 800
+LEARNED = 16_000
 # The families of languages. A language not named here is a family of its own.
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"],
@@ -35,11 +36,12 @@ FAMILIES = {
     "celtic": ["ga", "cy", "gd", "br"],
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-_letter = re.compile(r"[^\W\d_]")
+_alnum = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _letter.search(text) is not None
+    """Has a character of Unicode's letters (categories L*); fractions, powers and numbers in circles are none."""
+    return bool(text) and any(m.group().isalpha() for m in _alnum.finditer(text))
 
 
 def features(text: str) -> np.ndarray:
@@ -98,24 +100,29 @@ class Model:
         return lang, p * q
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from documents with a language whose crc32(id as text) mod 3 is not 1."""
-    bucket = F.crc32(F.col(id_col).cast("string")) % 3
-    known = docs.where((bucket != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = known.select(F.col(lang_col).cast("string").alias("__lang"), F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col)).alias("__hash"))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, learned: int = LEARNED) -> Model:
+    """Learn from documents with a language whose crc32(id as text) mod 3 is not 1 (a null id has no such remainder).
+
+    Rows of one id and text count once; so at most `per_language` rows of a language, and about `learned` of all, reach the driver.
+    """
+    docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
+    known = docs.where((F.crc32(F.col("__id").cast("string")) % 3 != 1) & F.col("__lang").isNotNull() & F.col("__text").isNotNull())
+    known = known.withColumn("__hash", F.xxhash64("__id", "__text"))
+    counts = known.groupBy(F.col("__lang").alias("l")).agg(F.count("*").alias("n"))
+    each = max(1, min(per_language, learned // max(1, counts.count())))
     # a share of the hashes that about twice as many documents of the language have, so that no task ranks more than those
-    shares = ids.groupBy(F.col("__lang").alias("l")).agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
-    near = joined_by_site(ids, shares, F.expr("__lang = l")).where((F.shiftrightunsigned("__hash", 33) / 2.0**31 < F.col("share")))
-    order = Window.partitionBy("__lang").orderBy("__hash", "__id")
-    picked = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language).select("__id").distinct()
+    shares = counts.select("l", (F.lit(2.0 * each) / F.col("n")).alias("share"))
+    near = joined_by_site(known.select("__lang", "__hash"), shares, F.expr("__lang = l")).where((F.shiftrightunsigned("__hash", 33) / 2.0**31 < F.col("share"))).select("__lang", "__hash").distinct()
+    picked = near.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__hash"))).where(F.col("__n") <= each).select(F.col("__lang").alias("l"), F.col("__hash").alias("h"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             keep = [(t, l) for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if has_letter(t)]
             yield batch({"x": [features(t).astype(np.float16).tobytes() for t, _ in keep], "lang": [l for _, l in keep]}, {"x": pa.binary(), "lang": pa.string()})
 
-    # `picked` has at most per_language rows for each language
-    rows = known.join(F.broadcast(picked), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, "x binary, lang string").toArrow()
+    # `picked` has at most `each` rows for each language; equal rows meet before they are sent
+    some = known.join(F.broadcast(picked), F.expr("__lang = l and __hash = h"), "left_semi").groupBy("__lang", "__hash").agg(F.first("__text").alias("__text"))
+    rows = some.select("__text", "__lang").mapInArrow(run, "x binary, lang string").toArrow()
     order = pc.sort_indices(rows, [("lang", "ascending"), ("x", "ascending")])
     langs, x = rows["lang"].take(order).to_pylist(), np.empty((len(rows), DIM), np.float16)
     for to, at in enumerate(order.to_numpy()):
@@ -128,7 +135,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1): `und` and 0 for a null text, one without letters, or a model without languages.
 
-    Repeated rows are predicted each. An empty table gives no rows. docs may have any columns but these two.
+    Repeated rows are predicted each. An empty table gives no rows. docs may have any columns; ones named lang_pred or score are replaced.
     """
 
     def f(texts: list) -> dict[str, list]:

@@ -1,12 +1,14 @@
 """Each operator against brute force on a small table, and on nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -270,6 +272,42 @@ def test_languages(spark, odd):
     assert language_id.identify(empty(odd).select("doc_id", "text"), language_id.fit(empty(odd))).count() == 0
 
 
+def test_predictions_are_the_votes_of_the_machines(spark):
+    model = language_id.fit(all_of(spark))
+
+    def brute(text):
+        data = f" {text.lower()} ".encode()
+        x = np.zeros(language_id.DIM)
+        for a, b, c in zip(data, data[1:], data[2:]):
+            x[((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32) >> 20] += 1
+        x = np.sqrt(x / x.sum())
+
+        def winner(names, machines):
+            wins = Counter(a if x @ w[:-1] + w[-1] >= 0 else b for (a, b), w in machines.items())
+            return max(names, key=lambda n: (wins[n], sum((1 if n == a else -1) * (x @ w[:-1] + w[-1]) for (a, b), w in machines.items() if n in (a, b))))
+
+        family = winner(list(model.families), model.first)
+        return winner(model.families[family], model.within[family])
+
+    some = all_of(spark).where("text is not null").limit(60).collect()
+    assert [model.predict(r.text)[0] for r in some] == [brute(r.text) for r in some]
+    assert len(model.languages) == 4 and set(model.families) >= {"germanic", "romance"}
+
+
+def test_letters_are_those_of_unicode():
+    assert not any(map(language_id.has_letter, ["½", "²", "①", "Ⅷ", "123 _", "", None, "٣"]))
+    assert all(map(language_id.has_letter, ["½ a", "é", "漢", "ª", "١ب"]))
+
+
+def test_languages_of_repeated_rows_and_clashing_columns(spark):
+    a, b, c = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    data = [(a, "the cat sat", "en", 0.5, "k")] * 50 + [(c, "le chat est", "fr", 0.5, "k"), (b, "the dog ran", "en", 0.5, "k"), (None, "le chien", "fr", 0.5, "k"), (5, None, None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, score double, `a b` string")
+    out = language_id.identify(docs, language_id.fit(docs, per_language=2))
+    assert out.columns == ["doc_id", "text", "lang", "a b", "lang_pred", "score"] and out.count() == len(data)
+    assert {r.doc_id: r.lang_pred for r in out.collect()} == {a: "en", b: "en", c: "fr", None: "fr", 5: "und"}
+
+
 def chat_by_hand(rows):
     """(conv, n_turns, n_snapshots, rendered) of (conv, turn, role, text)."""
     null = lambda x: (x is not None, x)
@@ -342,11 +380,18 @@ def test_fingerprints(spark, odd):
     assert lz_fingerprint.fingerprints(empty(odd)).count() == 0
 
 
+def simhash_by_hand(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_simhash(spark, odd):
     docs = all_of(spark).select("doc_id", "text").union(odd.select("doc_id", "text"))
     docs = docs.withColumn("component_id", F.lit(0))
     texts = docs.collect()
-    fps = np.array([ball_simhash.fingerprint(r.text) for r in texts], np.uint64)
+    fps = np.array([simhash_by_hand(r.text) for r in texts], np.uint64)
     parts = same_parts(np.argwhere(np.bitwise_count(fps[:, None] ^ fps) <= 4).tolist(), len(fps))
     low = {p: min([texts[i].doc_id for i in range(len(fps)) if parts[i] == p and texts[i].doc_id is not None], default=None) for p in set(parts)}
     want = sorted(str((r.doc_id, f"{int(f):016x}", low[p])) for r, f, p in zip(texts, fps, parts))
@@ -364,6 +409,13 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [data[0], data[2], data[3], data[4], data[6], data[8]]))
 
 
+def test_one_row_stays_whatever_columns_are_called(spark):
+    data = [(1, "one two three four five", 7, 1, "x"), (1, "one two three four five", 7, 1, "x"), (2, "one two three four five", 8, 2, "y"), (None, None, 9, 3, "z")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, `__id` long, fp long, `a b` string")
+    got = ball_simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [data[0], data[3]]))
+
+
 def test_simhash_links_random_balls(spark):
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 2**63, 30).astype(np.uint64)
