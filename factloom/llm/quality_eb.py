@@ -1,8 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 A logistic regression on character and repetition statistics, fitted to labelled documents, gives each document's own
-evidence; a lexicon of words and word stems that toxic documents have and others have not, chosen to cover the toxic
-ones with few terms, gives a toxicity. The evidence of all documents is added up by host and by path; a Beta prior fitted by moments shrinks each host toward the global
+evidence of quality; a second one, on the words and word stems that mark toxic documents, its evidence of toxicity. Those terms
+are chosen from all terms of the labelled documents to cover the toxic ones with few, and weighed by their log-odds. The evidence of all documents is added up by host and by path; a Beta prior fitted by moments shrinks each host toward the global
 mean, and each path toward its host, the more the fewer documents it has. A document's quality is its own log-odds
 plus the log-odds by which its path departs from the global mean.
 """
@@ -25,8 +25,6 @@ KEEP_QUALITY = 0.5
 KEEP_TOXICITY = 0.5
 #: A lexicon word's log-odds, two standard errors below the estimate, is at least so much.
 LEXICON_ODDS = 1.0
-#: A term that no other of the lexicon goes with in more than this share of its toxic documents stands for itself.
-COMPANION = 0.6
 #: Lengths of the stems that count as terms, beside whole words.
 STEMS = (4, 5)
 _word = re.compile(r"\w+")
@@ -87,8 +85,7 @@ def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> d
     """Greedily the terms that each add most toxic documents, less three times the others that they add; at least two.
 
     Terms that only go with chosen ones are left out: clean documents may have them too, as the other words of a toxic document
-    that has copies. A term of ten toxic documents and no other is taken all the same if no chosen term goes with it in more
-    than COMPANION of them: its documents have nothing else in common.
+    that has copies.
     """
     yes: dict[str, set[int]] = {w: set() for w in found}
     no: dict[str, set[int]] = {w: set() for w in found}
@@ -98,7 +95,6 @@ def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> d
     chosen: dict[str, float] = {}
     seen: set[int] = set()
     wrong: set[int] = set()
-    every = dict(yes)
     while yes:
         gain = {w: len(d - seen) - 3 * len(no[w] - wrong) for w, d in yes.items()}
         best = min(gain, key=lambda w: (-gain[w], w.endswith("*"), w))
@@ -108,11 +104,6 @@ def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> d
         seen |= yes.pop(best)
         wrong |= no[best]
         yes = {w: d for w, d in yes.items() if gain[w] >= 2}
-    main = list(chosen)
-    for w in sorted(every):
-        d = every[w]
-        if w not in chosen and len(d) >= 10 and not no[w] and max((len(d & every[c]) for c in main), default=len(d)) <= COMPANION * len(d):
-            chosen[w] = found[w]
     return chosen
 
 
@@ -132,7 +123,8 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound: int = LABELLED) -> Model:
-    """Of several labels of a document the strictest holds; null labels don't count."""
+    """Of several labels of a document the strictest holds; null labels don't count. Of rows of one id the one with the smallest text
+    hash is learned from, so that at most `bound` rows are."""
     some = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__label_id"), "__label_id").limit(bound)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             yield batch({"q": b.column(1), "t": b.column(2), "x": [features(t).tobytes() for t in texts], "words": [sorted(terms(t)) for t in texts]}, types)
 
     # the labels are at most `bound` rows by the limit above
-    rows = docs.select(F.col(id_col).alias("__doc_id"), F.col(text_col).alias("__text")).join(F.broadcast(some), F.expr("__doc_id = __label_id")).select("__text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "q int, t int, x binary, words array<string>")
+    rows = docs.select(F.col(id_col).alias("__doc_id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(some), F.expr("__doc_id = __label_id"))
+    one = F.min(F.struct(F.xxhash64("__text").alias("h"), "__text"))["__text"]
+    rows = rows.groupBy("__doc_id").agg(one.alias("__text"), F.first("quality").cast("int").alias("quality"), F.first("toxic").cast("int").alias("toxic")).select("__text", "quality", "toxic").mapInArrow(run, "q int, t int, x binary, words array<string>")
     rows = cut(rows)
     table = rows.select("q", "t", "x").toArrow().sort_by([("x", "ascending"), ("q", "ascending"), ("t", "ascending")])
     q, t = (np.array([np.nan if v is None else v for v in table[c].to_pylist()], float) for c in ("q", "t"))
@@ -215,15 +209,17 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
 
     Null and empty texts are classified by the statistics of an empty text. A null host or path is a site of its own. Without
     labels, or with labels of one class, the evidence is even odds and all is kept. Repeated rows are scored each. An empty
-    table gives no rows. Columns of docs may have any names but __q, __t, __host and __path.
+    table gives no rows. Columns of docs may have any names; ones named as the new ones are replaced.
     """
     model = fit(docs, labels, text_col, id_col)
     columns = columns or [id_col]
-    named = docs.select(*{c: None for c in [*columns, text_col]}, host.cast("string").alias("__host"), path.cast("string").alias("__path"))
-    first = cut(_evidence(named.select(text_col, "__host", "__path", *[c for c in columns if text_col not in columns and c != text_col]), model, text_col).drop(text_col))
-    sites, mean = posteriors(first)
-    rows = _evidence(named, model, text_col) if text_col in columns else first
+    inner = [f"c{i}" for i in range(len(columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, inner)], F.col(text_col).cast("string").alias("__text"), host.cast("string").alias("__host"), path.cast("string").alias("__path"))
+    rows = cut(_evidence(named, model, "__text").drop("__text"))  # texts are read once; they go on only where they are among the columns
+    sites, mean = posteriors(rows)
     both = joined_by_site(rows, sites, F.col("__host").eqNullSafe(F.col("h")) & F.col("__path").eqNullSafe(F.col("u")))
     odds = F.col("__q") + _logit(F.col("path_quality")) - _logit(F.lit(mean))
-    out = both.withColumn("__odds", odds).select(*columns, (1 / (1 + F.exp(-F.col("__q")))).alias("doc_quality"), "host_quality", "path_quality", (1 / (1 + F.exp(-F.col("__odds")))).alias("quality"), (1 / (1 + F.exp(-F.col("__t")))).alias("toxicity"))
-    return out.withColumn("keep", (F.col("quality") >= KEEP_QUALITY) & (F.col("toxicity") < KEEP_TOXICITY) if model.words else F.col("quality") >= KEEP_QUALITY)
+    made = {"doc_quality": 1 / (1 + F.exp(-F.col("__q"))), "host_quality": F.col("host_quality"), "path_quality": F.col("path_quality"), "quality": 1 / (1 + F.exp(-odds)), "toxicity": 1 / (1 + F.exp(-F.col("__t")))}
+    out = both.select(*inner, *[c.alias(n) for n, c in made.items()])
+    out = out.withColumn("keep", (F.col("quality") >= KEEP_QUALITY) & ((F.col("toxicity") < KEEP_TOXICITY) if model.words else F.lit(True)))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, columns) if c not in (*made, "keep")], *made, "keep")
