@@ -3,17 +3,21 @@
 Filter directions are a structured random product code: the space, after a random rotation, is cut into blocks, each
 block has a small code of random unit vectors, and a direction is one codeword of every block. A vector is
 list-decoded to all directions whose inner product with it reaches the cap's height, by extending partial tuples only
-while the rest can still make up the height; one that exceeds only a few gets the ones nearest to it. Vectors meet in their filters (within a label), and those that meet
-are verified by the exact cosine.
+while the rest can still make up the height; one that exceeds only a few gets the ones nearest to it. Vectors meet in their filters
+(within a label), and those that meet are verified by the exact cosine.
 
 How high the caps lie and how many directions a code has follow from the number of vectors by one formula (plan):
 a filter gets about `bucket` unrelated vectors, and a vector about LEAST filters of a code. A code's filters are not
 independent, so its miss is measured: the share of random pairs just at the threshold that have no filter of a random
 code in common. A random rotation makes that share the same for every pair, and independent codes (each with
-a rotation of its own) multiply it; there are as many codes as bring it down to `miss`. Equal vectors are one, with a multiplicity. In a filter, a pair counts only if the filter
-is the first that both have, so that links are counted once without emitting pairs: what leaves a filter is one count
-per vector and the edges of a spanning forest. A filter with more than `block` vectors is dealt out as pairs of
-chunks, each of a bounded size.
+a rotation of its own) multiply it; there are as many codes as bring it down to `miss`.
+
+Equal vectors are one, with a multiplicity. Only 32 bytes for each vector and filter are shuffled: the filter, the vector's number and a
+sketch of 128 signs of random projections. Pairs whose sketches differ in more bits than a linking pair's can (6.5 standard
+deviations) are left out where they meet. A filter whose vectors are mostly unlike gives its few likely pairs, at most LIKELY
+for each of its vectors; they are joined with the vectors and verified. A filter that gives more, or has more than `block`
+vectors, is dense: only there vectors are brought together, in pairs of chunks of a bounded size, and what leaves is a count
+per vector and the edges of a spanning forest, never all pairs. A pair that has dense filters counts in the first of them and nowhere else.
 """
 
 from __future__ import annotations
@@ -30,10 +34,13 @@ from .common import batch, connected_components, cut
 
 THRESHOLD = 0.93
 MISS = 1e-4
-BUCKET = 16
+BUCKET = 512
 #: A vector that exceeds fewer directions gets so many that it comes nearest to.
-LEAST = 10
+LEAST = 3
 BLOCK = 1500
+#: A filter gives at most so many likely pairs for each of its vectors; one with more is dense.
+LIKELY = 8
+SIGNS = 128
 SEED = 20
 #: Parts of the space that a code is a product of.
 BLOCKS = 2
@@ -48,7 +55,7 @@ def plan(n: int, dim: int, threshold: float = THRESHOLD, miss: float = MISS, buc
     Where one dimension or two leave no room for caps, or a code misses nearly all pairs, one direction that
     everything exceeds is the code.
     """
-    share = min(0.02, max(1e-7, bucket / max(n, 1)))
+    share = min(0.02, bucket / max(n, 1))
     height = min(0.8, NormalDist().inv_cdf(1 - share) / math.sqrt(dim))
     if dim >= 8:
         code = math.ceil(math.sqrt(LEAST / share))
@@ -142,14 +149,28 @@ def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def signs(x: np.ndarray) -> np.ndarray:
+    """Two numbers of 64 bits for each row: on which side of 128 random planes it lies."""
+    planes = np.random.Generator(np.random.PCG64([SEED, x.shape[1], SIGNS])).standard_normal((x.shape[1], SIGNS))
+    return np.packbits(x @ planes > 0, axis=1).view(np.int64)
+
+
+def most_differing(threshold: float) -> int:
+    """Signs in which a pair at the threshold differs, 6.5 standard deviations above the mean."""
+    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    return min(SIGNS, math.ceil(SIGNS * p + 6.5 * math.sqrt(SIGNS * p * (1 - p))) + 1)
+
+
 def _decoder(plans: dict[int, dict]):
+    """(rep, s, t, filters) of (rep, label hash, v): filters are hashed with the label and the dimension."""
     made: dict = {}
-    types = {"rep": pa.int64(), "filters": pa.list_(pa.int64())}
+    types = {"rep": pa.int64(), "s": pa.int64(), "t": pa.int64(), "filters": pa.list_(pa.int64())}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, vectors = b.column(0).to_numpy(), b.column(1).to_pylist()
+            ids, labels, vectors = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_pylist()
             out: list[list] = [[] for _ in vectors]
+            sketch = np.zeros((len(vectors), 2), np.int64)
             for dim in {len(v) for v in vectors}:
                 if dim not in made:
                     p = plans[dim]
@@ -157,10 +178,75 @@ def _decoder(plans: dict[int, dict]):
                 of = [i for i, v in enumerate(vectors) if len(v) == dim]
                 for at in range(0, len(of), 256):
                     some = of[at : at + 256]
-                    rows, keys = filters(unit_rows([vectors[i] for i in some]), *made[dim])
-                    for i, ks in zip(some, np.split(keys, np.searchsorted(rows, np.arange(1, len(some))))):
+                    x = unit_rows([vectors[i] for i in some])
+                    sketch[some] = signs(x)
+                    rows, keys = filters(x, *made[dim])
+                    h = (keys.astype(np.uint64) + np.uint64(dim * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93) ^ labels[np.array(some)][rows]
+                    h = ((h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+                    for i, ks in zip(some, np.split(h, np.searchsorted(rows, np.arange(1, len(some))))):
                         out[i] = ks.tolist()
-            yield batch({"rep": pa.array(ids), "filters": out}, types)
+            yield batch({"rep": pa.array(ids), "s": pa.array(sketch[:, 0]), "t": pa.array(sketch[:, 1]), "filters": out}, types)
+
+    return run
+
+
+def _likely_pairs(most: int, likely: int):
+    """Of rows (g, rep, s, t) sorted by g: (a, b), pairs of a filter that its sketches leave; or (g, null) for a dense one."""
+    types = {"a": pa.int64(), "b": pa.int64()}
+
+    def of_group(g: int, rep: np.ndarray, s: np.ndarray, t: np.ndarray, out: list) -> None:
+        found, n = [], 0
+        s, t = s.view(np.uint64), t.view(np.uint64)
+        for i in range(len(rep) - 1):
+            near = np.flatnonzero(np.bitwise_count(s[i + 1 :] ^ s[i]) + np.bitwise_count(t[i + 1 :] ^ t[i]) <= most)
+            if len(near):
+                other = rep[i + 1 + near]
+                found.append((np.minimum(other, rep[i]), np.maximum(other, rep[i])))
+                n += len(near)
+                if n > likely * len(rep):
+                    out.append((np.array([g]), None))
+                    return
+        out.extend(found)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for b in it:
+            now = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            g, rep, s, t = now
+            ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
+            out: list = []
+            for lo, hi in zip(np.append(0, ends[:-1])[:-1], ends[:-1]):  # the last group may go on in the next batch; no group is larger than a block
+                if hi - lo > 1:
+                    of_group(g[lo], rep[lo:hi], s[lo:hi], t[lo:hi], out)
+            held = [c[ends[-2] if len(ends) > 1 else 0 :] for c in now]
+            yield from made(out)
+        if held is not None and len(held[0]) > 1:
+            out = []
+            of_group(held[0][0], *held[1:], out)
+            yield from made(out)
+
+    def made(out: list) -> Iterator[pa.RecordBatch]:
+        if out:
+            a, b = np.concatenate([x for x, _ in out]), [pa.nulls(len(x), pa.int64()) if y is None else pa.array(y) for x, y in out]
+            yield batch({"a": pa.array(a), "b": pa.concat_arrays(b)}, types)
+
+    return run
+
+
+def _verified(threshold: float):
+    """Of rows (a, b, v, w): those whose cosine reaches the threshold, in double precision."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if len(b):
+                v, w = b.column(2).to_pylist(), b.column(3).to_pylist()
+                fits = np.zeros(len(b), bool)
+                for dim in {len(x) for x in v}:
+                    of = [i for i, (x, y) in enumerate(zip(v, w)) if len(x) == len(y) == dim]
+                    if of:
+                        fits[of] = (unit_rows([v[i] for i in of]) * unit_rows([w[i] for i in of])).sum(1) >= threshold
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(fits)), b.column(1).filter(pa.array(fits))], ["a", "b"])
 
     return run
 
@@ -168,7 +254,7 @@ def _decoder(plans: dict[int, dict]):
 def _links_in_block(threshold: float):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         """One filter, or two chunks of one: counts per vector, and a spanning forest of the links."""
-        f, i, j = (k.as_py() for k in key[-3:])
+        f, i, j = (k.as_py() for k in key[:3])
         rep, times, chunk = t["rep"].to_numpy(), t["times"].to_numpy(), t["chunk"].to_numpy()
         x = unit_rows(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1))
         first = np.arange(len(rep)) if i == j else np.flatnonzero(chunk == i)
@@ -217,23 +303,45 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     fine = "label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     rows = rows.withColumn("fine", F.coalesce(F.expr(fine), F.lit(False))).withColumn("v", F.expr("if(fine, transform(v, x -> if(x = 0, abs(x), x)), null)"))
     rows = rows.withColumn("digest", F.when(F.col("fine"), F.xxhash64("label", "v", F.lit(7))))
-    # equal vectors of a label are one: told apart by two hashes of 64 bits
+    # equal vectors of a label are one: told apart by two hashes of 64 bits, and numbered once, in what is written
     rows = cut(rows.withColumn("other", F.when(F.col("fine"), F.xxhash64(F.lit(11), "v", "label"))))
-    groups = rows.where("fine").groupBy("digest", "other").agg(F.min("vec_id").alias("low"), F.count("*").alias("times"), F.first("v").alias("v"), F.first("label").alias("label")).withColumnRenamed("digest", "rep")
-    groups = cut(groups)
+    groups = rows.where("fine").groupBy("digest", "other").agg(F.min("vec_id").alias("low"), F.count("*").alias("times"), F.first("v").alias("v"), F.first("label").alias("label"))
+    groups = cut(groups.withColumn("rep", F.monotonically_increasing_id()).withColumn("node", F.struct(F.col("low").isNull().alias("none"), "low", "rep")))
     n = groups.count()
     plans = {r.dim: plan(n, r.dim, threshold) for r in groups.select(F.size("v").alias("dim")).distinct().collect()}
-    decoded = cut(groups.select("rep", "v").mapInArrow(_decoder(plans), "rep long, filters array<long>"))
-    dealt = decoded.select("rep", F.explode("filters").alias("f")).join(groups.select("rep", "label", F.size("v").alias("dim")), "rep")
-    sizes = dealt.groupBy("label", "dim", "f").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = dealt.join(sizes, ["label", "dim", "f"]).withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), "chunks").cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with"))
-    dealt = dealt.join(decoded, "rep").join(groups.select("rep", "times", "v"), "rep")
-    met = cut(dealt.select("label", "dim", "f", "i", "j", "rep", "times", "chunk", "v", "filters").groupBy("label", "dim", "f", "i", "j").applyInArrow(_links_in_block(threshold), "a long, b long, n long"))
-    counts = met.where("b = -1 and n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    of = connected_components(met.where("n = 0").select("a", "b"))
-    placed = groups.join(counts, "rep", "left").join(of, groups.rep == of.node, "left").select("rep", "low", F.expr("coalesce(n, 0) + times - 1").alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    placed = placed.join(placed.groupBy("c").agg(F.min("low").alias("component_id")), "c").select(F.col("rep").alias("digest"), "n_links", "component_id")
-    out = rows.join(placed, "digest", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    decoded = cut(groups.select("rep", F.xxhash64("label").alias("l"), "v").mapInArrow(_decoder(plans), "rep long, s long, t long, filters array<long>"))
+    dealt = decoded.select(F.explode("filters").alias("g"), "rep", "s", "t")
+    large = cut(dealt.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > block).select("g"))
+    small = dealt.join(F.broadcast(large) if large.count() <= 50_000 else large, "g", "left_anti")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = cut(small.select("g", "rep", "s", "t").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_likely_pairs(most_differing(threshold), LIKELY), "a long, b long"))
+    dense = cut(large.union(met.where("b is null").select("a")))
+    counts, edges = _dense_links(decoded, groups, dense, threshold, block)
+    of = groups.select("rep", "v", "label", "times", "node")
+    pairs = met.where("b is not null").distinct().join(of.select(F.col("rep").alias("a"), F.col("v").alias("v"), F.col("label").alias("l")), "a").join(of.select(F.col("rep").alias("b"), F.col("v").alias("w"), F.col("label").alias("m")), "b").where("l = m")
+    if not dense.isEmpty():  # pairs with a dense filter are counted there
+        of_rep = decoded.select("rep", F.explode("filters").alias("g")).join(dense, "g").groupBy("rep").agg(F.collect_list("g").alias("gs"))
+        pairs = pairs.join(of_rep.select(F.col("rep").alias("a"), F.col("gs").alias("x")), "a", "left").join(of_rep.select(F.col("rep").alias("b"), F.col("gs").alias("y")), "b", "left")
+        pairs = pairs.where(~F.coalesce(F.arrays_overlap("x", "y"), F.lit(False)))
+    linked = cut(pairs.select("a", "b", "v", "w").mapInArrow(_verified(threshold), "a long, b long"))
+    ends = linked.join(of.select(F.col("rep").alias("a"), F.col("node").alias("x"), F.col("times").alias("n")), "a").join(of.select(F.col("rep").alias("b"), F.col("node").alias("y"), F.col("times").alias("m")), "b")
+    ends = cut(ends.select("a", "b", "x", "y", "n", "m"))
+    counts = counts.union(ends.select("a", "m")).union(ends.select("b", "n")).groupBy("rep").agg(F.sum("n").alias("n"))
+    reached = connected_components(edges.union(ends.select("x", "y"))).select(F.col("node.rep").alias("rep"), F.col("component.low").alias("component_id"), F.lit(True).alias("met"))
+    placed = groups.join(counts, "rep", "left").join(reached, "rep", "left").select("digest", "other", F.expr("coalesce(n, 0) + times - 1").alias("n_links"), F.when(F.col("met"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
+    out = rows.join(placed, ["digest", "other"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("fine"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _dense_links(decoded: DataFrame, groups: DataFrame, dense: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, n) and (a, b: nodes): links counted and a spanning forest of them, of the dense filters."""
+    dealt = decoded.select("rep", F.explode("filters").alias("g")).join(dense, "g")
+    of_rep = dealt.groupBy("rep").agg(F.collect_list("g").alias("filters"))
+    sizes = dealt.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    dealt = dealt.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), "chunks").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with"))
+    dealt = dealt.join(of_rep, "rep").join(groups.select("rep", "times", "v", F.xxhash64("label").alias("l"), F.size("v").alias("dim")), "rep")
+    met = cut(dealt.select("l", "dim", "g", "i", "j", "rep", "times", "chunk", "v", "filters").groupBy("g", "i", "j", "l", "dim").applyInArrow(_links_in_block(threshold), "a long, b long, n long"))
+    node = groups.select("rep", "node")
+    forest = met.where("n = 0").select("a", "b").join(node.select(F.col("rep").alias("a"), F.col("node").alias("x")), "a").join(node.select(F.col("rep").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    return met.where("b = -1 and n > 0").select(F.col("a").alias("rep"), "n"), forest.select(F.col("x").alias("a"), F.col("y").alias("b"))

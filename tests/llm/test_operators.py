@@ -142,12 +142,13 @@ def test_license_scan(spark, odd):
     assert license_scan.scan(empty(odd)).count() == 0
 
 
-def test_cap_filters(spark):
+def test_cap_filters(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 64))
     x = np.concatenate([base, base[:80] + rng.normal(size=(80, 64)) * 0.25, base[:3].repeat(40, 0) + rng.normal(size=(120, 64)) * 0.05, base[5:6].repeat(4, 0)]).astype(np.float32)
     label = (np.arange(len(x)) * 0 + rng.integers(0, 2, len(x))).tolist()
-    for block in (1500, 16):
+    for block, likely in ((1500, cap_filters.LIKELY), (16, cap_filters.LIKELY), (1500, 0)):
+        monkeypatch.setattr(cap_filters, "LIKELY", likely)  # 0: every filter with a likely pair is dense
         data = [(i, v.tolist(), l, 1.0) for i, (v, l) in enumerate(zip(x, label))] + [(9000, None, 1, 0.0), (9001, [0.0] * 64, 1, 0.0), (9002, [float("nan")] * 64, 1, 0.0), (9003, x[0].tolist(), None, 0.0), (9004, [], 1, 0.0), (9005, [None] * 64, 1, 0.0)]
         got = {r.vec_id: r for r in cap_filters.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, f double"), block=block).collect()}
         u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
