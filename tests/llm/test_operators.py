@@ -142,6 +142,39 @@ def test_license_scan(spark, odd):
     assert license_scan.scan(empty(odd)).count() == 0
 
 
+def test_license_labels_by_brute_force(spark):
+    mit = license_scan.TEMPLATES[6][1].split()
+    full = license_scan.TEMPLATES[13][1].split()
+    other = [f"w{i}" for i in range(60)]
+    texts = [" ".join(other + mit + other), " ".join(mit[:9] + ["really"] + mit[9:]), " ".join(mit[:12] + mit[13:]), " ".join(mit[15:]), " ".join(reversed(mit)), " ".join(full), " ".join(full[:80] + ["nothing"] * 3 + full[80:]), "this is free and unencumbered software", "released under the mit license", "permission is hereby granted", None, "", " ".join(other), "licensed under cc by 4 0 " * 5000]
+    texts += [r.text for r in all_of(spark).limit(80).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    has = [set(license_scan.words(t)) for t in texts]
+    vocab = license_scan.vocabulary(license_scan.BASE, license_scan.TEMPLATES)
+    idf = {w: np.log(1 + len(texts) / (1 + sum(w in h for h in has))) for w in vocab}
+
+    def common(a, b):
+        best = np.zeros((len(a) + 1, len(b) + 1))
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + idf[x] if x == y else max(best[i, j + 1], best[i + 1, j])
+        return best[-1, -1]
+
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        ws, labels, score = license_scan.words(t)[: 400 if i == 13 else None], set(), 0.0
+        for label, text, key in license_scan.TEMPLATES:
+            k = key.split()
+            if any(ws[j : j + len(k)] == k for j in range(len(ws))):
+                share = common(text.split(), ws) / sum(idf[w] for w in text.split())
+                score = max(score, share)
+                labels |= {label} if share >= license_scan.MATCH else set()
+        base = {l for p, l in license_scan.BASE.items() if any(ws[j : j + len(p.split())] == p.split() for j in range(len(ws)))}
+        assert set(filter(None, got[i].labels.split(","))) == labels | base, (i, got[i].labels, labels | base)
+        assert got[i].score <= (1.0 if base else score) + 1e-9
+    assert [got[i].labels for i in range(7)] == ["mit", "mit", "mit", "", "", "mit", "mit"] and min(got[0].score, got[1].score) > 1 - 1e-9 and 0.9 < got[2].score < 0.999
+
+
 def test_cap_filters(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 64))
