@@ -31,6 +31,19 @@ def statement_number(s: Column) -> Column:
     return F.when(_bracketed(t), -F.abs(v)).otherwise(v)
 
 
+def plain_statement_number(s: Column) -> Column:
+    """As statement_number, but an em dash is no minus."""
+    t = F.translate(s, "−–", "--")
+    v = _first(t)
+    return F.when(_bracketed(t), -F.abs(v)).otherwise(v)
+
+
+def vote_number(s: Column) -> Column:
+    """Brackets negate what was read; nil words and dashes are no numbers because they have no digit, and no mark is dropped."""
+    v = _first(s)
+    return F.when(_bracketed(s), -v).otherwise(v)
+
+
 def whole_cell_number(s: Column) -> Column:
     """A number only if the cell holds nothing else (footnote marks at its ends, commas and the rupee sign aside)."""
     t = F.regexp_replace(F.regexp_replace(s, r"^\s+|\s+$", ""), r"^[*^]+|[*^]+$", "")

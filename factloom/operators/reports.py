@@ -29,6 +29,12 @@ def rollup(rows: DataFrame, by: str, total: str = "TOTAL", **sums) -> DataFrame:
     return out.withColumn(by, F.when(F.col("__g") == 1, F.lit(total)).otherwise(F.col(by))).drop("__g")
 
 
+def rollup_all(rows: DataFrame, by: list[str], total: str = "TOTAL", **sums) -> DataFrame:
+    """Sums by groups of several columns, and one row of totals, named in the first column."""
+    whole = rows.agg(*[c.alias(n) for n, c in sums.items()]).select(F.lit(total).alias(by[0]), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in by[1:]], *sums)
+    return rows.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()]).unionByName(whole)
+
+
 def fiscal_year(years: DataFrame, by: list[str], year: str, order: str) -> DataFrame:
     """The later of the two most frequent years (first seen of equally frequent ones)."""
     n = years.groupBy(*by, year).agg(F.count("*").alias("n"), F.min(order).alias("first"))

@@ -137,3 +137,50 @@ def column_schedules(pages: DataFrame, parents: DataFrame, keys: list[str], k: i
     value = F.get(F.transform(mine, lambda c: c["value"]), F.lit(0))
     value = F.when(~value.isin("", "-"), X.clean_value(value))
     return every.select("doc", "key", "page", value.alias("value"), F.when(value.isNull(), "absent").when(F.col("__ties"), "reconciled").otherwise("grounded").alias("confidence"))
+
+
+# The words of a schedule's column heads, by asset.
+HEADS = {"land": "Land", "building": "Buildings", "plant": "Plant", "office": "Office", "computer": "Computer", "furnitur": "Furniture", "leasehold": "Leasehold", "vehicle": "Vehicles"}
+
+
+def asset_target(key: Column) -> Column:
+    """struct(block, stem): what a requested key asks for: gross or dep, and the asset of its last part; null if it asks for neither."""
+    k = F.lower(key)
+    leaf = F.element_at(F.split(k, "_"), -1)
+    stem = F.coalesce(*[F.when(leaf.contains(w), F.lit(w)) for w in REQUESTED])
+    block = F.when(k.startswith("gross"), "gross").when(k.startswith("accumulated"), "dep")
+    return F.when(block.isNotNull() & stem.isNotNull(), F.struct(block.alias("block"), stem.alias("stem")))
+
+
+def coordinate_cells(words: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc, page, key, value): the closing cell of a requested asset's column in an upright schedule, by coordinates.
+
+    words: doc, page, x0, y0, x1, y1, word; targets: key, head (a value of HEADS), gross (else accumulated depreciation). A page needs a line
+    with four heads; a column's centre is that of its head's word within 30 points of that line, at least 18 from the next one. Figures
+    below it form rows up to gaps of 5 points. The first row counts whose label (left of the columns, up to 36 points above) names the
+    closing of the page's latest year, and whose figure nearest the column is nearest to no other column and within 30 points.
+    """
+    page = ["doc", "page"]
+    at = lambda c: F.bround(c).cast("int")
+    w = words.select(*page, at(F.col("x0")).alias("x0"), at(F.col("x1")).alias("x1"), at((F.col("y0") + F.col("y1")) / 2).alias("y"), "word")
+    token = F.regexp_replace(F.lower("word"), "^,+|,+$", "")
+    head = F.coalesce(*[F.when(token.isin(stem, name.lower()), F.lit(name)) for stem, name in HEADS.items()])
+    headed = w.withColumn("head", head).where("head is not null")
+    line = headed.groupBy(*page, "y").agg(F.count_distinct("head").alias("n")).where("n >= 4").groupBy(*page).agg(F.min("y").alias("top"))
+    columns = headed.join(line, page).where(F.abs(F.col("y") - F.col("top")) <= 30).groupBy(*page, "top", "head").agg(F.max_by((F.col("x0") + F.col("x1")) / 2, F.struct("y", "x0")).alias("centre"))
+    sides = columns.groupBy(*page, "top").agg((F.min("centre") - 25).alias("left"), F.collect_list(F.struct("head", "centre")).alias("columns")).where("size(columns) >= 4")
+    years = w.groupBy(*page).agg(F.max(F.array_max(F.transform(F.regexp_extract_all("word", F.lit(r"(20\d\d)"), F.lit(1)), lambda y: y.cast("int")))).alias("year")).where("year is not null")
+    figures = w.where(F.col("word").rlike(r"^\(?[\d,]+\)?$|^[–-]$")).join(sides, page).where("x0 >= left and y > top + 5").withColumn("x", at((F.col("x0") + F.col("x1")) / 2))
+    order = Window.partitionBy(*page).orderBy("y", "x")
+    figures = figures.withColumn("__s", F.coalesce((F.col("y") - F.lag("y").over(order) > 5).cast("int"), F.lit(0))).withColumn("row", F.sum("__s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = figures.groupBy(*page, "row", "left", "columns").agg(at(F.avg("y")).alias("mid"), F.collect_list(F.struct("x", F.col("word").alias("text"))).alias("figures"))
+    near = w.select(*page, F.col("x0").alias("wx"), F.col("x1").alias("wx1"), F.col("y").alias("wy"), "word").join(rows.select(*page, "row", "left", "mid"), page).where("wx1 < left and wy > mid - 36 and wy <= mid + 3")
+    labels = near.groupBy(*page, "row").agg(F.lower(F.array_join(F.array_sort(F.collect_list(F.struct("wy", "wx", "word")))["word"], " ")).alias("label"))
+    named = rows.join(labels, [*page, "row"]).join(years, page).where(F.expr("contains(label, cast(year as string)) and not contains(label, 'april') and not contains(label, 'beginning')"))
+    asks = F.array_compact(F.array(F.when(F.col("label").contains("gross carrying value as at"), F.lit(True)), F.when(F.col("label").contains("accumulated depreciation as at"), F.lit(False))))
+    asked = named.withColumn("gross", F.explode(asks)).join(targets, "gross")
+    centre = F.get(F.filter("columns", lambda c: c.head == F.col("head")), F.lit(0)).centre
+    asked = asked.withColumn("centre", centre).where("centre is not null").where(~F.exists("columns", lambda c: (c.head != F.col("head")) & (F.abs(c.centre - F.col("centre")) < 18)))
+    best = F.array_min(F.transform("figures", lambda f: F.struct(F.abs(f.x - F.col("centre")).alias("gap"), f.x.alias("x"), f.text.alias("text"))))
+    asked = asked.withColumn("best", best).where("best.gap <= 30").where(~F.exists("columns", lambda c: F.abs(c.centre - F.col("best.x")) < F.col("best.gap")))
+    return asked.groupBy(*page, "key").agg(F.min_by("best.text", "row").alias("value"))

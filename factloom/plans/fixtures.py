@@ -18,6 +18,15 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "prior": ("company string, scope string, key string, value string", [("acme", "standalone", "Share Premium", "905"), ("acme", "standalone", "Hedging Reserve", "(45)"), ("acme", "consolidated", "Share Premium", "949"), ("bolt", "standalone", "Other CWIP", "76.5")]),
     "verified": ("company string, scope string, key string, value string, ord int", [("acme", "standalone", "Share Premium", "1,006", 1), ("acme", "standalone", "Share Premium", "1,007", 2), ("acme", "standalone", "Other CWIP", "3", 3), ("acme", "consolidated", "Equity Issued", None, 4), ("none", "standalone", "Share Premium", "9", 5)]),
     "parent_lines": ("label string, value string, note_ref string", [("Trade payables", "5.0", "12"), ("Trade payables", "5.0", "12"), ("Profit before trade payables", "99", "3"), ("Other trade payables and borrowings", "(2)", None), ("Borrowings", "-", "14"), ("Retained earnings", "7", None), (None, "4", None)]),
+    "gap_tokens": ("doc string, page int, token string", [("a", p, t) for p, ts in ((1, ["1,234", "(5,678)", "9,012.5", "12", "9,012.5;"]), (2, ["1,234", "7,777", "8,888"]), (3, ["7,777", "8,888", "1,111.0", "7,777"]), (4, ["2,222", "3,333", "4,444"]), (5, ["2,222", "3,333", "4,444"]), (6, ["2,222", "3,333", "4,444"]), (7, ["2,222", "3,333", "4,444"])) for t in ts] + [("b", 1, "10,00,000"), ("b", 1, "5.000"), ("b", 1, "6.0001"), ("b", 1, "abcd")]),
+    "gap_cells": ("doc string, cell string", [("a", "x 1,234"), ("a", "5678"), ("a", None), ("b", "77")]),
+    "more_tables": ("doc string, page int, n int, grid array<array<string>>", [("a", 2, 1, [["x", "7,777"], ["y", "8,888 1,234"], ["z", "7777"]]), ("a", 2, 2, [["x", "1,234"], ["y", "5,678"], ["z", "9,999"]]), ("b", 1, 1, [["", "1111"], [None, "2222"], ["3333", ""]])]),
+    "scan_pages": ("doc string, page int", [("a", 2), ("a", 2), ("c", 1)]),
+    "image_pages": ("doc string, page int, text string, has_image boolean", [("a", 1, None, True), ("a", 2, " ", True), ("a", 3, "x", True), ("a", 4, "", False), ("b", 1, "", True)]),
+    "shown_aliases": ("section string, aliases array<string>", [("ppe", ["a", "b", "c", "d"]), ("deferred_tax", ["a", "b", "c", "d"]), ("ppe", ["a"])]),
+    "asset_keys": ("key string", [("gross_block_office_equipment",), ("accumulated_depreciation_of_Vehicles",), ("gross_block_land",), ("net_block_land",), ("gross_block_aircraft",), ("Gross_Furniture",)]),
+    "absent_values": ("doc string, key string, value string", [("a", "x", None), ("a", "y", "5"), ("b", "x", None), ("b", "z", None)]),
+    "rescued_values": ("doc string, key string, value string, grounded boolean", [("a", "x", "9", True), ("a", "x", "8", True), ("a", "y", "7", True), ("b", "x", "6", False), ("b", "z", None, True)]),
     "parent_rules": ("section string, word string", [("payables", "trade payable"), ("payables", "payables"), ("loans", "borrowing"), ("loans", "borrowing"), ("none", "nothing")]),
     "statements": ("id int, total_a string, total_b string, pbt string, tax string, pat string, income string, expense string, op string, inv string, fin string, fx string, net string, opening string, closing string", [
         (1, "1,000", "1,004", "100", "25", "75", "500", "400", "50", "(20)", "(10)", None, "20", "5", "25"), (2, "1,000", "1,006", "100", "25", "70", "500", "401", "50", "(20)", "(10)", "2", "90", "5", "97"),
