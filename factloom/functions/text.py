@@ -64,8 +64,7 @@ def squeezed(s: Column) -> Column:
 
 def tokens(s: Column) -> Column:
     found = F.regexp_extract_all(F.lower(s), F.lit(r"[a-z0-9][a-z0-9&/\-]*"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP])
-    return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
 
 
 def stem(w: Column) -> Column:
