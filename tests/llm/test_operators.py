@@ -545,14 +545,29 @@ def test_simhash_links_random_balls(spark):
 
 
 def test_pipeline(spark, tmp_path, odd):
-    docs = all_of(spark)
+    docs, kept = all_of(spark), {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         path = str(tmp_path / name)
         out.write.parquet(path)
         if name != "packing":
             assert out.columns == docs.columns
-        docs = spark.read.parquet(path)
-    assert docs.count() > 0 and docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+        kept[name] = docs, docs = docs, spark.read.parquet(path)
+    assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    before, after = ({r.doc_id: r.text for r in d.collect()} for d in kept["near_duplicates"])
+    ids = sorted(before)
+    fps = np.array([simhash_by_hand(before[i]) for i in ids], np.uint64)
+    parts = same_parts(np.argwhere(np.bitwise_count(fps[:, None] ^ fps) <= 4).tolist(), len(fps))
+    assert set(after) == {ids[p] for p in set(parts)}
+    before, after = kept["mixing"]
+    copies = {r.doc_id: r.copies for r in pareto_mix.taken(before).collect() if r.copies}
+    assert Counter(r.doc_id for r in after.collect()) == copies
+    own = Tokenizer.from_file(PATH)
+    length = {r.doc_id: len(own.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before.collect()}
+    assert docs.agg(F.sum("length")).first()[0] == sum(length[i] * n for i, n in copies.items())
+    before, after = kept["language"]
+    assert {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect() if len(r.text or "") < 200}
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, SF).count() >= 0 and stage(spark, empty(odd), SF).count() == 0
+        assert stage(spark, empty(odd), SF).count() == 0
+    ran = {name: stage(spark, odd, SF) for name, stage in corpus_pipeline.STAGES if name in ("near_duplicates", "mixing")}
+    assert all(out.columns == odd.columns for out in ran.values()) and ran["near_duplicates"].where("doc_id in (6, 7)").count() == 1
