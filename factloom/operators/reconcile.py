@@ -261,3 +261,37 @@ def statement_faces(pages: DataFrame, candidates: DataFrame, kind: str, tries: i
     good = accepted_faces(rows, ["doc", "rank", "width"], kind).where("accepted")
     best = top_k(good, ["doc"], [F.col("rank"), F.col("width")], 1, "__r").select("doc", "rank", "width")
     return rows.join(best, ["doc", "rank", "width"], "left_semi").drop("rank", "width", "bank")
+
+
+# Sections read by a model from images or as a matrix, which are not asked for again.
+NOT_ASKED_AGAIN = ("investments", "ppe", "borrowings")
+
+
+def datapoints(items: DataFrame, readings: DataFrame, rescued: DataFrame, proven: DataFrame, by: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """(by, key, section, value, confidence, origin): one row for each item of a report.
+
+    The reader of the smallest priority that has a row for a section reads all of it; its absent items stay absent. An absent item of
+    a section that may be asked again takes a rescued value, and a proven value stands above all. Figures of investments stay unverified.
+    items: by, key, section. readings: by, key, priority, value (null: absent), confidence. rescued: by, key, value, grounded. proven:
+    by, key, value. Of several rows for one item the smallest value counts.
+    """
+    keys = [*by, "key"]
+    asked = items.select(*keys, "section").distinct()
+    read = readings.join(asked, keys)
+    first = read.withColumn("__f", F.min("priority").over(Window.partitionBy(*by, "section"))).where("priority = __f")
+    chosen = first.groupBy(*keys).agg(F.min(F.when(F.col("value").isNotNull(), F.struct("value", "confidence"))).alias("__c"))
+    saved = rescued.where(F.col("grounded") & F.col("value").isNotNull()).groupBy(*keys).agg(F.min("value").alias("__s"))
+    known = proven.where(F.col("value").isNotNull()).groupBy(*keys).agg(F.min("value").alias("__p"))
+    out = asked.join(chosen, keys, "left").join(saved, keys, "left").join(known, keys, "left")
+    again = ~F.coalesce(F.col("section").isin(*NOT_ASKED_AGAIN), F.lit(False))
+    origin = F.when(F.col("__p").isNotNull(), "proven").when(F.col("__c").isNotNull(), "read").when(again & F.col("__s").isNotNull(), "rescued").otherwise("absent")
+    out = out.withColumn("origin", origin)
+    value = F.when(F.col("origin") == "proven", F.col("__p")).when(F.col("origin") == "read", F.col("__c.value")).when(F.col("origin") == "rescued", F.col("__s"))
+    trust = F.when(F.col("origin").isin("proven", "rescued"), "grounded").when(F.col("origin") == "read", F.col("__c.confidence")).otherwise("absent")
+    return out.select(*keys, "section", value.alias("value"), capped(trust, F.col("section")).alias("confidence"), "origin")
+
+
+def face_answers(items: DataFrame, faces: DataFrame, section: str = "pl_changes_inventory", words: str = "changes in inventor") -> DataFrame:
+    """(doc, key, value): items of a section that a line of an accepted statement answers: the first with the words and a value. faces: doc, line_no, label, value."""
+    lines = faces.where(F.lower("label").contains(words) & (F.coalesce("value", F.lit("")) != "")).groupBy("doc").agg(F.min_by("value", F.struct("line_no", "value")).alias("value"))
+    return items.where(F.col("section") == section).select("doc", "key").distinct().join(lines, "doc")

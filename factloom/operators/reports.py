@@ -59,3 +59,19 @@ def section_groups(tables: DataFrame, by: list[str], order: list[str]) -> DataFr
     section = F.lower(F.trim("section"))
     same = (section != "") & F.col("scope").eqNullSafe(F.lag("scope").over(w)) & (section == F.lag(section).over(w)) & (F.col("page") - F.lag("page").over(w) <= 1)
     return tables.withColumn("__new", 1 - F.coalesce(same.cast("int"), F.lit(0))).withColumn("group_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def error_sections(rows: DataFrame, good: tuple[str, ...] = ("ok",)) -> DataFrame:
+    """(section, errors, place): sections with errors, those of most first and equal ones by name. rows: section, status."""
+    counts = rows.where(~F.col("status").isin(*good)).groupBy("section").agg(F.count("*").alias("errors"))
+    # One row a section is left, so that ranking all of them in one place is bounded.
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("errors"), "section")))
+
+
+def company_summary(rows: DataFrame, costs: DataFrame) -> DataFrame:
+    """Each company's rows, outcomes and share of correct ones beside its calls, and a TOTAL row. rows: company, status; costs: company,
+    calls, tokens_in, tokens_out, usd, with a TOTAL row of its own; a company without calls has none."""
+    is_ = lambda s: F.count(F.when(F.col("status") == s, 1))
+    out = rollup(rows, "company", n=F.count("*"), ok=is_("ok"), mismatch=is_("mismatch"), miss=is_("miss"), false_positive=is_("false_positive"))
+    out = out.withColumn("errors", F.col("n") - F.col("ok")).withColumn("accuracy_pct", F.round(F.col("ok") * 100 / F.col("n"), 1))
+    return out.join(costs, "company", "left").na.fill(0, ["calls", "tokens_in", "tokens_out", "usd"])

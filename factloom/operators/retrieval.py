@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..functions.sections import SECTIONS
 
 
 def lines(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -62,3 +63,9 @@ def scope_fallback(pages: DataFrame, doc: str, region: str, wanted: list[str]) -
     w = Window.partitionBy(doc)
     level = F.when(F.col(region).isin(*wanted), 0).when(F.col(region) != "FRONT", 1).otherwise(2)
     return pages.withColumn("__level", level).withColumn("__best", F.min("__level").over(w)).where("__level <= __best").drop("__level", "__best")
+
+
+def section_terms(spark: SparkSession, scope: str = "") -> DataFrame:
+    """(query, term): the words that find each section's pages, with those of a scope."""
+    known = spark.createDataFrame([(s, f"{words} {scope}") for s, (_, words) in SECTIONS.items()], "query string, words string")
+    return known.select("query", F.explode(T.tokens(F.col("words"))).alias("term"))

@@ -27,6 +27,29 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "asset_keys": ("key string", [("gross_block_office_equipment",), ("accumulated_depreciation_of_Vehicles",), ("gross_block_land",), ("net_block_land",), ("gross_block_aircraft",), ("Gross_Furniture",)]),
     "absent_values": ("doc string, key string, value string", [("a", "x", None), ("a", "y", "5"), ("b", "x", None), ("b", "z", None)]),
     "rescued_values": ("doc string, key string, value string, grounded boolean", [("a", "x", "9", True), ("a", "x", "8", True), ("a", "y", "7", True), ("b", "x", "6", False), ("b", "z", None, True)]),
+    "registry_items": ("key string, scope string, value_type string, concept string, column_hint string, location_hint string, aliases array<string>", [
+        ("Share Premium", "both", None, " Premium over face value ", None, "Other equity note", [" Securities premium", "", "Share premium "]), ("Interest Expense", "standalone", "monetary", None, "current year", None, None), ("Sundry Creditors", "both", "count", "x", "y ", "trade payables note", ["a"]),
+    ]),
+    "registry_kpis": ("format string, label string, key string, q string, also array<string>", [("bank", "Banks", "nim", "What is the margin?", ["net interest margin", "spread"]), ("bank", "Banks", "npa", "What is bad?", []), ("insurer", None, "ratio", "Which ratio?", ["cover"])]),
+    "asked_items": ("doc string, key string, section string", [("a", "k1", "ppe"), ("a", "k2", "ppe"), ("a", "k3", "share_capital"), ("a", "k4", "share_capital"), ("a", "k5", "investments"), ("a", "k6", "pl_changes_inventory"), ("a", "k6", "pl_changes_inventory"), ("b", "k1", "ppe"), ("b", "k3", None), ("b", "k6", "pl_changes_inventory")]),
+    "section_readings": ("doc string, key string, priority int, value string, confidence string", [
+        ("a", "k1", 2, "10", "grounded"), ("a", "k2", 3, "20", "reconciled"), ("a", "k3", 2, None, "absent"), ("a", "k3", 1, None, "absent"), ("a", "k4", 1, "7", "unverified"), ("a", "k4", 1, "6", "grounded"), ("a", "k4", 2, "1", "grounded"), ("a", "k5", 1, "5", "reconciled"), ("a", "zz", 0, "1", "grounded"),
+    ]),
+    "second_readings": ("doc string, key string, value string, grounded boolean", [("a", "k2", "9", True), ("a", "k3", "33", True), ("a", "k3", "32", True), ("a", "k4", "8", True), ("b", "k3", "3", True), ("b", "k6", "4", False), ("b", "k1", None, True)]),
+    "proven_values": ("doc string, key string, value string", [("a", "k1", "11"), ("b", "k1", None), ("c", "k1", "1")]),
+    "face_lines": ("doc string, line_no int, label string, value string", [("a", 1, "Revenue", "100"), ("a", 2, "Changes in inventories of goods", ""), ("a", 3, "CHANGES IN INVENTORIES of work", "(12)"), ("a", 4, "changes in inventory", "5"), ("b", 1, "Revenue", "3")]),
+    "checked_rows": ("company string, section string, status string", [("acme", "ppe", "ok"), ("acme", "ppe", "miss"), ("acme", "loans", "mismatch"), ("acme", "loans", "ok"), ("acme", None, "miss"), ("bolt", "ppe", "false_positive"), ("bolt", "ppe", "ok"), ("dune", "equity", "mismatch"), ("dune", "equity", "ok"), ("dune", "equity", "ok")]),
+    "schedule_pages": ("doc string, page int, rank int, text string", [
+        ("a", 1, 1, "31 March 2026 and 2026\nLand 1 2 3 4 5\nLand 1 2 3 4 5\nLand 1 2 3 4 5"), ("a", 2, 2, "31 March 2025 and 2025\nLand 1 2 3 4 5\nLand 1 2 3 4 5\nLand 1 2 3 4 5"), ("a", 3, 9, "2030 2030"), ("b", 1, 1, "2024 2024\nBuildings 1 2 3 4 5\nPlant 1 2 3 4 5\nLand 1 2 3 4 5"), ("c", 1, 1, "2024 2024 torn"), ("d", 1, 1, None), ("e", 1, 1, "2024"),
+    ]),
+    "schedule_lines": ("doc string, page int, source int, line_no int, line string", [
+        ("a", 1, 0, 1, "Land 100 5 105 10 1 11 94"), ("a", 1, 0, 2, "Office"), ("a", 1, 0, 3, "Equipment 50 10 5 55 20 4 2 22 33"), ("a", 1, 0, 4, "Total land 100 5 105 10 1 11 94"), ("a", 2, 0, 1, "Vehicles 10 1 11 2 1 3 8"), ("a", 2, 0, 2, "Land 90 10 100 9 1 10 90"), ("a", 3, 0, 1, "Computers 10 1 11 2 1 3 8"),
+        ("b", 1, 0, 1, "Buildings 100 10 110 20 5 25 85 Buildings 110 10 120 25 5 30 90"), ("b", 1, 0, 2, "Plant 100 10 110 20 5 25 85 110 10 120 25 5 30 90"), ("b", 1, 0, 3, "Right-of-use land 100 5 105 10 1 11 94"), ("b", 1, 0, 4, None), ("c", 1, 0, 1, "Land 1 2 3 4 5 6 7"), ("c", 1, 1, 1, "Rules, 2024 Land 100 5 105 10 1 11 94"), ("d", 1, 1, 1, "Land 1 1 2 1 1 2 0"), ("e", 1, 1, 1, "Furniture 100 5 106 10 1 11 95"),
+    ]),
+    "tax_notes": ("doc string, page int, rank int, line_no int, line string", [
+        ("a", 1, 1, 1, "Deferred tax balances"), ("a", 1, 1, 2, "On property, plant and equipment,"), ("a", 1, 1, 3, "allowances 100 20 (5) 115"), ("a", 1, 1, 4, "as told in note 7"), ("a", 1, 1, 5, "Leave encashment 10 2 12"), ("a", 1, 1, 6, "Total deferred tax liabilities 110 22 (5) 127"), ("a", 1, 1, 7, "Employee benefits 30 3 33"), ("a", 1, 1, 8, "Total deferred tax assets 30 3 33"),
+        ("a", 2, 2, 1, "deferred tax prior year"), ("a", 2, 2, 2, "1 January"), ("a", 2, 2, 3, "Plant and property 80 20 100"), ("b", 1, 1, 1, "Leave 1 2 3"), ("c", 1, 1, 1, None), ("d", 1, 1, 1, "Deferred tax assets"), ("d", 1, 1, 2, "Leave pay 4 3"), ("d", 1, 1, 3, "Others 2 2"), ("d", 1, 1, 4, "Total deferred tax assets 6 5"),
+    ]),
     "parent_rules": ("section string, word string", [("payables", "trade payable"), ("payables", "payables"), ("loans", "borrowing"), ("loans", "borrowing"), ("none", "nothing")]),
     "statements": ("id int, total_a string, total_b string, pbt string, tax string, pat string, income string, expense string, op string, inv string, fin string, fx string, net string, opening string, closing string", [
         (1, "1,000", "1,004", "100", "25", "75", "500", "400", "50", "(20)", "(10)", None, "20", "5", "25"), (2, "1,000", "1,006", "100", "25", "70", "500", "401", "50", "(20)", "(10)", "2", "90", "5", "97"),
