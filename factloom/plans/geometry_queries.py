@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import numbers as N
-from ..operators import geometry as G, matching as M, ordered as O, retrieval as T, verify as V
+from ..operators import geometry as G, matching as M, ordered as O, regions as A, retrieval as T, verify as V
 from .fixtures import table
 from .queries import _parsed
 from .registry import query
@@ -49,6 +49,12 @@ def r16_page_grids(spark, sf_dir):
     return G.page_grids(table(spark, "words"))
 
 
+@query("")
+def r16_region_tables(spark, sf_dir):
+    margins = spark.createDataFrame([("a", 1, "Statement of Reserves"), ("a", 1, "Annual Report of the whole company"), ("a", 1, " ")], "doc string, page int, text string")
+    return A.region_tables(table(spark, "words"), margins)
+
+
 @query("")
 def j14_consensus(spark, sf_dir):
     grids = table(spark, "page_grids")
