@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ball_simhash, cap_filters, chat_collapse, language_id, license_scan, lm_scoring, lz_fingerprint, pareto_mix, quality_eb, residual_packing
+from . import audit_sql, ball_simhash, cap_filters, chat_collapse, filter_audit, language_id, license_scan, lm_scoring, lz_fingerprint, merkle_manifest, pareto_mix, piece_coding, quality_eb, residual_packing
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +62,22 @@ def op10_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+def op12_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_coding.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(PIECES), decoded="decoded")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified(merkle_manifest.manifest(read(spark, sf_dir, "documents"))).drop("path", "tampered")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_lm_scoring, op2_license_scan, op3_cap_filters, op4_quality_eb, op5_pareto_mix, op6_language_id, op7_chat_collapse, op8_residual_packing, op9_lz_fingerprint, op10_ball_simhash)
+    ops = (op1_lm_scoring, op2_license_scan, op3_cap_filters, op4_quality_eb, op5_pareto_mix, op6_language_id, op7_chat_collapse, op8_residual_packing, op9_lz_fingerprint, op10_ball_simhash, op11_filter_audit, op12_piece_coding, op13_merkle_manifest)
     return {f.__name__: f for f in ops}
 
 
@@ -135,4 +150,4 @@ FROM kept s JOIN k USING (key) GROUP BY s.key, s.conv_id, s.n_turns, s.n_snapsho
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"op11_filter_audit": audit_sql.FILTER_AUDIT, "op13_merkle_manifest": audit_sql.MERKLE_MANIFEST}
