@@ -16,14 +16,13 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
-#: Parts and pairs that a task remembers; beyond, it begins anew. Longer parts are not remembered.
-PARTS, PAIRS, LONG = 200_000, 500_000, 48
+#: Parts that a task remembers (twice as many: those of late and those before), and pairs; beyond, it begins anew. Longer parts are not remembered.
+PARTS, PAIRS, LONG = 250_000, 500_000, 48
 #: Characters after which a task hands on what it has.
 FLUSH = 2_000_000
 
@@ -48,23 +47,24 @@ class Pieces:
         place = {s: n for n, s in enumerate(sorted({m.get_score(i) for i in self.text if i < self.size}, reverse=True))}
         #: A token's rank: the lower, the earlier it is merged; -1 for characters.
         self.rank = {i: -1 if len(t) == 1 else place[m.get_score(i)] for i, t in self.text.items()}
-        self.automaton, self.halves, self.odd = ahocorasick.Automaton(), {}, set()
+        self.halves, self.odd, self.count = {}, set(), 0
+        #: By token: whether it stands apart from a token in front of it, as far as that has been asked; -1 is the beginning of a text.
+        self.fits: dict[int, dict[int, bool]] = {}
         for i, t in self.text.items():
-            if len(t) == 1:
-                self.automaton.add_word(t, (i, 1))
-            else:
+            if len(t) > 1:
                 made = self.merged(t, 2)
-                if len(made) == 2 and self.ids.get(self.text[made[0]] + self.text[made[1]]) == i and self.merged(t) == [i]:
-                    self.automaton.add_word(t, (i, len(t)))
-                    self.halves[i] = tuple(made)
-                    if max(self.rank[made[0]], self.rank[made[1]]) >= self.rank[i] or made[0] in self.odd or made[1] in self.odd:
-                        self.odd.add(i)  # merged before its halves would be: ranks do not tell when
-        self.automaton.make_automaton()
+                if len(made) != 2 or self.ids.get(self.text[made[0]] + self.text[made[1]]) != i or self.merged(t) != [i]:
+                    continue  # no merges lead to this piece
+                self.halves[i] = tuple(made)
+                if max(self.rank[made[0]], self.rank[made[1]]) >= self.rank[i] or made[0] in self.odd or made[1] in self.odd:
+                    self.odd.add(i)  # merged before its halves would be: ranks do not tell when
+            self.fits[i] = {-1: True}
+        self._automaton()
         within = "".join(map(re.escape, alphabet))
         free = any(b == SPACE != a for t in self.text.values() for a, b in zip(t, t[1:]))
         self.parts = re.compile(f"[{within}{SPACE}]+|[^{within}{SPACE}]+" if free else f"{SPACE}*[{within}]+|{SPACE}+|[^{within}{SPACE}]+")
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str, until: int = 1) -> list[int]:
         """The definition, for the short texts of the tables: merge the pair of lowest rank, the leftmost, until none is left or `until` tokens are."""
@@ -98,30 +98,60 @@ class Pieces:
             else:  # of one rank the left one is merged first, so the right one is undone first
                 ends_b, b = self.rank[b], self.halves[b][0]
 
+    def _automaton(self) -> None:
+        """Of the tokens: next states by character, the state to fall back to, and the tokens that end in a state, longest first."""
+        self.next, self.back, self.ends = [{}], [0], [[]]
+        for i in self.fits:
+            state = 0
+            for c in self.text[i]:
+                if c not in self.next[state]:
+                    self.next[state][c] = len(self.next)
+                    self.next.append({}), self.back.append(0), self.ends.append([])
+                state = self.next[state][c]
+            self.ends[state].append((i, len(self.text[i]), self.fits[i]))
+        level = list(self.next[0].values())
+        while level:
+            for state in level:
+                self.ends[state] += self.ends[self.back[state]]
+                for c, below in self.next[state].items():
+                    at = self.back[state]
+                    while at and c not in self.next[at]:
+                        at = self.back[at]
+                    self.back[below] = self.next[at].get(c, 0)
+            level = [below for state in level for below in self.next[state].values()]
+
+    def _asked(self, a: int, b: int) -> bool:
+        self.count += 1
+        if self.count > PAIRS:
+            for known in self.fits.values():
+                known.clear()
+                known[-1] = True
+            self.count = 1
+        self.fits[b][a] = got = self._compatible(a, b)
+        return got
+
     def table(self, part: str) -> list[int]:
         """Ids of a part of the alphabet: each prefix's last token, then back from the end."""
-        last, size, pairs = [-1] * (len(part) + 1), [0] * (len(part) + 1), self.pairs
-        for end, (token, n) in self.automaton.iter(part):
-            at = end + 1
-            if last[at] < 0:
-                if at != n:
-                    pair = last[at - n], token
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        fits = pairs[pair] = self._compatible(*pair)
-                    if not fits:
-                        continue
-                last[at], size[at] = token, n
+        following, back, ends, last, state = self.next, self.back, self.ends, [-1], 0
+        for at, c in enumerate(part, 1):
+            while (found := following[state].get(c)) is None:
+                state = back[state]
+            state = found
+            for token, n, fits in ends[state]:
+                before = last[at - n]
+                fit = fits.get(before)
+                if fit or (fit is None and self._asked(before, token)):
+                    break
+            last.append(token)
         out, at = [], len(part)
         while at:
             token = last[at]
             if token < self.size:
                 out.append(token)
+                at -= len(self.text[token])
             else:
                 out.extend(self.bytes[x] for x in reversed(part[at - 1].encode()))
-            at -= size[at]
+                at -= 1
         out.reverse()
         return out
 
@@ -130,10 +160,12 @@ class Pieces:
         for part in self.parts.findall(self.model.normalize(text)):
             got = self.known.get(part)
             if got is None:
-                got = self.table(part) if part[0] in self.ids else [self.bytes[x] for x in part.encode()]
+                got = self.before.get(part)
+                if got is None:
+                    got = tuple(self.table(part)) if part[0] in self.ids else tuple(self.bytes[x] for x in part.encode())
                 if len(part) <= LONG:
                     if len(self.known) >= PARTS:
-                        self.known.clear()
+                        self.before, self.known = self.known, {}
                     self.known[part] = got
             out += got
         return out
