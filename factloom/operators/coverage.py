@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numbers as N
+from .lineage import same_keys
 from .readers import read_payloads
 from .retrieval import bm25, top_k
+from .rounds import accepted_in_order
 
 # The headings by which a page is one of consolidated statements.
 CONSOLIDATED = r"(?i)consolidated\s+balance sheet|forming part of the\s+consolidated\s+financial statements?"
@@ -33,12 +35,14 @@ def gap_pages(tokens: DataFrame, cells: DataFrame, least: int = 3, k: int = 4) -
 
 
 def worthwhile(tables: DataFrame, cells: DataFrame, least: int = 3) -> DataFrame:
-    """Tables (doc, page, n, grid) of another reading that have three numbers of four digits or more which no cell of the document holds."""
-    keys = ["doc", "page", "n"]
-    values = tables.select(*keys, F.explode(F.flatten("grid")).alias("cell")).select(*keys, F.explode(_parts(F.col("cell"))).alias("t")).select(*keys, N.digits(F.col("t")).alias("digits")).where("length(digits) >= 4")
-    new = values.join(captured(cells, ["doc"]), ["doc", "digits"], "left_anti").groupBy(*keys).count().where(F.col("count") >= least)
-    return tables.join(new, keys, "left_semi")
+    """Tables (doc, page, n, grid) of another reading that bring three numbers of four digits or more which no cell of the document holds, nor a table taken before.
 
+    Tables are taken by page and n; what one brings is covered for those after it. A number that a table has twice counts twice.
+    """
+    keys = ["doc", "page", "n"]
+    values = tables.select(*keys, F.explode(F.flatten("grid")).alias("cell")).select(*keys, F.explode(_parts(F.col("cell"))).alias("t")).select("doc", F.struct("page", "n").alias("item"), N.digits(F.col("t")).alias("digits")).where("length(digits) >= 4")
+    taken = accepted_in_order(values, ["doc"], "item", "digits", least, captured(cells, ["doc"]), repeats=True)
+    return same_keys(tables, taken.select("doc", "item.page", "item.n"), keys, "left_semi")
 
 def readings_together(found: DataFrame, recovered: DataFrame, filled: DataFrame, scanned: DataFrame) -> DataFrame:
     """(doc, page, n, source, place): found tables but for those of scanned pages, tables recovered from scans, and filled gaps, by page and number."""

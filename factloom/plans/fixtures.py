@@ -217,4 +217,4 @@ def values(*names: str) -> str:
         columns = [c.split(" ") for c in schema.split(", ")]
         body = ", ".join("(" + ", ".join(_literal(v, k) for v, (_, k) in zip(r, columns)) + ")" for r in rows)
         parts.append(f"{name}({', '.join(f'"{c}"' for c, _ in columns)}) AS (VALUES {body})")
-    return "WITH " + ", ".join(parts)
+    return "WITH RECURSIVE " + ", ".join(parts)

@@ -119,9 +119,9 @@ def f9_contents_pages(spark, sf_dir):
     return table(spark, "report_pages").select("doc", "page", P.contents_page(F.col("text")).alias("contents"))
 
 
-@query(f"SELECT page, {_TOC} AS contents FROM (SELECT doc_id AS page, {_LINES.format('text')} AS ls FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT page, {_TOC} AS contents FROM (SELECT doc_id AS page, {_LINES.format('text')} AS ls FROM documents)")
 def f9_contents_documents(spark, sf_dir):
-    return documents(spark, sf_dir).where("text is not null").select("page", P.contents_page(F.col("text")).alias("contents"))
+    return documents(spark, sf_dir).select("page", P.contents_page(F.col("text")).alias("contents"))
 
 
 @query(r"""SELECT DISTINCT doc, ref, page FROM report_pages JOIN note_refs USING (doc) WHERE contains(lower(text), title) AND (regexp_matches(text, '(?mi)^\s*(note\s*)?' || ref || '[.)\s:]') OR regexp_matches(text, '(?i)\b' || ref || '\s*[.)]\s*' || title))""", "report_pages", "note_refs")
