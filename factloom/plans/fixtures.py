@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
+from . import given
+
 TABLES: dict[str, tuple[str, list[tuple]]] = {
     "printed": ("id int, raw string", [(i, r) for i, r in enumerate(["1,234.50", "(2,824.59)", "(-5)", "nil", "-", "–", "Rs 4,85,92,00,000", "₹ 37,685.70", "Not disclosed", "12 34", "abc", "", "−17", "- 3", "0.5", "7*", "^8.25", "(9)", "1,00,000 crore", None])]),
     "facts": ("company string, scope string, key string, found boolean, value string, value_prior string, ord int", [
@@ -187,7 +191,14 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
 }
 
 
+#: The folder of the given tables while a query is built from them.
+FOLDER: ContextVar[str] = ContextVar("folder", default="")
+
+
 def table(spark: SparkSession, name: str) -> DataFrame:
+    """A table of the engine's shapes: derived from the given tables within a query, else the small one."""
+    if FOLDER.get() and name in given.GIVEN:
+        return given.in_spark(spark, FOLDER.get(), name)
     schema, rows = TABLES[name]
     return spark.createDataFrame(rows, schema)
 
@@ -213,6 +224,9 @@ def values(*names: str) -> str:
     """A WITH clause that defines the tables."""
     parts = []
     for name in names:
+        if name in given.GIVEN:
+            parts.append(f"{name} AS ({given.as_sql(name)})")
+            continue
         schema, rows = TABLES[name]
         columns = [c.split(" ") for c in schema.split(", ")]
         body = ", ".join("(" + ", ".join(_literal(v, k) for v, (_, k) in zip(r, columns)) + ")" for r in rows)

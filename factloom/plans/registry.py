@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .fixtures import values
+from .fixtures import FOLDER, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,7 +17,15 @@ def query(sql: str, *tables: str):
     """Register a query; its SQL may go on from the WITH clause of the small tables, then it starts with a comma."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            before = FOLDER.set(sf_dir)
+            try:
+                return f(spark, sf_dir)
+            finally:
+                FOLDER.reset(before)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = (values(*tables) + " " if tables else "") + sql
         return f
