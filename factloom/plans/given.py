@@ -40,6 +40,10 @@ _HEADS = [
 ]
 _HEAD = _pick("doc_id", _HEADS)
 
+# Ten orders are a page, lines of one order follow each other, a thousand orders are a document.
+_BOOK, _SHEET = "concat('b', CAST(CAST(floor(l_orderkey / 1000) AS INT) AS STRING))", "CAST(floor(l_orderkey / 10) AS INT)"
+_LINE_Y = "CAST(l_orderkey % 10 * 120 + l_linenumber * 12 AS DOUBLE)"
+
 GIVEN: dict[str, str] = {
     "printed": f"SELECT {_ID} AS id, {_PRINTED} AS raw FROM <orders>",
     "seen_cells": f"SELECT {_ID} AS id, {_pick('o_orderkey', ['~' + _W, 'Note 5', 'abc', '', None, f"~concat('(', {_C}, ')')", 'FY24 x9y', '12b', '~o_orderpriority'])} AS cell FROM <orders>",
@@ -77,6 +81,28 @@ GIVEN: dict[str, str] = {
     "report_lines": f"SELECT CAST(l_orderkey AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS line_no, {_pick('l_linenumber', [f"~concat('|', ' ', p_type, ' ', '|', ' ', {_whole("l_extendedprice")}, ' ', '|')", '|---|---|', '| item | value |', f"~concat(p_name, ' ', {_cents("l_extendedprice")}, ' ', '(', {_whole("l_extendedprice")}, ')')"])} AS line FROM <lineitem> JOIN <part> ON p_partkey = l_partkey",
     "cells": f"SELECT CAST(l_orderkey AS INT) AS page, {_pick('l_linenumber', ['~' + _whole('l_extendedprice'), '~' + _cents('l_extendedprice')])} AS cell FROM <lineitem> WHERE l_partkey % 3 = 0",
     "aliases": "SELECT DISTINCT p_name AS alias FROM <part> UNION ALL SELECT DISTINCT concat(p_type, ' and ', p_name) FROM <part>",
+    "results": f"SELECT CASE WHEN o_custkey % 3 = 0 THEN upper({_COMPANY}) ELSE {_COMPANY} END AS company, {_SCOPE} AS scope, {_KEY} AS key, bool_or(o_orderkey % 7 <> 0) AS found, max({_PRINTED}) AS value, max({_pick('o_orderkey', [None, '', None, None, 'N/A (sector)'])}) AS status FROM <orders> GROUP BY 1, 2, 3",
+    "gold": f"SELECT CASE WHEN o_custkey % 2 = 0 THEN upper({_COMPANY}) ELSE {_COMPANY} END AS company, concat({_SCOPE}, ' ') AS scope, concat(' ', {_KEY}) AS key, {_pick('o_orderkey', ['~' + _W, 'Not disclosed', '~' + _C, '-', None])} AS expected, {_ID} AS ord FROM <orders>",
+    "adjudicated": f"SELECT {_KEY} AS key, {_SCOPE} AS scope, min({_pick('o_custkey', ['GT_WRONG', 'MATCH_BOTH', 'PIPELINE_WRONG', 'BOTH_NOT_DISCLOSED'])}) AS verdict, max({_W}) AS true_value FROM <orders> GROUP BY 1, 2",
+    "note_refs": "SELECT DISTINCT source AS doc, '12' AS ref, 'other expenses' AS title FROM <documents> UNION ALL SELECT DISTINCT source, '7', 'letter to' FROM <documents>",
+    "located": f"SELECT source AS doc, {_pick('doc_id', ['bs', 'bs', 'pl', 'cf'])} AS kind, CAST(doc_id AS INT) AS page FROM <documents> WHERE doc_id % 4 > 0",
+    "questions": f"SELECT CAST(doc_id AS INT) AS id, source AS doc, {_pick('doc_id', ['What are total ASSETS and net profit?', 'Cash from operating activities', 'Earnings per share', 'Who audits?', 'Borrowings', None])} AS question FROM <documents>",
+    "answers": f"SELECT CAST(doc_id AS INT) AS id, source AS doc, CAST(CASE WHEN doc_id % 3 > 0 THEN doc_id END AS INT) AS page, {_pick('doc_id', ['1,000', '7', '5', '8', None])} AS value, {_pick('doc_id', [None, 'Power 5', 'no such quote', 'Tax expense 1'])} AS quote FROM <documents>",
+    "answer_pages": "SELECT CAST(doc_id AS INT) AS id, CAST(doc_id AS INT) AS page, 1 AS rank FROM <documents> UNION ALL SELECT CAST(doc_id AS INT), CAST(doc_id AS INT) + 20, 2 FROM <documents> WHERE doc_id % 2 = 0",
+    "statement_candidates": f"SELECT doc, kind, page, CAST(row_number() OVER (PARTITION BY doc, kind ORDER BY page) AS INT) AS rank FROM (SELECT source AS doc, {_pick('doc_id', ['bs', 'pl', 'cf'])} AS kind, CAST(doc_id AS INT) AS page FROM <documents>) c",
+    "image_pages": "SELECT CASE WHEN source = 'src0' THEN 'a' ELSE source END AS doc, CAST(doc_id AS INT) AS page, CASE doc_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN text END AS text, doc_id % 4 <> 0 AS has_image FROM <documents>",
+    "scan_pages": "SELECT source AS doc, CAST(doc_id AS INT) AS page FROM <documents> WHERE doc_id % 9 = 0",
+    "absent_values": f"SELECT {_COMPANY} AS doc, {_KEY} AS key, max(CASE WHEN o_orderkey % 3 = 0 THEN {_W} END) AS value FROM <orders> GROUP BY 1, 2",
+    "rescued_values": f"SELECT {_COMPANY} AS doc, {_KEY} AS key, {_pick('o_orderkey', ['~' + _C, '~' + _W, None])} AS value, o_orderkey % 4 <> 0 AS grounded FROM <orders>",
+    "blocks": "SELECT CAST(l_orderkey AS INT) AS id, array_append(array_sort(array_agg(l_extendedprice)), CAST(CAST(sum(l_extendedprice) AS DECIMAL(18, 2)) AS DOUBLE) + l_orderkey % 2) AS nums FROM <lineitem> GROUP BY l_orderkey",
+    "asset_rows": "SELECT CAST(l_orderkey AS INT) AS id, array_append(array_sort(array_agg(l_quantity)), sum(l_quantity)) AS nums FROM <lineitem> GROUP BY l_orderkey",
+    "targets": "SELECT CAST(l_orderkey AS INT) AS id, CASE l_orderkey % 3 WHEN 0 THEN max(l_quantity) WHEN 1 THEN sum(l_quantity) END AS value, sum(l_quantity) + l_orderkey % 2 * 0.1 AS total, array_sort(array_agg(l_quantity)) AS comps, l_orderkey % 5 = 0 AS total_wanted FROM <lineitem> GROUP BY l_orderkey",
+    "taxonomy": f"SELECT concat(p_name, ' ', CAST(p_partkey AS STRING)) AS key, p_type AS concept, {_pick('p_partkey', [None, 'closing', ''])} AS column_hint, split(p_name, ' ') AS aliases, {_pick('p_partkey', ['both', 'standalone', 'consolidated'])} AS scope FROM <part>",
+    "audit": f"SELECT concat(upper(p_name), '  ', CAST(p_partkey AS STRING)) AS key, {_pick('p_partkey', ['major', 'ok', 'Minor', None])} AS severity, p_brand AS suggested_concept, {_pick('p_partkey', ['', 'year', None])} AS suggested_column_hint, concat(p_type, '; ', p_name, ' | ', p_brand) AS suggested_aliases FROM <part> WHERE p_partkey % 3 = 0",
+    "summaries": f"SELECT {_ID} AS id, concat('Revenue rose 12% to ₹', {_C}, ' from (987)') AS summary, {_pick('o_orderkey', ['~' + _W, f"~concat('rev ', {_C}, ' then 987')", 'none'])} AS source, split({_C}, ';') AS cells FROM <orders>",
+    "addends": f"SELECT {_ID} AS id, split(concat({_C}, {_pick('o_orderkey', [';(5)', '', ';x', ';7'])}), ';') AS adds, concat('a ', {_C}, ' b (5)') AS source FROM <orders>",
+    "wanted_items": f"SELECT concat('p', CAST(p_partkey AS STRING)) AS key, {_pick('p_partkey', [None, 'Gross block', 'the ACCUMULATED column', '~p_type'])} AS selector, {_pick('p_partkey', ['monetary', None, 'count'])} AS value_type, split(p_name, ' ') AS examples FROM <part>",
+    "words": " UNION ALL ".join(f"SELECT DISTINCT {_BOOK} AS doc, {_SHEET} AS page, {x} AS x0, {_LINE_Y} AS y0, {x} + 5.0 * length({w}) AS x1, {_LINE_Y} + 8.0 AS y1, {w} AS word FROM <lineitem>" for x, w in (("CAST(0 AS DOUBLE)", "l_returnflag"), ("CAST(90 AS DOUBLE)", _whole("l_extendedprice")), ("CAST(180 AS DOUBLE)", "CAST(CAST(l_quantity AS INT) AS STRING)"))),
 }
 
 

@@ -136,7 +136,7 @@ def w17_interleave(spark, sf_dir):
 
 # Joins
 
-@_query("""SELECT page, item, (SELECT arg_max(heading, hy * 1000 + ord) FROM headings h WHERE h.page = i.page AND hy <= y + 2 AND least(x1, hx1) - greatest(x0, hx0) > 0) AS heading FROM items i""", "items", "headings")
+@_query("""SELECT page, item, (SELECT arg_max(heading, (hy, ord)) FROM headings h WHERE h.page = i.page AND hy <= y + 2 AND least(x1, hx1) - greatest(x0, hx0) > 0) AS heading FROM items i""", "items", "headings")
 def j10_nearest_heading(spark, sf_dir):
     return M.nearest_above(table(spark, "items"), table(spark, "headings"), ["page"])
 
