@@ -103,6 +103,14 @@ GIVEN: dict[str, str] = {
     "addends": f"SELECT {_ID} AS id, split(concat({_C}, {_pick('o_orderkey', [';(5)', '', ';x', ';7'])}), ';') AS adds, concat('a ', {_C}, ' b (5)') AS source FROM <orders>",
     "wanted_items": f"SELECT concat('p', CAST(p_partkey AS STRING)) AS key, {_pick('p_partkey', [None, 'Gross block', 'the ACCUMULATED column', '~p_type'])} AS selector, {_pick('p_partkey', ['monetary', None, 'count'])} AS value_type, split(p_name, ' ') AS examples FROM <part>",
     "words": " UNION ALL ".join(f"SELECT DISTINCT {_BOOK} AS doc, {_SHEET} AS page, {x} AS x0, {_LINE_Y} AS y0, {x} + 5.0 * length({w}) AS x1, {_LINE_Y} + 8.0 AS y1, {w} AS word FROM <lineitem>" for x, w in (("CAST(0 AS DOUBLE)", "l_returnflag"), ("CAST(90 AS DOUBLE)", _whole("l_extendedprice")), ("CAST(180 AS DOUBLE)", "CAST(CAST(l_quantity AS INT) AS STRING)"))),
+    "asset_keys": f"SELECT DISTINCT concat({_pick('p_partkey', ['gross_block_', 'accumulated_depreciation_of_', 'net_block_', 'Gross_'])}, {_pick('p_partkey', ['office_equipment', 'Vehicles', 'land', '~p_name', 'Furniture', 'aircraft', 'computer'])}) AS key FROM <part>",
+    "shown_aliases": f"SELECT {_pick('p_partkey', ['ppe', 'deferred_tax', 'loans'])} AS section, split(concat(p_name, ' ', lower(p_type), ' ', lower(p_brand)), ' ') AS aliases FROM <part>",
+    "parent_lines": f"SELECT concat({_pick('o_orderkey', ['Trade payables ', 'Profit before ', 'Other trade payables and borrowings ', 'Borrowings ', 'Retained earnings ', ''])}, o_orderpriority) AS label, {_PRINTED} AS value, {_pick('o_orderkey', ['12', '3', None, '14'])} AS note_ref FROM <orders>",
+    "printed_lines": f"SELECT {_ID} AS id, line, split(line, ' ') AS words FROM (SELECT o_orderkey, concat({_pick('o_orderkey', ['Note 12. ', 'Total ', '', 'As at 31 March 2026 ', '(Rs in crore) '])}, {_pick('o_orderkey', ['~o_orderpriority', 'Trade payables', ''])}, ' ', {_W}, {_pick('o_orderkey', ['', f"~concat(' ', {_C})", ' (5)', ' nil'])}) AS line FROM <orders>) w",
+    "row_words": f"SELECT {_ID} AS id, split(concat({_W}, ' ', {_C}, ';', {_pick('o_orderkey', ['Total', '~' + _C, 'nil -'])}, ';', {_W}, ';(', {_C}, ');', {_pick('o_orderkey', ['label', '~' + _W])}), ';') AS rows FROM <orders>",
+    "page_grids": "SELECT concat('s', CAST(l_suppkey AS STRING)) AS doc, CAST(l_orderkey AS INT) AS page, 1 AS n, array_sort(array_agg(split(concat(l_returnflag, ';', CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), ';', CAST(CAST(l_quantity AS INT) AS STRING)), ';'))) AS grid FROM <lineitem> GROUP BY l_suppkey, l_orderkey",
+    "tax_lines": f"SELECT CAST(l_orderkey AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS line_no, concat({_pick('l_linenumber', ['Deferred tax assets ', 'Deferred tax liabilities ', 'Leave ', 'Other ', 'Depreciation and ', 'Gross deferred tax liabilities '])}, {_cents('l_quantity')}, ' ', {_cents('l_quantity + l_linenumber')}) AS line FROM <lineitem>",
+    "face_pages": f"SELECT {_COMPANY} AS doc, {_ID} AS page, concat({_pick('o_orderkey', ['Balance Sheet as at 31 March 2026', 'Statement of Profit and Loss for the year ended', 'Notes'])}, chr(10), 'Property, plant and equipment   3   ', {_C}, '   ', {_W}, chr(10), 'Goodwill   10.00   10.00', chr(10), 'TOTAL ASSETS   ', {_cents('o_totalprice + 10')}, '   ', {_cents('floor(o_totalprice) + 10')}, chr(10), 'Equity share capital   7   ', {_C}, '   ', {_W}, chr(10), 'Other equity   8   10.00   10.00', chr(10), 'TOTAL EQUITY AND LIABILITIES   ', {_cents('o_totalprice + 10')}, '   ', {_cents('floor(o_totalprice) + 10')}) AS text FROM <orders>",
 }
 
 
