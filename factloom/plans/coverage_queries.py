@@ -23,7 +23,7 @@ def y12_gap_pages(spark, sf_dir):
 @query(f""", {_CAP}, t AS (SELECT doc, page, n, list(d) AS ds, row_number() OVER (PARTITION BY doc ORDER BY page, n) AS k FROM (SELECT doc, page, n, regexp_replace(unnest(string_split_regex(coalesce(cell, ''), '\\s+')), '\\D', '', 'g') AS d FROM (SELECT doc, page, n, unnest(flatten(grid)) AS cell FROM more_tables)) WHERE length(d) >= 4 GROUP BY doc, page, n),
   s AS (SELECT doc, 0::BIGINT AS k, 0 AS page, 0 AS n, coalesce((SELECT list(d) FROM cap WHERE cap.doc = x.doc), []::VARCHAR[]) AS taken, false AS ok FROM (SELECT DISTINCT doc FROM t) x UNION ALL
     SELECT doc, k, page, n, CASE WHEN new >= 3 THEN list_concat(taken, ds) ELSE taken END, new >= 3 FROM (SELECT t.doc, t.k, t.page, t.n, t.ds, s.taken, len(list_filter(t.ds, lambda x: NOT list_contains(s.taken, x))) AS new FROM s JOIN t ON t.doc = s.doc AND t.k = s.k + 1))
-  SELECT doc, page, n FROM s WHERE ok""", "more_tables", "gap_cells")
+  SELECT doc, page, n FROM s WHERE ok""", "more_tables", "gap_cells", recursive=True)
 def y12_worthwhile(spark, sf_dir):
     return C.worthwhile(table(spark, "more_tables"), table(spark, "gap_cells")).select("doc", "page", "n")
 

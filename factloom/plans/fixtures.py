@@ -220,7 +220,7 @@ def _type(kind: str) -> str:
     return _type(kind[6:-1]) + "[]" if kind.startswith("array<") else _TYPES[kind]
 
 
-def values(*names: str) -> str:
+def values(*names: str, recursive: bool = False) -> str:
     """A WITH clause that defines the tables."""
     parts = []
     for name in names:
@@ -231,4 +231,4 @@ def values(*names: str) -> str:
         columns = [c.split(" ") for c in schema.split(", ")]
         body = ", ".join("(" + ", ".join(_literal(v, k) for v, (_, k) in zip(r, columns)) + ")" for r in rows)
         parts.append(f"{name}({', '.join(f'"{c}"' for c, _ in columns)}) AS (VALUES {body})")
-    return "WITH RECURSIVE " + ", ".join(parts)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(parts)

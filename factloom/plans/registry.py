@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str, *tables: str):
+def query(sql: str, *tables: str, recursive: bool = False):
     """Register a query; its SQL may go on from the WITH clause of the small tables, then it starts with a comma."""
 
     def add(f):
@@ -27,7 +27,7 @@ def query(sql: str, *tables: str):
 
         QUERIES[f.__name__] = run
         if sql:
-            SQL[f.__name__] = (values(*tables) + " " if tables else "") + sql
+            SQL[f.__name__] = (values(*tables, recursive=recursive) + " " if tables else "") + sql
         return f
 
     return add
