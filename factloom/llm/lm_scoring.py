@@ -1,18 +1,14 @@
-"""Masked pseudo-likelihood by a bidirectional window network and the corpus's own windows.
+"""Masked pseudo-likelihood by a bidirectional window network.
 
 The network predicts a token's class (one of the most frequent words, a class of the others by a hash of their ending, or a
 boundary) from the classes left and right of it: two embeddings, one tanh layer, one softmax. Its training objective over the
 whole corpus depends only on how often each (left, token, right) occurs, so those counts are gathered from all documents
 by partial aggregation, and numpy fits the network to them by full-batch Adam. No sampling, and the same network for
-any partitioning. A word's probability is its class's by the network times its own within the class, by the counts of all words.
+any partitioning. A word's probability is its class's by the network times its own within the class, by the counts of all
+words; these are a distributed table that grows with the corpus.
 
-What the network cannot hold is counted: a window is the two words on each side of a token, and a distributed table has how often
-each window and each word in it occur in all documents. It grows with the corpus. Where a window occurs elsewhere too, the
-token's probability is half the network's and half its share of the window's other occurrences (the one that is scored is left
-out). The table holds the windows whose hash is in the lowest `share`, and each document's `least` lowest ones; so equal
-texts hold equal windows. By what share the table changes the sum over a document's held windows, it changes that over all its tokens.
-
-A document's score is the (so estimated) sum of its tokens' log-probabilities. Words and windows are told apart by hashes of 64 bits. Frequent
+A document's score is the sum of its tokens' log-probabilities, each given both neighbours. What a text says counts, not how often it
+is in the corpus: a copy adds to the counts of classes and words only, and counts within a class are smoothed. Words are told apart by hashes of 64 bits. Frequent
 ones are looked up where the text is read, a bounded number of them, all others joined, so no join has a hot key.
 """
 
@@ -33,21 +29,16 @@ from .common import batch, cut
 FREQUENT = 95
 CLASSES = 32
 WIDTH = 24
-EPOCHS = 60
-#: Each task holds windows that are at least one of so many windows, and words that are one of ten times as many tokens, so never more than that.
-HELD = 100_000
-#: The windows that are counted: those with the lowest hashes, and of each document the lowest ones.
-SHARE = 1 / 16
-LEAST = 4
-#: The share of a token's probability that comes from its window's other occurrences.
-MIX = 0.5
+EPOCHS = 200
+#: Each task holds the log-probabilities of words that are at least one of so many tokens, so never more than that.
+HELD = 1_000_000
+#: Added to the count of each word of a class, so that a copy of a text with words of its own moves its score by little.
+SMOOTH = 5.0
 _token = re.compile(r"\w+|[^\w\s]")
 _FLUSH = 400_000
 _CHUNK = 200_000
 #: With so few cells a task counts them in an array, else by sorting.
 _DENSE = 1 << 22
-#: The kind of a counted window's rows; those of words have the class of their ending.
-WINDOW = -1
 
 
 def tokens(text: str | None) -> list[str]:
@@ -134,32 +125,11 @@ class Chunk:
         """(left * v + right) * v + token, by class."""
         return (self.beside(self.kind, -1) * v + self.beside(self.kind, 1)) * v + self.kind
 
-    def windows(self, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the windows that are counted."""
-        w = np.zeros(len(self.h), np.uint64)
-        for step in (-2, -1, 1, 2):
-            w = (w ^ self.beside(self.h, step).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            w ^= w >> np.uint64(29)
-        w *= np.uint64(0xBF58476D1CE4E5B9)
-        w ^= w >> np.uint64(32)
-        held = w <= np.uint64(int(share * (2**64 - 1)))
-        ends = np.cumsum(self.lens)
-        for lo, hi in zip(ends - self.lens, ends):
-            if hi > lo:
-                held[lo:hi] |= w[lo:hi] <= (np.partition(w[lo:hi], least - 1)[least - 1] if hi - lo > least else w[lo:hi].max())
-        at = np.flatnonzero(held)
-        return at, w[at].view(np.int64)
-
 
 def ending(w: str, classes: int) -> int:
     return zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % classes
 
 
-def pair_hash(key: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    p = (key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ tok.view(np.uint64)
-    return (p ^ (p >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-
-
 class Sums:
     """Counts of equal rows of integer columns, added up in a bounded memory."""
 
@@ -194,29 +164,24 @@ class Sums:
             self.parts, self.size = [], 0
 
 
-def gather(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(kind, key, tok, n, of): how often each word, and each word in each counted window, occurs in all texts; of: how often the window does.
+def gather(docs: DataFrame, text_col: str = "text", classes: int = CLASSES) -> DataFrame:
+    """(tok, kind, n): how often each word occurs in all texts, by its hash; kind: the class of its ending.
 
-    kind: WINDOW (key: the window's hash, tok: the word's) or, for a word, the class of its ending (key and tok: its hash). Windows that
-    occur once are left out, since nothing is left of them without the occurrence that is scored. Each task adds up what
-    it can hold, so that a row goes to the shuffle about once a task however often it occurs.
+    Each task adds up what it can hold, so that a row goes to the shuffle about once a task however often it occurs.
     """
-    types = {"kind": pa.int32(), "key": pa.int64(), "tok": pa.int64(), "n": pa.int64()}
+    types = {"kind": pa.int32(), "tok": pa.int64(), "n": pa.int64()}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, sums = Lexicon([], classes), Sums(3)
+        lexicon, sums = Lexicon([], classes), Sums(2)
         for b in it:
             for c in lexicon.read(b.column(0).to_pylist()):
-                at, keys = c.windows(share, least)
                 h, kinds, n = c.words()
-                sums.add((kinds - 1).astype(np.int32), h, h, n=n)
-                sums.add(np.full(len(at), WINDOW, np.int32), keys, c.h[at])
+                sums.add((kinds - 1).astype(np.int32), h, n=n)
                 yield from sums.batches(types, 2 * _FLUSH)
         yield from sums.batches(types)
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind int, key long, tok long, n long")
-    counted = rows.repartition("key").groupBy("key", "kind", "tok").agg(F.sum("n").alias("n"))
-    return counted.withColumn("of", F.sum("n").over(Window.partitionBy("key", "kind"))).where(f"kind <> {WINDOW} or of > 1").select("kind", "key", "tok", "n", "of")
+    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind int, tok long, n long")
+    return rows.groupBy("tok", "kind").agg(F.sum("n").alias("n"))
 
 
 def class_counts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
@@ -297,96 +262,56 @@ class Network:
 
 
 class Model:
-    """The network, its lexicon (with the log-probabilities of words that are held) and all words' own log-probabilities within their classes."""
+    """The network, its lexicon (with the log-probabilities of words that are held) and the other words' log-probabilities within their classes."""
 
-    def __init__(self, docs: DataFrame, counts: DataFrame, text_col: str, frequent: int, classes: int, epochs: int, held: int):
-        words = counts.where(f"kind <> {WINDOW}")
-        top = [r.key for r in words.orderBy(F.desc("n"), "key").limit(frequent).collect()]
+    def __init__(self, docs: DataFrame, words: DataFrame, text_col: str, frequent: int, classes: int, epochs: int, held: int):
+        top = [r.tok for r in words.orderBy(F.desc("n"), "tok").limit(frequent).collect()]
         lexicon = Lexicon(top, classes)
         got = class_counts(docs, lexicon, text_col).toArrow()  # at most V^3 rows of 16 bytes
         cells, n = got["cell"].to_numpy(), got["n"].to_numpy()
         self.network = Network(lexicon.size)
         self.network.fit(cells, n, epochs)
-        self.occurs = np.bincount(cells % lexicon.size, n, lexicon.size)
-        total, place = float(self.occurs.sum()), F.create_map(*[F.lit(x) for i, h in enumerate(top) for x in (h, i + 1)]) if top else None
+        occurs = np.bincount(cells % lexicon.size, n, lexicon.size)
         of_ending = F.col("kind") + 1 + len(top)
-        kind = F.coalesce(F.try_element_at(place, F.col("key")), of_ending) if top else of_ending
-        own = F.log(F.col("n") / F.element_at(F.array(*[F.lit(float(x) or 1.0) for x in self.occurs]), kind + 1))
-        self.words = words.select(F.col("key").alias("tok"), F.col("n").alias("times"), own.alias("own"))
-        self.held = self.words.where(F.col("times") * (10.0 * held) >= total)  # at most 10 * `held` rows
-        self.others = self.words.where(F.col("times") * (10.0 * held) < total)
-        known = self.held.select("tok", "own").toArrow().sort_by("tok")
+        kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, h in enumerate(top) for x in (h, i + 1)]), F.col("tok")), of_ending) if top else of_ending
+        different = {r["at"]: r["count"] for r in words.groupBy(kind.alias("at")).count().collect()}  # one row a class
+        whole = F.element_at(F.array(*[F.lit(float(x) + SMOOTH * different.get(i, 0) or 1.0) for i, x in enumerate(occurs)]), kind + 1)
+        own_words, often = words.select("tok", "n", F.log((F.col("n") + SMOOTH) / whole).alias("own")), F.col("n") * float(held) >= float(occurs.sum())
+        known = own_words.where(often).select("tok", "own").toArrow().sort_by("tok")  # at most `held` rows of 16 bytes
         self.lexicon = Lexicon(top, classes, (known["tok"].to_numpy(), known["own"].to_numpy()))
+        self.others = own_words.where(~often).select("tok", "own")
 
 
-def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, epochs: int = EPOCHS, held: int = HELD) -> tuple[Model, DataFrame]:
-    """The model, and the counts of words and windows."""
-    counts = cut(gather(docs, text_col, classes))
-    return Model(docs, counts, text_col, frequent, classes, epochs, held), counts
-
-
-def _correction(n: np.ndarray, of: np.ndarray, log_net: np.ndarray, mix: float) -> np.ndarray:
-    """What a window's other occurrences add to a token's log-probability."""
-    return np.log(1 - mix + mix * (n - 1) / (of - 1) / np.exp(log_net))
+def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, epochs: int = EPOCHS, held: int = HELD) -> Model:
+    return Model(docs, cut(gather(docs, text_col, classes)), text_col, frequent, classes, epochs, held)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, epochs: int = EPOCHS, held: int = HELD) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob) per row of docs, by a model of all of docs.
 
-    Null or empty text, or one without tokens: 0 tokens, log-likelihood 0, mean null. Repeated rows are counted and
-    scored each. A null id stays null. Ties among frequent words go by the word's hash. Empty table: no rows. Other columns
-    are ignored.
+    Null or empty text, or one without tokens: 0 tokens, log-likelihood 0, mean null. A very long text is read whole, in one
+    chunk of its own. Repeated rows are counted and scored each. A null id stays null. Ties among frequent words go by the
+    word's hash. Empty table: no rows. Other columns are ignored.
     """
-    model, counts = train(docs, text_col, frequent, classes, epochs, held)
-    lexicon, network, v = model.lexicon, model.network, model.lexicon.size
-    seen = counts.where(f"kind = {WINDOW}").drop("kind")
-    # a window's words are joined with their own log-probabilities: held ones by broadcast, the rest, none of them frequent, by shuffle
-    near = seen.join(F.broadcast(model.held.select("tok", "own")), "tok", "left")
-    seen = cut(near.where("own is not null").unionByName(near.where("own is null").drop("own").join(model.others.select("tok", "own"), "tok")).select("key", "tok", "n", "of", "own"))
-    n_windows = (seen.agg(F.sum("n")).first()[0] or 0) / held
-    # at most `held` rows: each has one of so many occurrences
-    rows = seen.where(F.col("n") >= n_windows).toArrow()
-    hot = {c: rows[c].to_numpy() for c in ("key", "tok", "n", "of", "own")}
-    order = np.argsort(p := pair_hash(hot["key"], hot["tok"]))
-    hot, hot["pair"], table = {c: x[order] for c, x in hot.items()}, p[order], []
-    types = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "part": pa.float64(), "part_held": pa.float64(), "gain": pa.float64(), "others": pa.list_(pa.int64()), "inside": pa.list_(pa.bool_()), "keys": pa.list_(pa.int64()), "toks": pa.list_(pa.int64()), "logs": pa.list_(pa.float32())}
+    model = train(docs, text_col, frequent, classes, epochs, held)
+    lexicon, network, v, table = model.lexicon, model.network, model.lexicon.size, []
+    types = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "part": pa.float64(), "others": pa.list_(pa.int64())}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not table:
             table.append(network.table())
         for b in it:
-            parts: list[list] = [[] for _ in types]
+            lens, parts, others = [], [], []
             for c in lexicon.read(b.column(1).to_pylist()):
-                docs_in = len(c.lens)
-                of_class = table[0][c.cells(v)].astype(np.float64)
                 strange = np.isnan(c.own)
-                known = of_class + np.where(strange, 0.0, c.own)
-                at, keys = c.windows(SHARE, LEAST)
-                inside = np.zeros(len(c.h), bool)
-                inside[at] = True
-                toks, where = c.h[at], np.searchsorted(hot["pair"], pair_hash(keys, c.h[at]))
-                where = np.minimum(where, max(0, len(hot["pair"]) - 1))
-                is_hot = (hot["key"][where] == keys) & (hot["tok"][where] == toks) if len(hot["pair"]) else np.zeros(len(at), bool)
-                w = where[is_hot]
-                gain = _correction(hot["n"][w], hot["of"][w], of_class[at[is_hot]] + hot["own"][w], MIX)
-                cold = at[~is_hot]
-                lists = lambda places, values: np.split(values, np.cumsum(np.bincount(c.doc[places], minlength=docs_in))[:-1])  # noqa: E731, B023
-                for to, values in zip(parts, (
-                    c.lens, np.bincount(c.doc, known, docs_in), np.bincount(c.doc[at], known[at], docs_in), np.bincount(c.doc[at[is_hot]], gain, docs_in),
-                    lists(np.flatnonzero(strange), c.h[strange]), lists(np.flatnonzero(strange), inside[strange]), lists(cold, keys[~is_hot]), lists(cold, toks[~is_hot]), lists(cold, of_class[cold].astype(np.float32)),
-                )):
-                    to.extend(values)
-            yield batch({"doc_id": b.column(0), **dict(zip(list(types)[1:], parts))}, types)
-
-    read = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, part double, part_held double, gain double, others array<long>, inside array<boolean>, keys array<long>, toks array<long>, logs array<float>")
-    read = cut(read.withColumn("row", F.monotonically_increasing_id()))  # numbered once, in what is written
-    rest = read.select("row", F.explode(F.arrays_zip("others", "inside")).alias("o")).select("row", F.col("o.others").alias("tok"), F.col("o.inside").alias("inside")).join(model.others.select("tok", "own"), "tok")
-    rest = rest.select("row", "own", F.when(F.col("inside"), F.col("own")).otherwise(0.0).alias("own_held"), F.lit(0.0).alias("more"))
-    met = read.select("row", F.explode(F.arrays_zip("keys", "toks", "logs")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.toks").alias("tok"), F.col("w.logs").cast("double").alias("log"))
-    share = (F.col("n") - 1) / (F.col("of") - 1)
-    met = met.join(seen, ["key", "tok"]).select("row", F.lit(0.0).alias("own"), F.lit(0.0).alias("own_held"), F.log(1 - MIX + MIX * share / F.exp(F.col("log") + F.col("own"))).alias("more"))
-    added = rest.unionByName(met).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("own", "own_held", "more")])
-    whole, inside = (F.col(a) + F.coalesce(b, F.lit(0.0)) for a, b in (("part", "own"), ("part_held", "own_held")))
-    factor = F.when(inside < 0, 1 + (F.col("gain") + F.coalesce("more", F.lit(0.0))) / inside).otherwise(1.0)
-    out = read.drop("others", "inside", "keys", "toks", "logs").join(added, "row", "left").withColumn("log_likelihood", whole * F.greatest(factor, F.lit(0.0)))
+                log = table[0][c.cells(v)].astype(np.float64) + np.where(strange, 0.0, c.own)
+                lens.extend(c.lens)
+                parts.extend(np.bincount(c.doc, log, len(c.lens)))
+                others.extend(np.split(c.h[strange], np.cumsum(np.bincount(c.doc[strange], minlength=len(c.lens)))[:-1]))
+            yield batch({"doc_id": b.column(0), "n_tokens": lens, "part": parts, "others": others}, types)
+
+    seen = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, part double, others array<long>")
+    seen = cut(seen.withColumn("row", F.monotonically_increasing_id()))  # numbered once, in what is written
+    rest = seen.select("row", F.explode("others").alias("tok")).join(model.others, "tok").groupBy("row").agg(F.sum("own").alias("own"))
+    out = seen.drop("others").join(rest, "row", "left").withColumn("log_likelihood", F.col("part") + F.coalesce("own", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_likelihood", F.expr("if(n_tokens > 0, log_likelihood / n_tokens, null)").alias("mean_log_prob"))
