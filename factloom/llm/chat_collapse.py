@@ -66,6 +66,6 @@ def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     before, middle, after = template.partition("{role}")[0], template.partition("{role}")[2].partition("{text}")[0], template.partition("{text}")[2]
     piece = F.concat(F.lit(before), F.coalesce("role", F.lit("")), F.lit(middle), F.coalesce("text", F.lit("")), F.lit(after))
     rows = _keyed(turns, conv_col, turn_col, role_col, text_col).select("key", F.struct("turn", "rank", "role", "h", piece.alias("piece")).alias("t"))
-    listed = rows.join(kept, "key").groupBy("key").agg(F.first("conv").alias("conv_id"), F.first("n_turns").alias("n_turns"), F.first("n_snapshots").alias("n_snapshots"), F.array_sort(F.collect_list("t")).alias("list"))
-    once = F.filter("list", lambda t, i: (i == 0) | ~t.eqNullSafe(F.get("list", i - 1)))
-    return listed.select("conv_id", "n_turns", "n_snapshots", F.array_join(F.transform(once, lambda t: t.piece), "").alias("rendered"))
+    # repeats go within each task before the shuffle, so that a turn that many rows have is one row a task
+    listed = rows.groupBy("key").agg(F.array_sort(F.collect_set("t")).alias("list")).join(kept, "key")
+    return listed.select(F.col("conv").alias("conv_id"), "n_turns", "n_snapshots", F.array_join(F.transform("list", lambda t: t.piece), "").alias("rendered"))
