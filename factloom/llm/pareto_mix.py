@@ -29,12 +29,12 @@ RUN = 64
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """docs with __size (words of the whole text), __class (of the size), __u (random in (0, 1), by the id) and __site (its source, null too)."""
+    """docs with __size (words of the whole text), __class (of the size), __u (random in (0, 1), by the id, or the text where that is null) and __site (its source, null too)."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     return docs.withColumns({
         "__size": size,
         "__class": F.length(F.bin(F.greatest(size, F.lit(1)))) - 1,
-        "__u": unit_hash(F.lit(seed), F.col(id_col)),
+        "__u": unit_hash(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string")))),
         "__site": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")),
     })
 
@@ -135,7 +135,7 @@ def mix(rows: DataFrame, sites: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """rows (as made by `sized`) with __source_size, __target and __copies, the number of times the mix takes each.
 
     Null and empty texts have no words and the measure of one word; they are taken as the shortest texts are. A null source is a
-    source of its own and comes last; a null id is ranked as an empty one. Rows of one id and size class have one rank; among
+    source of its own and comes last; rows without an id are ranked by their texts. Rows of one id (or, without one, text) and size class have one rank; among
     them, and among ties, the id (nulls first), then the size decide. Repeated rows are documents of their own. An empty table
     gives no rows. Columns of rows may have any names that do not begin with two underscores.
     """

@@ -99,7 +99,7 @@ FROM v LEFT JOIN low ON vec_id = low.a LEFT JOIN n ON vec_id = n.a""",
     "op5_pareto_mix": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    length(bin(greatest(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0), 1)::BIGINT)) - 1 AS class, (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0 AS u FROM documents
+    length(bin(greatest(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0), 1)::BIGINT)) - 1 AS class, (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, md5(text), '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0 AS u FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (

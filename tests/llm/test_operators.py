@@ -65,7 +65,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_lm_scoring(spark, odd):
     docs = all_of(spark)
-    lexicon = lm_scoring.train(docs, epochs=1)[0].lexicon
+    lexicon = lm_scoring.train(docs, epochs=1).lexicon
     cells = lm_scoring.class_counts(docs, lexicon).toArrow()
     of_word = lambda w: lexicon.kinds[lexicon[w]]
     brute, v = Counter(), lexicon.size
@@ -89,40 +89,34 @@ def test_lm_scores_by_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     hashed, words = lm_scoring.word_hash, [lm_scoring.tokens(t) for t in texts]
     n = Counter(w for ws in words for w in ws)
-    unsigned = lambda x: x % 2**64
-
-    def window(ws, i):
-        w = 0
-        for at in (i - 2, i - 1, i + 1, i + 2):
-            w = (w ^ (unsigned(hashed(ws[at])) if 0 <= at < len(ws) else 0)) * 0x9E3779B97F4A7C15 % 2**64
-            w ^= w >> 29
-        w = w * 0xBF58476D1CE4E5B9 % 2**64
-        return w ^ (w >> 32)
-
-    held, pairs, whole = [], Counter(), Counter()
-    for ws in words:
-        keys = [window(ws, i) for i in range(len(ws))]
-        low = sorted(keys)[: lm_scoring.LEAST][-1] if keys else 0
-        held.append([(i, k) for i, k in enumerate(keys) if k <= max(low, int(lm_scoring.SHARE * (2**64 - 1)))])
-        pairs.update((k, ws[i]) for i, k in held[-1])
-        whole.update(k for _, k in held[-1])
-    for many in (3, 50_000):
-        model, _ = lm_scoring.train(docs, frequent=5, epochs=5, held=many)
+    for many in (30, 500_000):
+        model = lm_scoring.train(docs, frequent=5, epochs=5, held=many)
         lexicon, v = model.lexicon, model.lexicon.size
         kind = {w: lexicon.kinds[lexicon[w]] for w in n}
         of_kind = Counter()
         for w, k in n.items():
-            of_kind[kind[w]] += k
+            of_kind[kind[w]] += k + lm_scoring.SMOOTH
         table, want = model.network.table().reshape(v, v, v), []
-        for ws, windows in zip(words, held):
+        for ws in words:
             ids = [0, *[kind[w] for w in ws], 0]
-            log = [float(table[a, c, b]) + np.log(n[w] / of_kind[kind[w]]) for a, b, c, w in zip(ids, ids[1:], ids[2:], ws)]
-            net = sum(log[i] for i, _ in windows)
-            full = sum(log[i] if whole[k] < 2 else np.log(0.5 * np.exp(log[i]) + 0.5 * (pairs[k, ws[i]] - 1) / (whole[k] - 1)) for i, k in windows)
-            want.append(sum(log) * (full / net if net else 1))
+            want.append(sum(float(table[a, c, b]) + np.log((n[w] + lm_scoring.SMOOTH) / of_kind[kind[w]]) for a, b, c, w in zip(ids, ids[1:], ids[2:], ws)))
         got = {r.doc_id: r for r in lm_scoring.score(docs, frequent=5, epochs=5, held=many).collect()}
         assert all(abs(got[i].log_likelihood - x) < 1e-3 * (1 + abs(x)) and got[i].n_tokens == len(words[i]) for i, x in enumerate(want))
-        assert got[40].mean_log_prob > got[8].mean_log_prob + 2 and got[43].mean_log_prob > got[44].mean_log_prob + 0.3
+        assert got[43].mean_log_prob > got[44].mean_log_prob + 0.3
+
+
+def test_lm_scores_tell_language_from_shuffled_words_and_not_copies(spark):
+    """Held against texts whose words were shuffled: the real text scores above it, whether or not either is in the corpus twice."""
+    base = [r.text for r in read(spark, "/root/testdata/sf0.01", "documents").where("n_chars between 400 and 4000").orderBy("doc_id").limit(700).collect()]
+    rng, mean = np.random.default_rng(3), lambda texts: [r.mean_log_prob for r in lm_scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    mixed = [" ".join(rng.permutation(t.split())) for t in base[:30]]
+    once, twice = mean(base + mixed), mean(base + mixed + base[:15] + mixed[:15])
+    real, odd = np.array(once[:30]), np.array(once[len(base) : len(base) + 30])
+    assert (real > odd).mean() >= 0.9
+    moved = np.abs(np.array(once) - np.array(twice[: len(once)]))
+    assert moved[[*range(15), *range(len(base), len(base) + 15)]].max() < 0.35 and np.median(moved) < 0.05
+    real, odd = np.array(twice[:30]), np.array(twice[len(base) : len(base) + 30])
+    assert (real > odd).mean() >= 0.9
 
 
 def test_license_scan(spark, odd):
@@ -571,3 +565,15 @@ def test_pipeline(spark, tmp_path, odd):
         assert stage(spark, empty(odd), SF).count() == 0
     ran = {name: stage(spark, odd, SF) for name, stage in corpus_pipeline.STAGES if name in ("near_duplicates", "mixing")}
     assert all(out.columns == odd.columns for out in ran.values()) and ran["near_duplicates"].where("doc_id in (6, 7)").count() == 1
+
+
+def test_equal_rows_without_ids_are_ranked_by_text_and_collected_once(spark):
+    """A third of the rows equal: turns without a conversation make one row of the shuffle a task, documents without ids have draws of their own."""
+    n = 100_000
+    turns = spark.range(n).selectExpr("if(id % 3 = 0, null, id) conv_id", "1 turn", "'user' role", "if(id % 3 = 0, 'same', concat('text ', id)) text")
+    got = chat_collapse.render(turns)
+    assert got.count() == n - (n + 2) // 3 + 1 and got.where("conv_id is null").select("rendered").first()[0] == "<|user|>\nsame\n<|end|>\n"
+    docs = spark.range(5_000).selectExpr("cast(null as long) doc_id", "concat('a b c d ', id) text", "'s' source")
+    assert pareto_mix.sized(docs).select("__u").distinct().count() == 5_000
+    got = pareto_mix.taken(docs.union(spark.range(1_000).selectExpr("id", "'x y z'", "'t'"))).toPandas()
+    assert all(abs(g.taken.sum() - target) <= g["size"].max() for target, g in got.groupby("target"))
