@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# How a number is printed, and what stands for none.
 NUMBER = r"-?\d[\d,]*\.?\d*"
 NIL = ("", "not disclosed", "na", "n/a", "nil", "none", "-", "–", "—", "--")
 
@@ -68,6 +69,7 @@ def money_token(s: Column) -> Column:
 
 
 def is_money(s: Column) -> Column:
+    # Fixed value: the form of a money token
     return s.rlike(r"^\(?-?\d{1,3}(,\d{2,3})+(\.\d+)?\)?$|^\(?-?\d+\.\d+\)?$")
 
 

@@ -8,6 +8,7 @@ from . import numbers as N
 
 # Currency and footnote marks that a value may carry.
 MARKS = r"₹|`|(?i:\bRs\.?)|(?i:\bINR\b)|[*#†‡]"
+# Dashes and words that stand for no figure.
 DASHES = ("-", "–", "—", "nil", "Nil", "NIL", "")
 # Definitions that ask for a total.
 TOTAL_WORDS = ("the total", "aggregate figure", "note's total", "total line", "single aggregate")

@@ -180,6 +180,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "whole_payloads": ("doc string, payload string", [
         ("a", '{"unit": "crore", "scope": "standalone", "bs_total_assets": "100", "bs_total_equity_and_liabilities": "100", "pl_total_income": "5", "cf_net_change": ""}'), ("b", "broken"), ("c", None),
         ("d", '{"cf_net_operating": "50", "cf_net_investing": "(20)", "cf_net_financing": "(10)", "cf_net_change": "20"}')]),
+    "parsed_lines": ("doc string, page int, line_no int, label string, ref string, value string", [("a", 1, 3, "Total assets", None, "10"), ("a", 1, 2, "Loans", "4", "3")]),
     "line_answers": ("doc string, payload string", [("a", '[{"label": "unused", "value": "1"}]'), ("e", '[{"label": "Loans", "note_ref": "4", "value": "(5)"}, {"label": "Cash", "value": "7"}]'), ("f", "no JSON"), ("g", None)]),
     "target_payloads": ("doc string, window int, payload string", [
         ("a", 1, '[{"key": "x", "present": true, "value": "10", "evidence": "x (10)"}, {"key": "y", "present": false}]'), ("a", 2, '[{"key": "x", "present": true, "value": "` 12", "evidence": "x 12"}, {"key": "y", "present": true, "value": "3"}]'),

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def _whole(x: str) -> str:
     """A number as a whole one with a comma before its last three digits."""
-    n = f"CAST(floor({x}) AS BIGINT)"
+    x = f"({x})"
+    n = f"CAST(floor{x} AS BIGINT)"
     return f"(CASE WHEN {x} >= 1000 THEN concat(CAST(CAST(floor({x} / 1000) AS BIGINT) AS STRING), ',', lpad(CAST({n} % 1000 AS STRING), 3, '0')) ELSE CAST({n} AS STRING) END)"
 
 
@@ -44,6 +45,22 @@ _HEAD = _pick("doc_id", _HEADS)
 _BOOK, _SHEET = "concat('b', CAST(CAST(floor(l_orderkey / 1000) AS INT) AS STRING))", "CAST(floor(l_orderkey / 10) AS INT)"
 _LINE_Y = "CAST(l_orderkey % 10 * 120 + l_linenumber * 12 AS DOUBLE)"
 
+#: Each line number of an order once, with its largest part and price.
+_LINES_OF_ORDERS = "(SELECT l_orderkey, CAST(l_linenumber AS INT) AS n, max(l_partkey) AS part, max(l_extendedprice) AS price FROM <lineitem> GROUP BY l_orderkey, l_linenumber) l JOIN <orders> ON o_orderkey = l_orderkey"
+_ORDER = "concat('o', CAST(o_orderkey AS STRING))"
+_WINDOW = "`window`"
+
+
+def _whole_answer() -> str:
+    """A model's answer for a whole report, as JSON: each identity holds in some orders only."""
+    figures = {
+        "bs_total_assets": _W, "bs_total_equity_and_liabilities": _whole("o_totalprice + (o_orderkey % 3) * 900"),
+        "pl_profit_before_tax": _whole("o_totalprice / 10"), "pl_tax_total": _whole("o_totalprice / 40"), "pl_profit_for_period": _whole("o_totalprice / 10 - o_totalprice / 40 + (o_orderkey % 4) * 400"),
+        "cf_net_operating": _whole("o_totalprice / 8"), "cf_net_investing": f"concat('(', {_whole('o_totalprice / 16')}, ')')", "cf_net_financing": f"concat('(', {_whole('o_totalprice / 32')}, ')')", "cf_net_change": _whole("o_totalprice / 32 + (o_orderkey % 5) * 500"),
+    }
+    return f"concat('{{\"unit\": \"crore\", \"scope\": \"', {_SCOPE}, '\"', " + ", ".join(f"', \"{k}\": \"', {v}, '\"'" for k, v in figures.items()) + ", '}')"
+
+
 GIVEN: dict[str, str] = {
     "printed": f"SELECT {_ID} AS id, {_PRINTED} AS raw FROM <orders>",
     "seen_cells": f"SELECT {_ID} AS id, {_pick('o_orderkey', ['~' + _W, 'Note 5', 'abc', '', None, f"~concat('(', {_C}, ')')", 'FY24 x9y', '12b', '~o_orderpriority'])} AS cell FROM <orders>",
@@ -111,6 +128,14 @@ GIVEN: dict[str, str] = {
     "page_grids": "SELECT concat('s', CAST(l_suppkey AS STRING)) AS doc, CAST(l_orderkey AS INT) AS page, 1 AS n, array_sort(array_agg(split(concat(l_returnflag, ';', CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), ';', CAST(CAST(l_quantity AS INT) AS STRING)), ';'))) AS grid FROM <lineitem> GROUP BY l_suppkey, l_orderkey",
     "tax_lines": f"SELECT CAST(l_orderkey AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS line_no, concat({_pick('l_linenumber', ['Deferred tax assets ', 'Deferred tax liabilities ', 'Leave ', 'Other ', 'Depreciation and ', 'Gross deferred tax liabilities '])}, {_cents('l_quantity')}, ' ', {_cents('l_quantity + l_linenumber')}) AS line FROM <lineitem>",
     "face_pages": f"SELECT {_COMPANY} AS doc, {_ID} AS page, concat({_pick('o_orderkey', ['Balance Sheet as at 31 March 2026', 'Statement of Profit and Loss for the year ended', 'Notes'])}, chr(10), 'Property, plant and equipment   3   ', {_C}, '   ', {_W}, chr(10), 'Goodwill   10.00   10.00', chr(10), 'TOTAL ASSETS   ', {_cents('o_totalprice + 10')}, '   ', {_cents('floor(o_totalprice) + 10')}, chr(10), 'Equity share capital   7   ', {_C}, '   ', {_W}, chr(10), 'Other equity   8   10.00   10.00', chr(10), 'TOTAL EQUITY AND LIABILITIES   ', {_cents('o_totalprice + 10')}, '   ', {_cents('floor(o_totalprice) + 10')}) AS text FROM <orders>",
+    "section_pages": f"SELECT {_COMPANY} AS doc, {_ID} AS page, CASE WHEN o_orderkey % 13 <> 0 THEN {_SCOPE} END AS scope, {_pick('o_orderkey', ['Balance Sheet', None, None, None, 'Cash flow statement', None])} AS statement, {_pick('o_orderkey', ['crore', None, None, 'lakh', None, None, None])} AS units FROM <orders>",
+    "section_headings": f"SELECT {_COMPANY} AS doc, {_ID} AS page, CAST(n * 30 AS DOUBLE) AS y, concat(CAST(n AS STRING), '. Note of part ', CAST(part AS STRING)) AS heading FROM {_LINES_OF_ORDERS} WHERE part % 3 = 0",
+    "section_tables": f"SELECT {_COMPANY} AS doc, {_ID} AS page, n, CAST(n * 30 + CASE WHEN n % 2 = 0 THEN 0 ELSE 15 END AS DOUBLE) AS y, CASE WHEN part % 11 = 0 THEN 'Profit and loss' END AS own FROM {_LINES_OF_ORDERS}",
+    "whole_payloads": f"SELECT {_ORDER} AS doc, CASE o_orderkey % 9 WHEN 7 THEN 'broken' WHEN 8 THEN NULL ELSE {_whole_answer()} END AS payload FROM <orders>",
+    "target_payloads": f"SELECT {_ORDER} AS doc, n AS {_WINDOW}, CASE WHEN part % 17 = 0 THEN 'no JSON' ELSE concat('[{{\"key\": \"x\", \"present\": true, \"value\": \"` ', {_whole('price')}, '\", \"evidence\": \"x (', {_whole('price')}, ')\"}}, {{\"key\": \"y\", \"present\": ', {_pick('part', ['true', 'false', 'true'])}, ', \"value\": \"', {_cents('price')}, '\"}}]') END AS payload FROM {_LINES_OF_ORDERS}",
+    "category_payloads": f"SELECT {_ORDER} AS doc, CASE o_orderkey % 9 WHEN 8 THEN NULL WHEN 7 THEN 'no JSON' ELSE concat('[{{\"key\": \"bonds\", \"present\": true, \"lines\": [{{\"label\": \"p\", \"value\": \"', {_W}, '\"}}, {{\"label\": \"q\", \"value\": \"(', {_whole('o_totalprice / 4')}, ')\"}}, {{\"label\": \"r\", \"value\": \"x\"}}]}}, {{\"key\": \"ventures\", \"present\": ', {_pick('o_orderkey', ['false', 'true'])}, ', \"lines\": [{{\"label\": \"p\", \"value\": \"', {_C}, '\"}}]}}]') END AS payload FROM <orders>",
+    "line_answers": f"SELECT {_ORDER} AS doc, CASE o_orderkey % 9 WHEN 8 THEN NULL WHEN 7 THEN 'no JSON' ELSE concat('[{{\"label\": \"Loans\", \"note_ref\": \"4\", \"value\": \"(', {_W}, ')\"}}, {{\"label\": \"Cash\", \"value\": \"', {_C}, '\"}}]') END AS payload FROM <orders>",
+    "parsed_lines": f"SELECT {_ORDER} AS doc, {_ID} AS page, n AS line_no, concat('Note of part ', CAST(part AS STRING)) AS label, {_pick('part', [None, '4', '12'])} AS ref, {_cents('price')} AS value FROM {_LINES_OF_ORDERS} WHERE o_orderkey % 3 = 0",
 }
 
 

@@ -43,8 +43,7 @@ def r3_whole_statements(spark, sf_dir):
 
 @query("")
 def r5_face_lines(spark, sf_dir):
-    parsed = spark.createDataFrame([("a", 1, 3, "Total assets", None, "10"), ("a", 1, 2, "Loans", "4", "3")], "doc string, page int, line_no int, label string, ref string, value string")
-    return S.face_lines(parsed, table(spark, "line_answers"))
+    return S.face_lines(table(spark, "parsed_lines"), table(spark, "line_answers"))
 
 
 @query("")
