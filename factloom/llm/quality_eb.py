@@ -1,7 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
 A logistic regression on character and repetition statistics, fitted to labelled documents, gives each document's own
-evidence of quality; a second one, on the words and word stems that mark toxic documents, its evidence of toxicity. Those terms
+evidence of quality; a second one, on the words and word stems that mark toxic documents, its evidence of toxicity. A stem also
+counts apart where a text makes two different words of it: any stem turns up by chance in a long text, but seldom twice. Those terms
 are chosen from all terms of the labelled documents to cover the toxic ones with few, and weighed by their log-odds. The evidence of all documents is added up by host and by path; a Beta prior fitted by moments shrinks each host toward the global
 mean, and each path toward its host, the more the fewer documents it has. A document's quality is its own log-odds
 plus the log-odds by which its path departs from the global mean.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +27,22 @@ KEEP_QUALITY = 0.5
 KEEP_TOXICITY = 0.5
 #: A lexicon word's log-odds, two standard errors below the estimate, is at least so much.
 LEXICON_ODDS = 1.0
-#: Lengths of the stems that count as terms, beside whole words.
+#: Lengths of the stems that count as terms, beside whole words; and of those that count where two different words have them.
 STEMS = (4, 5)
+SHARED = (4, 5, 6, 7, 8)
 _word = re.compile(r"\w+")
 
 
 def terms(text: str | None) -> set[str]:
-    """A text's words, and the stems ("abcd*") of longer ones."""
+    """A text's words, the stems ("abcd*") of longer ones, and the stems ("abcd+") of two or more different longer ones."""
     words = set(_word.findall((text or "").lower()))
-    return words.union(*[{w[:n] + "*" for w in words if len(w) > n} for n in STEMS])
+    found = set(words)
+    for n in SHARED:
+        stems = Counter(w[:n] for w in words if len(w) > n)
+        found.update(s + "+" for s, k in stems.items() if k > 1)
+        if n in STEMS:
+            found.update(s + "*" for s in stems)
+    return found
 
 
 def features(text: str | None) -> np.ndarray:
@@ -97,7 +106,7 @@ def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> d
     wrong: set[int] = set()
     while yes:
         gain = {w: len(d - seen) - 3 * len(no[w] - wrong) for w, d in yes.items()}
-        best = min(gain, key=lambda w: (-gain[w], w.endswith("*"), w))
+        best = min(gain, key=lambda w: (-gain[w], w[-1] in "*+", w))
         if gain[best] < 2:
             break
         chosen[best] = found[best]
@@ -110,9 +119,22 @@ def cover(found: dict[str, float], hits: list[set[str]], toxic: list[bool]) -> d
 class Model:
     def __init__(self, quality: Logistic, toxicity: Logistic, lexicon: dict[str, float]):
         self.quality, self.toxicity, self.lexicon, self.words = quality, toxicity, lexicon, frozenset(lexicon)
+        self.stems: dict[int, set[str]] = {}
+        for w in lexicon:
+            if w[-1] in "*+":
+                self.stems.setdefault(len(w) - 1, set()).add(w[:-1])
+
+    def met(self, text: str | None) -> set[str]:
+        """The terms of a text that are in the lexicon, without making all its terms."""
+        words = set(_word.findall((text or "").lower()))
+        found = words & self.words
+        for n, stems in self.stems.items():
+            k = Counter(w[:n] for w in words if len(w) > n and w[:n] in stems)
+            found |= self.words & {s + "*" for s in k} | self.words & {s + "+" for s in k if k[s] > 1}
+        return found
 
     def hits(self, text: str | None) -> list[float]:
-        found = [self.lexicon[w] for w in self.words & terms(text)]
+        found = [self.lexicon[w] for w in sorted(self.met(text))]
         return [sum(found), max(found, default=0.0)]
 
     def evidence(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +230,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     """`columns` of docs (default: the id) and doc_quality, host_quality, path_quality, quality, toxicity (0 to 1), keep.
 
     Null and empty texts are classified by the statistics of an empty text. A null host or path is a site of its own. Without
-    labels, or with labels of one class, the evidence is even odds and all is kept. Repeated rows are scored each. An empty
+    labels, or with labels of one class, the evidence is even odds and all is kept. Very long texts are read whole, one at a time.
+    Repeated rows are scored each, and alike. A quality just at its threshold keeps a document, a toxicity just at its own rejects it. An empty
     table gives no rows. Columns of docs may have any names; ones named as the new ones are replaced.
     """
     model = fit(docs, labels, text_col, id_col)

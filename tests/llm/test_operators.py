@@ -277,6 +277,20 @@ def test_copies_of_a_toxic_text_leave_room_for_terms_of_others(spark):
     assert "vile*" in model.lexicon
 
 
+def test_stems_that_two_words_share_are_terms_of_their_own(spark):
+    assert quality_eb.terms("Abcde abcdef abcdeg abcdeg xyz") == {"abcde", "abcdef", "abcdeg", "xyz", "abcd*", "abcde*", "abcd+", "abcde+"}
+    assert quality_eb.terms("abcdef abcdef") == {"abcdef", "abcd*", "abcde*"} and quality_eb.terms(None) == quality_eb.terms("") == set()
+    ends = [chr(97 + i) + chr(97 + j) for i in range(10) for j in range(10)]
+    # bad texts have two new words of one stem, and any one such word is in a clean text too
+    texts = [(f"plain text with grobu{ends[2 * i]} and grobu{ends[2 * i + 1]} in it", 1) for i in range(50)] + [(f"plain text and with grobu{e} in it", 0) for e in ends] + [(f"plain text {i}", 0) for i in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    model = quality_eb.fit(docs, spark.createDataFrame([(i, 1 - t, t) for i, (_, t) in enumerate(texts)], "doc_id long, quality int, toxic int"))
+    assert all((model.evidence([t])[1][0] >= 0) == bool(bad) for t, bad in texts)
+    for t in [*[t for t, _ in texts[:60]], None, "", "grobu grobuxx", "GROBUXX grobuyy " * 5000]:
+        assert model.met(t) == set(model.lexicon) & quality_eb.terms(t)
+    assert model.evidence(["GROBUXX grobuyy " * 5000])[1][0] >= 0 > model.evidence(["grobuxx GROBUXX " * 5000])[1][0]
+
+
 def test_mix(spark, odd):
     for docs in (odd, all_of(spark)):
         got = pareto_mix.taken(docs).toPandas()
