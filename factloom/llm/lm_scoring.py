@@ -8,7 +8,8 @@ any partitioning. A word's probability is its class's by the network times its o
 words; these are a distributed table that grows with the corpus.
 
 A document's score is the sum of its tokens' log-probabilities, each given both neighbours. What a text says counts, not how often it
-is in the corpus: a copy adds to the counts of classes and words only, and counts within a class are smoothed. Words are told apart by hashes of 64 bits. Frequent
+is in the corpus: a copy adds to the counts of classes and words only, and counts within a class are smoothed. Texts are parted into words
+once and written as numbers, which counts and scores read. Words are told apart by hashes of 64 bits. Frequent
 ones are looked up where the text is read, a bounded number of them, all others joined, so no join has a hot key.
 """
 
@@ -51,59 +52,55 @@ def word_hash(w: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class Lexicon(dict):
-    """Numbers of the words that a task has met, and by number their hashes, classes and, of known ones, log-probabilities.
+class Words(dict):
+    """Numbers of the words that a task has met, and by number their hashes and the classes of their endings."""
 
-    Class 0 is the boundary, then the frequent words, then classes of endings. It forgets all words when it holds too many.
-    """
-
-    def __init__(self, frequent: list[int], classes: int, held: tuple[np.ndarray, np.ndarray] | None = None):
-        """held: sorted hashes of words, and their log-probabilities."""
+    def __init__(self, classes: int):
         super().__init__()
-        self.frequent, self.classes, self.held = frequent, classes, held or (np.zeros(0, np.int64), np.zeros(0))
-        self.place = {h: i + 1 for i, h in enumerate(frequent)}
-        self.size = 1 + len(frequent) + classes
-        self.hashes, self.kinds, self.known = array("q"), array("q"), array("d")
+        self.classes, self.hashes, self.ends = classes, array("q"), array("h")
 
     def __missing__(self, w: str) -> int:
         self[w] = i = len(self)
-        h = word_hash(w)
-        self.hashes.append(h)
-        self.kinds.append(self.place.get(h) or 1 + len(self.frequent) + ending(w, self.classes))
+        self.hashes.append(word_hash(w))
+        self.ends.append(ending(w, self.classes))
         return i
 
-    def __reduce__(self):
-        return Lexicon, (self.frequent, self.classes, self.held)
-
-    def read(self, texts: list) -> Iterator[Chunk]:
-        """The texts in chunks of a bounded number of tokens (but for one that is longer by itself)."""
-        ids, lens, size = [], [], 0
-        for at, text in enumerate(texts):
-            words = tokens(text)
-            ids.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-            lens.append(len(words))
-            size += len(words)
-            if size > _CHUNK or at == len(texts) - 1:
-                of = np.concatenate(ids)
-                new = np.array(self.hashes[len(self.known) :], np.int64)
-                own = np.full(len(new), np.nan)
-                if len(self.held[0]):
-                    place = np.minimum(np.searchsorted(self.held[0], new), len(self.held[0]) - 1)
-                    own = np.where(self.held[0][place] == new, self.held[1][place], np.nan)
-                self.known.frombytes(own.tobytes())
-                yield Chunk(np.array(lens), of, np.array(self.hashes, np.int64), np.array(self.kinds, np.int64), np.array(self.known, np.float64))
-                ids, lens, size = [], [], 0
-                if len(self) > _FLUSH:
-                    self.clear()
-                    self.hashes, self.kinds, self.known = array("q"), array("q"), array("d")
+
+class Lexicon:
+    """Classes of words, by hash: 0 is the boundary, then the frequent words, then classes of endings; and log-probabilities of held words."""
+
+    def __init__(self, frequent: list[int], classes: int, held: tuple[np.ndarray, np.ndarray] | None = None):
+        """held: sorted hashes of words, and their log-probabilities."""
+        self.classes, self.held = classes, held or (np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(np.array(frequent, np.int64))
+        self.frequent = np.array(frequent, np.int64)[order], order + 1.0
+        self.size = 1 + len(frequent) + classes
+
+    @staticmethod
+    def _found(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        """The table's value of each hash, or NaN."""
+        keys, values = table
+        if not len(keys):
+            return np.full(len(hashes), np.nan)
+        place = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[place] == hashes, values[place], np.nan)
+
+    def kinds(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        place = self._found(self.frequent, hashes)
+        return np.where(np.isnan(place), ends + (self.size - self.classes), place).astype(np.int64)
+
+    def kind(self, w: str) -> int:
+        return int(self.kinds(np.array([word_hash(w)]), np.array([ending(w, self.classes)]))[0])
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        return self._found(self.held, hashes)
 
 
 class Chunk:
-    """The tokens of some texts one after the other: their hashes, classes and known log-probabilities; doc: the text of each."""
+    """The tokens of some texts one after the other, as numbers of the chunk's own words; doc: the text of each."""
 
-    def __init__(self, lens: np.ndarray, ids: np.ndarray, hashes: np.ndarray, kinds: np.ndarray, known: np.ndarray):
-        self.lens, self.ids, self.hashes, self.kinds = lens, ids, hashes, kinds
-        self.h, self.kind, self.own = hashes[ids], kinds[ids], known[ids]
+    def __init__(self, lens: np.ndarray, words: np.ndarray, ends: np.ndarray, ids: np.ndarray):
+        self.lens, self.words, self.ends, self.ids = lens, words, ends, ids
         self.doc = np.repeat(np.arange(len(lens)), lens)
 
     def beside(self, values: np.ndarray, step: int) -> np.ndarray:
@@ -115,15 +112,47 @@ class Chunk:
             out[to] = np.where(self.doc[to] == self.doc[of], values[of], 0)
         return out
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, class, count) of the words."""
-        n = np.bincount(self.ids, minlength=len(self.hashes))
-        some = np.flatnonzero(n)
-        return self.hashes[some], self.kinds[some], n[some]
+    def cells(self, lexicon: Lexicon) -> np.ndarray:
+        """(left * V + right) * V + token, by class."""
+        kind, v = lexicon.kinds(self.words, self.ends)[self.ids], lexicon.size
+        return (self.beside(kind, -1) * v + self.beside(kind, 1)) * v + kind
+
 
-    def cells(self, v: int) -> np.ndarray:
-        """(left * v + right) * v + token, by class."""
-        return (self.beside(self.kind, -1) * v + self.beside(self.kind, 1)) * v + self.kind
+def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
+    """(docs, lens, words, ends, ids): the texts in chunks of a bounded number of tokens (but for a text that is longer by itself).
+
+    docs: their ids; lens: their numbers of tokens; words, ends: hashes of the chunk's different words and classes of their endings; ids:
+    the tokens as places among these words, of two bytes each if these do. So texts are parted into words once, whatever reads them after.
+    """
+    types = {"docs": pa.list_(pa.int64()), "lens": pa.binary(), "words": pa.binary(), "ends": pa.binary(), "ids": pa.binary()}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Words(classes)
+        for b in it:
+            ids, size, first = [], 0, 0
+            for at, text in enumerate(b.column(1).to_pylist()):
+                words = tokens(text)
+                ids.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
+                size += len(words)
+                if size > _CHUNK or at == b.num_rows - 1:
+                    of, met = np.concatenate(ids), np.zeros(len(seen), bool)
+                    met[of] = True
+                    some = np.flatnonzero(met)
+                    own = (np.cumsum(met) - 1)[of].astype(np.uint16 if len(some) <= 1 << 16 else np.uint32)
+                    arrays = np.array([len(x) for x in ids], np.int64), np.array(seen.hashes, np.int64)[some], np.array(seen.ends, np.int16)[some], own
+                    yield batch({"docs": [b.column(0)[first : at + 1].to_pylist()]} | {n: [x.tobytes()] for n, x in zip(("lens", "words", "ends", "ids"), arrays)}, types)
+                    ids, size, first = [], 0, at + 1
+                    if len(seen) > _FLUSH:
+                        seen = Words(classes)
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "docs array<long>, lens binary, words binary, ends binary, ids binary")
+
+
+def chunks(b: pa.RecordBatch) -> Iterator[Chunk]:
+    """Of rows whose last four columns are lens, words, ends and ids."""
+    for lens, words, ends, ids in zip(*b.columns[-4:]):
+        words = np.frombuffer(words.as_buffer(), np.int64)
+        yield Chunk(np.frombuffer(lens.as_buffer(), np.int64), words, np.frombuffer(ends.as_buffer(), np.int16), np.frombuffer(ids.as_buffer(), np.uint16 if len(words) <= 1 << 16 else np.uint32))
 
 
 def ending(w: str, classes: int) -> int:
@@ -164,44 +193,42 @@ class Sums:
             self.parts, self.size = [], 0
 
 
-def gather(docs: DataFrame, text_col: str = "text", classes: int = CLASSES) -> DataFrame:
-    """(tok, kind, n): how often each word occurs in all texts, by its hash; kind: the class of its ending.
+def gather(texts: DataFrame) -> DataFrame:
+    """(tok, kind, n): how often each word occurs in all coded texts, by its hash; kind: the class of its ending.
 
     Each task adds up what it can hold, so that a row goes to the shuffle about once a task however often it occurs.
     """
     types = {"kind": pa.int32(), "tok": pa.int64(), "n": pa.int64()}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, sums = Lexicon([], classes), Sums(2)
+        sums = Sums(2)
         for b in it:
-            for c in lexicon.read(b.column(0).to_pylist()):
-                h, kinds, n = c.words()
-                sums.add((kinds - 1).astype(np.int32), h, n=n)
+            for c in chunks(b):
+                sums.add(c.ends.astype(np.int32), c.words, n=np.bincount(c.ids, minlength=len(c.words)))
                 yield from sums.batches(types, 2 * _FLUSH)
         yield from sums.batches(types)
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind int, tok long, n long")
-    return rows.groupBy("tok", "kind").agg(F.sum("n").alias("n"))
+    return texts.select("lens", "words", "ends", "ids").mapInArrow(run, "kind int, tok long, n long").groupBy("tok", "kind").agg(F.sum("n").alias("n"))
 
 
-def class_counts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """(cell, n): how often each (left, token, right) of classes occurs over all texts; cell = (left * V + right) * V + token."""
+def class_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(cell, n): how often each (left, token, right) of classes occurs over all coded texts; cell = (left * V + right) * V + token."""
     types, v = {"cell": pa.int64(), "n": pa.int64()}, lexicon.size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, small = Sums(1), np.zeros(v**3 if v**3 <= _DENSE else 0, np.int64)
         for b in it:
-            for c in lexicon.read(b.column(0).to_pylist()):
+            for c in chunks(b):
                 if len(small):
-                    small += np.bincount(c.cells(v), minlength=len(small))
+                    small += np.bincount(c.cells(lexicon), minlength=len(small))
                 else:
-                    sums.add(c.cells(v))
+                    sums.add(c.cells(lexicon))
                     yield from sums.batches(types, 2 * _FLUSH)
         some = np.flatnonzero(small)
         sums.add(some, n=small[some])
         yield from sums.batches(types)
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return texts.select("lens", "words", "ends", "ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 class Network:
@@ -264,10 +291,11 @@ class Network:
 class Model:
     """The network, its lexicon (with the log-probabilities of words that are held) and the other words' log-probabilities within their classes."""
 
-    def __init__(self, docs: DataFrame, words: DataFrame, text_col: str, frequent: int, classes: int, epochs: int, held: int):
+    def __init__(self, texts: DataFrame, frequent: int, classes: int, epochs: int, held: int):
+        words = cut(gather(texts))
         top = [r.tok for r in words.orderBy(F.desc("n"), "tok").limit(frequent).collect()]
         lexicon = Lexicon(top, classes)
-        got = class_counts(docs, lexicon, text_col).toArrow()  # at most V^3 rows of 16 bytes
+        got = class_counts(texts, lexicon).toArrow()  # at most V^3 rows of 16 bytes
         cells, n = got["cell"].to_numpy(), got["n"].to_numpy()
         self.network = Network(lexicon.size)
         self.network.fit(cells, n, epochs)
@@ -282,8 +310,9 @@ class Model:
         self.others = own_words.where(~often).select("tok", "own")
 
 
-def train(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, epochs: int = EPOCHS, held: int = HELD) -> Model:
-    return Model(docs, cut(gather(docs, text_col, classes)), text_col, frequent, classes, epochs, held)
+def train(texts: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, epochs: int = EPOCHS, held: int = HELD) -> Model:
+    """Of coded texts, which are read twice."""
+    return Model(texts, frequent, classes, epochs, held)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, classes: int = CLASSES, epochs: int = EPOCHS, held: int = HELD) -> DataFrame:
@@ -293,24 +322,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     chunk of its own. Repeated rows are counted and scored each. A null id stays null. Ties among frequent words go by the
     word's hash. Empty table: no rows. Other columns are ignored.
     """
-    model = train(docs, text_col, frequent, classes, epochs, held)
-    lexicon, network, v, table = model.lexicon, model.network, model.lexicon.size, []
+    texts = cut(coded(docs, id_col, text_col, classes))
+    model = train(texts, frequent, classes, epochs, held)
+    lexicon, network, table = model.lexicon, model.network, []
     types = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "part": pa.float64(), "others": pa.list_(pa.int64())}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not table:
             table.append(network.table())
         for b in it:
-            lens, parts, others = [], [], []
-            for c in lexicon.read(b.column(1).to_pylist()):
-                strange = np.isnan(c.own)
-                log = table[0][c.cells(v)].astype(np.float64) + np.where(strange, 0.0, c.own)
-                lens.extend(c.lens)
-                parts.extend(np.bincount(c.doc, log, len(c.lens)))
-                others.extend(np.split(c.h[strange], np.cumsum(np.bincount(c.doc[strange], minlength=len(c.lens)))[:-1]))
-            yield batch({"doc_id": b.column(0), "n_tokens": lens, "part": parts, "others": others}, types)
-
-    seen = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, part double, others array<long>")
+            for ids, c in zip(b.column(0), chunks(b)):
+                own = lexicon.known(c.words)[c.ids]
+                strange = np.isnan(own)
+                log = table[0][c.cells(lexicon)].astype(np.float64) + np.where(strange, 0.0, own)
+                ends = np.cumsum(np.bincount(c.doc[strange], minlength=len(c.lens)))
+                others = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(c.words[c.ids[strange]]))
+                yield batch({"doc_id": ids.values, "n_tokens": c.lens, "part": np.bincount(c.doc, log, len(c.lens)), "others": others}, types)
+
+    seen = texts.mapInArrow(run, "doc_id long, n_tokens long, part double, others array<long>")
     seen = cut(seen.withColumn("row", F.monotonically_increasing_id()))  # numbered once, in what is written
     rest = seen.select("row", F.explode("others").alias("tok")).join(model.others, "tok").groupBy("row").agg(F.sum("own").alias("own"))
     out = seen.drop("others").join(rest, "row", "left").withColumn("log_likelihood", F.col("part") + F.coalesce("own", F.lit(0.0)))

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -65,9 +66,10 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_lm_scoring(spark, odd):
     docs = all_of(spark)
-    lexicon = lm_scoring.train(docs, epochs=1).lexicon
-    cells = lm_scoring.class_counts(docs, lexicon).toArrow()
-    of_word = lambda w: lexicon.kinds[lexicon[w]]
+    coded = lm_scoring.coded(docs)
+    lexicon = lm_scoring.train(coded, epochs=1).lexicon
+    cells = lm_scoring.class_counts(coded, lexicon).toArrow()
+    of_word = cache(lexicon.kind)
     brute, v = Counter(), lexicon.size
     for r in docs.collect():
         ids = [0, *map(of_word, lm_scoring.tokens(r.text)), 0]
@@ -83,6 +85,14 @@ def test_lm_scoring(spark, odd):
     assert lm_scoring.score(odd, epochs=3).count() == odd.count() and lm_scoring.score(empty(odd), epochs=3).count() == 0
 
 
+def test_texts_are_coded_once_however_many_words_they_have(spark):
+    texts = ["w1 w2 w1", " ".join(f"w{i % 70_000}" for i in range(210_000)), None, "", "w3"]
+    coded = lm_scoring.coded(spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1))
+    assert [list(r.docs) for r in coded.collect()] == [[None, 1], [2, 3, 4]]
+    want = Counter(lm_scoring.word_hash(w) for t in texts for w in lm_scoring.tokens(t))
+    assert {r.tok: r.n for r in lm_scoring.gather(coded).collect()} == want
+
+
 def test_lm_scores_by_brute_force(spark):
     texts = [r.text for r in all_of(spark).limit(40).collect()]
     texts += [texts[3], texts[3], texts[7] + " and more", "the nation of the station", "the nation of the qxzzvtion", None, "a", "station " * 50]
@@ -90,9 +100,9 @@ def test_lm_scores_by_brute_force(spark):
     hashed, words = lm_scoring.word_hash, [lm_scoring.tokens(t) for t in texts]
     n = Counter(w for ws in words for w in ws)
     for many in (30, 500_000):
-        model = lm_scoring.train(docs, frequent=5, epochs=5, held=many)
+        model = lm_scoring.train(lm_scoring.coded(docs), frequent=5, epochs=5, held=many)
         lexicon, v = model.lexicon, model.lexicon.size
-        kind = {w: lexicon.kinds[lexicon[w]] for w in n}
+        kind = {w: lexicon.kind(w) for w in n}
         of_kind = Counter()
         for w, k in n.items():
             of_kind[kind[w]] += k + lm_scoring.SMOOTH
