@@ -40,6 +40,8 @@ _FLUSH = 400_000
 _CHUNK = 200_000
 #: With so few cells a task counts them in an array, else by sorting.
 _DENSE = 1 << 22
+#: Pairs that the fit takes at a time: their products stay in the cache, and are too small for the library to spread over threads that wait.
+_ROWS = 64
 
 
 def tokens(text: str | None) -> list[str]:
@@ -261,25 +263,35 @@ class Network:
         pairs, at = np.unique(pair, return_index=True)
         bounds = np.append(at, len(pair))
         mass = np.add.reduceat(n, at)
-        left, right = np.divmod(pairs, self.v)
+        left, right = np.divmod(pairs, self.v)  # sorted by left
+        by_right = np.argsort(right, kind="stable")
+        (lefts, at_left), (rights, at_right) = np.unique(left, return_index=True), np.unique(right[by_right], return_index=True)
+        blocks = []
+        for lo in range(0, len(pairs), _ROWS):
+            hi = min(lo + _ROWS, len(pairs))
+            span = slice(bounds[lo], bounds[hi])
+            blocks.append((slice(lo, hi), np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])) * self.v + token[span], n[span]))
         m, s, seen = [np.zeros_like(x) for x in self.w], [np.zeros_like(x) for x in self.w], []
         self.w[4] = np.log(np.bincount(token, n, self.v) + 1e-6)
         for epoch in range(1, epochs + 1):
             grads, total = [np.zeros_like(x) for x in self.w], 0.0
-            for lo in range(0, len(pairs), 4096):
-                hi = min(lo + 4096, len(pairs))
-                l, r, span = left[lo:hi], right[lo:hi], slice(bounds[lo], bounds[hi])
-                hidden, lp = self.log_probs(l, r)
-                row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
-                total += float((n[span] * lp[row, token[span]]).sum())
-                g = np.exp(lp) * mass[lo:hi, None]
-                g[row, token[span]] -= n[span]
-                back = (g @ self.w[3].T) * (1 - hidden**2)
-                np.add.at(grads[0], l, back)
-                np.add.at(grads[1], r, back)
-                grads[2] += back.sum(0)
+            hiddens = np.tanh(self.w[0][left] + self.w[1][right] + self.w[2])
+            back = np.empty_like(hiddens)
+            for rows, at, share in blocks:
+                hidden = hiddens[rows]
+                z = hidden @ self.w[3] + self.w[4]
+                z -= z.max(1, keepdims=True)
+                g = np.exp(z)
+                whole = g.sum(1, keepdims=True)
+                total += float(share @ z.ravel()[at]) - float(mass[rows] @ np.log(whole[:, 0]))
+                g *= mass[rows, None] / whole
+                g.ravel()[at] -= share
+                back[rows] = g @ self.w[3].T
                 grads[3] += hidden.T @ g
                 grads[4] += g.sum(0)
+            back *= 1 - hiddens**2
+            grads[0][lefts], grads[1][rights] = np.add.reduceat(back, at_left), np.add.reduceat(back[by_right], at_right)
+            grads[2] += back.sum(0)
             seen.append(total)
             for i, g in enumerate(grads):
                 m[i] = 0.9 * m[i] + 0.1 * g
