@@ -60,7 +60,8 @@ _WORDS = ", ".join(f"('{s}', '{w} standalone')" for s, (_, w) in SECTIONS.items(
   u AS (SELECT *, count(*) OVER (PARTITION BY doc, term) AS df FROM t)
   SELECT query, doc, page, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score FROM u JOIN d USING (doc) JOIN q USING (term) GROUP BY query, doc, page""", "report_pages")
 def t12_section_pages(spark, sf_dir):
-    found = L.bm25(table(spark, "report_pages"), L.section_terms(spark, "standalone"), k=1000)
+    pages = table(spark, "report_pages").withColumn("text", F.coalesce("text", F.lit("")))  # a page without text is one of no terms
+    found = L.bm25(pages, L.section_terms(spark, "standalone"), k=None)
     return found.select("query", "doc", "page", F.round("score", 6).alias("score"))
 
 
