@@ -92,18 +92,23 @@ def accuracy(rows: DataFrame, by: list[str], verdict_col: str) -> DataFrame:
     return rows.groupBy(*by).agg(n.alias("applicable"), good.alias("correct")).withColumn("accuracy_pct", F.when(F.col("applicable") > 0, F.col("correct") * 100.0 / F.col("applicable")).otherwise(0.0))
 
 
-def signs_close(opening: Column, movements: Column, closing: Column, tolerance: float = 0.02) -> Column:
-    """The opening, with each of at most 16 movements added or taken away, is the closing; null movements are left out, more than 16 do not close.
+def signs_close(opening: Column, movements: Column, closing: Column, tolerance: float = 0.02, most: int = 16) -> Column:
+    """The opening, with each of at most `most` movements added or taken away, is the closing; null movements are left out, more do not close.
 
-    The sums of the first half and what the second half leaves of the closing are sorted together (2 times 256 values, not 65,536 sums). The closest two
-    of different sides stand side by side there.
+    The sums of the first half and what the second half leaves of the closing are sorted together (2 times 256 values for 16, not 65,536 sums). The closest two
+    of different sides stand side by side there. Where their distance is the tolerance but for rounding, the sums are made whole and in the order of the
+    movements, so that the answer is that of adding them up one by one; up to 20 movements, beyond which the halves decide.
     """
     moves = F.filter(movements, lambda m: m.isNotNull())
     half = F.floor((F.size(moves) + 1) / 2).cast("int")
     sums = lambda part, at: F.aggregate(part, F.array(at), lambda known, m: F.concat(F.transform(known, lambda x: x + m), F.transform(known, lambda x: x - m)))
     left = F.transform(sums(F.slice(moves, F.lit(1), half), opening.cast("double")), lambda x: F.struct(x.alias("v"), F.lit(0).alias("side")))
     right = F.transform(sums(F.slice(moves, half + 1, F.greatest(F.size(moves) - half, F.lit(0))), closing.cast("double")), lambda x: F.struct(x.alias("v"), F.lit(1).alias("side")))
-    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(-1).alias("side"), F.lit(False).alias("met"))
-    met = lambda s, x: F.struct(x["v"].alias("v"), x["side"].alias("side"), (s["met"] | ((s["side"] >= 0) & (s["side"] != x["side"]) & F.coalesce(x["v"] - s["v"] < tolerance, F.lit(False)))).alias("met"))
-    tried = F.aggregate(F.array_sort(F.concat(left, right)), start, met, lambda s: s["met"])
-    return F.coalesce(F.when(F.size(moves) > 16, False).otherwise(tried), F.lit(False))
+    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(-1).alias("side"), F.lit(None).cast("double").alias("gap"))
+    met = lambda s, x: F.struct(x["v"].alias("v"), x["side"].alias("side"), F.when((s["side"] >= 0) & (s["side"] != x["side"]), F.least(s["gap"], x["v"] - s["v"])).otherwise(s["gap"]).alias("gap"))
+    size = F.abs(opening) + F.abs(closing) + F.aggregate(moves, F.lit(0.0), lambda t, m: t + F.abs(m)) + tolerance
+    in_turn = F.exists(sums(moves, F.lit(0.0)), lambda x: F.abs(opening + x - closing) < tolerance)
+    # of the least gap that the halves leave, one answer, looked at once
+    told = lambda gap: F.when((F.abs(gap - tolerance) <= size * 1e-13) & (F.size(moves) <= 20), in_turn).otherwise(gap < tolerance)
+    gaps = F.when(F.size(moves) <= most, F.array(F.aggregate(F.array_sort(F.concat(left, right)), start, met, lambda s: s["gap"])))
+    return F.coalesce(F.get(F.transform(gaps, told), 0), F.lit(False))
