@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numbers as N, text as T
+from .rounds import unchained
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -71,10 +72,8 @@ def uncaptured(tokens: DataFrame, cells: DataFrame, page: str, token: str, cell:
 
 
 def without_earlier_year(rows: DataFrame, by: list[str], share: float = 0.005, floor: float = 0.02) -> DataFrame:
-    """Rows whose closing is no other row's opening. rows: by, id, opening, closing."""
-    other = rows.select(*by, F.col("id").alias("__id"), F.col("opening").alias("__o"))
-    tolerance = F.greatest(F.abs(F.col("closing")) * share, F.lit(floor))
-    return rows.join(other, [rows[c].eqNullSafe(other[c]) for c in by] + [F.abs(F.col("closing") - F.col("__o")) < tolerance, F.col("id") != F.col("__id")], "left_anti")
+    """Rows whose closing is no other row's opening. rows: by, id, opening, closing. No pairs are made: see rounds.unchained."""
+    return unchained(rows, by, share, floor)
 
 
 def keyword_totals(rows: DataFrame, rules: DataFrame, label: Column, value: Column, ref: Column | None = None, exclude: tuple[str, ...] = (), bound: int = 10_000) -> DataFrame:
