@@ -11,8 +11,9 @@ def forward_fill(df: DataFrame, by: list[str], order: str, signal: Column, initi
 
 
 def backward_fill(df: DataFrame, by: list[str], order: str, signal: Column, name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(name, F.first(signal, ignorenulls=True).over(w))
+    """The next signal from each row on. Rows are taken from the last one up: a frame that ends with the group would be gone through anew for each row."""
+    w = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.last(signal, ignorenulls=True).over(w))
 
 
 def islands(df: DataFrame, by: list[str], order: str, starts: Column, name: str = "island") -> DataFrame:
