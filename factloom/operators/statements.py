@@ -78,8 +78,10 @@ def fullest_window(payloads: DataFrame) -> DataFrame:
     rows = payloads.select("doc", "window", F.inline(F.from_json("payload", TARGETS)))
     there = F.coalesce("present", F.lit(False)) & ~F.coalesce("value", F.lit("")).isin("", "-")
     rows = rows.select("doc", "window", "key", F.when(there, X.hygiene(F.col("value"), F.coalesce("evidence", F.lit("")), F.lit(False))).alias("value"))
-    best = top_k(rows.groupBy("doc", "window").agg(F.count("value").alias("__n")), ["doc"], [F.desc("__n"), F.col("window")], 1, "__r").select("doc", "window")
-    return rows.join(best, ["doc", "window"])
+    # one reading and one shuffle: windows of a document meet by its name
+    counted = rows.where("doc is not null").repartition("doc").withColumn("__n", F.count("value").over(Window.partitionBy("doc", "window")))
+    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col("window").alias("w"))).over(Window.partitionBy("doc"))
+    return counted.withColumn("__b", best).where(F.col("__b.w") == F.col("window")).drop("__n", "__b")
 
 
 def category_values(payloads: DataFrame) -> DataFrame:
