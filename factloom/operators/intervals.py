@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .lineage import last_seen, ranged, same_keys
+from .lineage import cut, last_seen_of_groups, same_keys, spread
 
 #: Scales of 2**0 to 2**SCALES units.
 SCALES = 40
@@ -62,7 +62,8 @@ def _parts(lo: Column, hi: Column) -> Column:
         return F.struct(F.ceil(a / 2).cast("long").alias("a"), F.floor(b / 2).cast("long").alias("b"), F.concat(state["out"], left, right).alias("out"))
 
     start = F.struct(lo.alias("a"), hi.alias("b"), F.array().cast("array<struct<s:int,n:bigint>>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(SCALES)), start, step, lambda state: state["out"])
+    # no part is longer than the whole
+    return F.aggregate(F.sequence(F.lit(0), F.least(F.length(F.bin(hi - lo)), F.lit(SCALES))), start, step, lambda state: state["out"])
 
 
 def _above(parts: Column, top: int, itself: bool) -> Column:
@@ -82,7 +83,7 @@ def nearest_above(items: DataFrame, headings: DataFrame, by: list[str], unit: fl
         a, b = F.round(F.col(lo) / unit).cast("long"), F.round(F.col(hi) / unit).cast("long")
         return df.where(a < b).withColumn("__parts", _parts(a, b))
 
-    their, own = dealt(headings, "hx0", "hx1"), dealt(items, "x0", "x1")
+    their, own = cut(dealt(spread(headings), "hx0", "hx1")), cut(dealt(spread(items), "x0", "x1"))  # both are read three times
     scales = [df.select(F.max(F.array_max(F.transform("__parts", lambda p: p["s"])))).first()[0] for df in (their, own)]
     none = items.select(*by, "item")
     if None in scales:
@@ -99,6 +100,6 @@ def nearest_above(items: DataFrame, headings: DataFrame, by: list[str], unit: fl
             sides.append(at.select(*line, F.col("hy").cast("double").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast(items.schema["item"].dataType).alias("item"), found.alias("f"), F.col("ord").alias("ord")) if df is their else at.select(*line, (F.col("y") + slack).cast("double").alias("at"), F.lit(1).alias("turn"), "item", empty.alias("f"), F.lit(None).cast(headings.schema["ord"].dataType).alias("ord")))
     both = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
     keys, order = [*by, "kind", "s", "n"], ["at", "turn", "ord", "item"]
-    met = last_seen(ranged(both, keys, order), keys, order, F.col("f"), "last").where("turn = 1 and last is not null")
+    met = last_seen_of_groups(both, keys, order, F.col("f"), "last").where("turn = 1 and last is not null")
     best = met.groupBy(*by, "item").agg(F.max_by(F.col("last.heading"), F.struct("last.hy", "last.ord")).alias("heading"))
     return same_keys(none, best, [*by, "item"], "left")
