@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numbers as N, text as T
+from .lineage import cut
 from .rounds import unchained
 
 
@@ -48,14 +49,22 @@ def mutual_nearest(a: DataFrame, b: DataFrame, by: list[str], reach: float) -> D
 
 
 def contained_aliases(aliases: DataFrame, lines: DataFrame, line_keys: list[str], text: str = "line") -> DataFrame:
-    """(alias, line keys): every token of the alias is on the line (relational division on one token equi-join).
+    """(alias, line keys): every token of the alias is on the line.
 
-    An alias or a line that is listed twice gives one match; lines of one key with other texts are lines of their own.
+    An alias or a line that is listed twice gives one match; lines of one key with other texts are lines of their own. Lines of the same tokens are one
+    set, and aliases of the same tokens too. An alias is looked up in the sets by its rarest token alone, so that a word that many lines and aliases have
+    does not bring each with each; then lines take what their set has.
     """
-    wanted = aliases.select("alias").distinct().select("alias", F.explode(T.alias_tokens(F.col("alias"))).alias("token"), F.size(T.alias_tokens(F.col("alias"))).alias("needed"))
-    has = lines.select(*line_keys, F.xxhash64(text).alias("__line"), F.explode(T.alias_tokens(F.col(text))).alias("token"))
-    met = has.join(wanted, "token").groupBy("alias", *line_keys, "__line", "needed").agg(F.count_distinct("token").alias("got")).where("got = needed")
-    return met.select("alias", *line_keys).distinct()
+    seen = lines.select(*line_keys, T.alias_tokens(F.col(text)).alias("__t")).where(F.size("__t") > 0)
+    sets = cut(seen.select("__t").distinct())
+    known = aliases.select("alias", T.alias_tokens(F.col("alias")).alias("__a")).where(F.size("__a") > 0).distinct()
+    tokens = sets.select("__t", F.explode("__t").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    # a token that no set has is the rarest one and finds nothing
+    asked = known.select("__a").distinct().select("__a", F.explode("__a").alias("token")).join(often, "token", "left")
+    rarest = asked.groupBy("__a").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    met = tokens.join(rarest, "token").where(F.size(F.array_except("__a", "__t")) == 0).select("__t", "__a")
+    return seen.distinct().join(met, "__t").join(known, "__a").select("alias", *line_keys).distinct()
 
 
 def table_row(line: Column) -> Column:
