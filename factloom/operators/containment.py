@@ -8,6 +8,10 @@ are dropped before anything is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers as N, text as T
@@ -18,11 +22,14 @@ from .lineage import cut, same_keys
 RUN, DIGITS = 5, 6
 #: Keys of needles that are sent to all tasks at most; more are joined by a shuffle.
 BOUND = 500_000
+#: Keys of texts that a task hands on at a time.
+BATCH = 100_000
 
 
-def runs(text: Column, n: int) -> Column:
-    """All runs of n characters, in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def runs(needle: Column, n: int) -> Column:
+    """All runs of n characters (code points, as in text_keys)."""
+    last = F.length(needle) - n + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(needle, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
 def phrase_keys(needle: Column) -> Column:
@@ -39,33 +46,90 @@ def digit_keys(needle: Column) -> Column:
     return F.array_distinct(F.coalesce(*[F.when(F.least(F.length(needle), F.lit(DIGITS)) == n, F.transform(runs(needle, n), lambda r: F.concat(F.lit(f"{n}:"), r))) for n in range(1, DIGITS + 1)]))
 
 
-def text_keys(text: Column, kinds: list[str]) -> Column:
-    """The keys of a text, of the kinds that needles have: w for whole words, a number for runs of so many characters."""
-    parts = [F.split(text, " ") if k == "w" else runs(text, int(k)) for k in kinds]
-    return F.array_distinct(F.flatten(F.array(*[F.transform(p, lambda x: F.concat(F.lit(f"{k}:"), x)) for k, p in zip(kinds, parts)])))
+def _mixed(characters: list[np.ndarray]) -> np.ndarray:
+    """A number of 20 bits for each run, given the first, second, ... characters of all runs; runs that are equal have equal ones."""
+    h = characters[0]
+    for c in characters[1:]:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c
+    return (h * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(44)
+
+
+def _codes(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def text_keys(kinds: list[str], asked: list[str] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The keys of texts, each once for a text, of the kinds that needles have: w for whole words, a number for runs of so many characters. Batches (keys, text) become (keys, key).
+
+    If the keys that needles have are given, others are left out where they are read: runs by a table of bits first, then by themselves.
+    """
+    known = {k: {a.split(":", 1)[1] for a in asked or [] if a.startswith(f"{k}:")} for k in kinds}
+
+    def of(t: str, bits: dict[str, np.ndarray]) -> list[str]:
+        found, codes = [], None if asked is None else _codes(t)
+        for k in kinds:
+            if k == "w":
+                parts = set(t.split(" "))
+            else:
+                n = int(k)
+                at = range(len(t) - n + 1) if asked is None else np.flatnonzero(bits[k][_mixed([codes[i : len(codes) - n + 1 + i] for i in range(n)])]).tolist() if len(codes) >= n else ()
+                parts = {t[i : i + n] for i in at}
+            found += [f"{k}:{x}" for x in (parts if asked is None else parts & known[k])]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = {k: np.zeros(1 << 20, bool) for k in kinds if k != "w"}
+        for k in bits:
+            if known[k]:
+                bits[k][_mixed(list(_codes("".join(known[k])).reshape(-1, int(k)).T))] = True
+        for batch in batches:
+            at, keys = [], []
+
+            def made(at=at, keys=keys, batch=batch):
+                rows = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([*[c.take(rows) for c in batch.columns[:-1]], pa.array(keys, pa.string())], [*batch.schema.names[:-1], "key"])
+
+            for i, t in enumerate(batch.column(batch.num_columns - 1)):
+                if t.is_valid and (found := of(t.as_py(), bits)):
+                    at += [i] * len(found)
+                    keys += found
+                if len(keys) >= BATCH:
+                    yield made()
+                    at.clear(), keys.clear()
+            yield made()
+
+    return run
 
 
 def candidates(needles: DataFrame, texts: DataFrame, keys: list[str], needle_keys: Column, text: str = "text") -> DataFrame:
     """(needle, keys): texts that hold the needle's rarest key, of equally rare ones the first. A needle with a key that no text holds has none.
 
-    needles: needle, each once. How many kinds of keys there are is looked up (six at most); nothing else reaches the driver.
+    needles: needle, each once. How many kinds of keys there are is looked up (six at most); up to BOUND keys are sent to all tasks, nothing else reaches the driver.
     """
     wanted = cut(needles.select("needle", F.explode(needle_keys).alias("key")))
     asked = wanted.select("key").distinct()
     kinds = sorted(r[0] for r in wanted.select(F.split("key", ":")[0]).distinct().collect())
     if not kinds:
         return texts.where("false").select(F.lit("").alias("needle"), *keys)
-    asked = F.broadcast(asked) if asked.count() <= BOUND else asked
-    held = cut(texts.select(*keys, F.explode(text_keys(F.col(text), kinds)).alias("key")).join(asked, "key"))
+    read = texts.select(*keys, F.col(text).alias("key"))
+    if asked.count() <= BOUND:
+        held = cut(read.mapInArrow(text_keys(kinds, [r[0] for r in asked.collect()]), read.schema))
+    else:
+        held = cut(read.mapInArrow(text_keys(kinds), read.schema).join(asked, "key"))
     found = wanted.join(held.groupBy("key").agg(F.count("*").alias("n")), "key", "left")
     # a key of no text counts as none, so it is the rarest one and finds nothing
     rarest = found.groupBy("needle").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    rarest = F.broadcast(rarest) if needles.count() <= BOUND else rarest
     return held.join(rarest, "key").select("needle", *keys).distinct()
 
 
 def contained(needles: DataFrame, texts: DataFrame, keys: list[str], needle_keys: Column, text: str = "text") -> DataFrame:
     """(needle, and the columns of texts but the text): every text that a needle stands in. Keys of texts may be null or repeat; a repeated row is found once for each."""
-    found = candidates(needles, texts, keys, needle_keys, text)
+    return searched(candidates(needles, texts, keys, needle_keys, text), texts, keys, text)
+
+
+def searched(found: DataFrame, texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Of candidates those that stand in their text, as contained gives them."""
     met = same_keys(texts, found, keys).where(F.col(text).contains(F.col("needle")))
     return met.select("needle", *[c for c in texts.columns if c != text])
 
