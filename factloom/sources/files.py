@@ -35,10 +35,13 @@ def markdown_rows(lines: DataFrame, by: list[str], order: str = "line_no", text:
     starts = (F.col("__row") & ~F.coalesce(F.lag("__row").over(w), F.lit(False))).cast("int")
     out = out.withColumn("__s", starts).withColumn("table_no", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cells = F.transform(F.split(F.regexp_replace(t, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(F.regexp_replace(F.trim(c), r"^\*+|\*+$", "")))
-    out = out.where("__row").withColumn("cells", cells).where(F.exists("cells", lambda c: ~c.rlike("^[-: ]*$")))
-    table = Window.partitionBy(*by, "table_no")
-    first = F.first(F.size("cells")).over(table.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return out.withColumn("__n", F.count("*").over(table)).withColumn("__w", first).where("__n >= 2 and __w >= 2").select(*by, order, "heading", "table_no", "cells")
+    out = out.where("__row").select(*by, order, "heading", "table_no", cells.alias("cells")).where(F.exists("cells", lambda c: ~c.rlike("^[-: ]*$")))
+    # a page's rows are still in order, and a table's follow one another: its first row and whether it has another are told by their neighbours, without a second sort
+    before, after = F.lag("table_no").over(w), F.lead("table_no").over(w)
+    out = out.withColumn("__before", before).withColumn("__after", after)
+    first = F.last(F.when(~F.col("__before").eqNullSafe(F.col("table_no")), F.size("cells")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("__w", first)
+    return out.where("(__before = table_no or __after = table_no) and __w >= 2").select(*by, order, "heading", "table_no", "cells")
 
 
 def write_wide(facts: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
