@@ -16,7 +16,7 @@ def _log(c: Column) -> Column:
 
 
 def _bin(x: Column, scale: Column) -> Column:
-    return F.floor(x / F.pow(F.lit(2.0), scale.cast("double"))).cast("long")
+    return F.call_function("shiftright", x, scale)  # of whole numbers, rounds down below zero too
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: list[str], unit: float = 1.0) -> DataFrame:
@@ -26,23 +26,29 @@ def overlapping(a: DataFrame, b: DataFrame, by: list[str], unit: float = 1.0) ->
     scale, so each is dealt to at most two bins for each scale that the other side has. Of bins that a pair shares only the first counts. Ends are
     taken as whole numbers of units; intervals with a null end or without length meet nothing.
     """
-    def cells(df: DataFrame, start: str, end: str, side: str) -> DataFrame:
-        lo, hi = F.round(F.col(start) / unit).cast("long"), F.round(F.col(end) / unit).cast("long")
-        return df.withColumns({f"__{side}0": lo, f"__{side}1": hi}).where(F.col(f"__{side}0") < F.col(f"__{side}1")).withColumn(f"__{side}s", _log(F.col(f"__{side}1") - F.col(f"__{side}0")))
+    whole = lambda c: F.round(F.col(c) / unit).cast("long")
+    length = lambda side: whole(f"{side}1") - whole(f"{side}0")
+    own = lambda side: F.col(f"__{side}s")
 
     def at(df: DataFrame, side: str, scales: Column) -> DataFrame:
-        out = df.withColumn("__scale", F.explode(scales))
-        first, last = _bin(F.col(f"__{side}0"), F.col("__scale")), _bin(F.col(f"__{side}1") - 1, F.col("__scale"))
-        return out.withColumn(f"__{side}f", first).withColumn("__bin", F.explode(F.sequence(first, last)))
-
-    left, right = cells(a, "a0", "a1", "a"), cells(b, "b0", "b1", "b")
-    known = {side: sorted(r[0] for r in df.select(f"__{side}s").distinct().collect()) for side, df in (("a", left), ("b", right))}
-    own = lambda side: F.array(F.col(f"__{side}s"))
-    longer = lambda side, other, equal: F.filter(F.lit(known[other]), lambda s: (s >= F.col(f"__{side}s")) if equal else (s > F.col(f"__{side}s")))
+        """Only the interval's own columns and its bin are shuffled; what follows from them is worked out again where they meet."""
+        out = df.withColumn("__scale", F.explode(scales)).drop(f"__{side}s")
+        first, last = _bin(whole(f"{side}0"), F.col("__scale")), _bin(whole(f"{side}1") - 1, F.col("__scale"))
+        return out.withColumn("__bin", F.explode(F.sequence(first, last)))
+
+    left, right = (df.where(length(side) > 0).withColumn(f"__{side}s", _log(length(side))) for side, df in (("a", a), ("b", b)))
+    known = {side: sorted(r[0] for r in df.select(own(side)).distinct().collect()) for side, df in (("a", left), ("b", right))}
     if not known["a"] or not known["b"]:
         return same_keys(a, b, by).where("false")
-    met = [(at(left, "a", longer("a", "b", True)), at(right, "b", own("b"))), (at(left, "a", own("a")), at(right, "b", longer("b", "a", False)))]
-    pairs = [same_keys(x, y, [*by, "__scale", "__bin"]).where("__bin = greatest(__af, __bf) and __a0 < __b1 and __b0 < __a1") for x, y in met]
+    itself = lambda side, met: F.when(met, F.array(own(side))).otherwise(F.array().cast("array<int>"))
+    longer = lambda side, other, equal: F.filter(F.lit(known[other]), lambda s: (s >= own(side)) if equal else (s > own(side)))
+    met = [  # b is at least as long as a, or a is longer; an interval that has no such other is not dealt
+        (at(left, "a", longer("a", "b", True)), at(right, "b", itself("b", own("b") >= known["a"][0]))),
+        (at(left, "a", itself("a", own("a") > known["b"][0])), at(right, "b", longer("b", "a", False))),
+    ]
+    first = F.greatest(_bin(whole("a0"), F.col("__scale")), _bin(whole("b0"), F.col("__scale")))
+    meets = (F.col("__bin") == first) & (whole("a0") < whole("b1")) & (whole("b0") < whole("a1"))
+    pairs = [same_keys(x, y, [*by, "__scale", "__bin"]).where(meets) for x, y in met]
     return pairs[0].unionByName(pairs[1]).select(*a.columns, *[c for c in b.columns if c not in by])
 
 
