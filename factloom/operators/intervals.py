@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .lineage import cut, last_seen_of_groups, same_keys, spread
 
 #: Scales of 2**0 to 2**SCALES units.
 SCALES = 40
+#: Rows that are swept at a time, and rows of a group up to which it is one task's to sweep.
+SWEPT, FEW = 1 << 16, 50_000
 
 
 def _log(c: Column) -> Column:
@@ -78,12 +84,88 @@ def _above(parts: Column, top: int, itself: bool) -> Column:
     return F.array_distinct(F.flatten(up))
 
 
+def _swept(by: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (by, at, turn, ord, a, b, item, heading) in the order of by, at, turn and ord as (by, item, heading), whole groups at a time.
+
+    A heading (turn 0) paints its places over what was painted before; the last one over an item's places is the nearest that overlaps it.
+    """
+    def sweep(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        lo, hi, turn = (t.column(c).fill_null(0).to_numpy() for c in ("a", "b", "turn"))
+        met = (t.column("a").is_valid().to_numpy() & t.column("b").is_valid().to_numpy() & t.column("at").is_valid().to_numpy()) & (lo < hi)
+        x, g = np.concatenate([lo, hi]), np.concatenate([group, group])
+        order = np.lexsort((x, g))  # a group's ends are places of its own
+        place = np.empty(len(x), np.int64)
+        place[order] = np.cumsum(np.r_[False, (np.diff(g[order]) != 0) | (np.diff(x[order]) != 0)])
+        painted, best = np.full(len(x) + 1, -1, np.int32), np.full(len(lo), -1, np.int64)
+        rows = np.flatnonzero(met)
+        for i, first, last, own in zip(rows.tolist(), place[rows].tolist(), place[rows + len(lo)].tolist(), turn[rows].tolist()):
+            if own:
+                best[i] = painted[first:last].max()
+            else:
+                painted[first:last] = i
+        items = np.flatnonzero(turn == 1)
+        # an item's repeats are one row; of its headings the last in order is the nearest
+        once = pa.table({"g": group[items], "item": t.column("item").take(pa.array(items)), "row": items, "best": best[items]}).group_by(["g", "item"]).aggregate([("row", "min"), ("best", "max")])
+        row, found = once.column("row_min"), once.column("best_max").to_numpy()
+        heading = t.column("heading").take(pa.array(found, mask=found < 0))
+        return pa.Table.from_arrays([*[t.column(c).take(row) for c in (*by, "item")], heading], [*by, "item", "heading"]).combine_chunks().to_batches()
+
+    def groups(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        for c in by:
+            codes = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = pa.concat_arrays([x.indices for x in codes.chunks]) if isinstance(codes, pa.ChunkedArray) else codes.indices
+            new[1:] |= np.diff(codes.to_numpy()) != 0
+        return np.cumsum(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, want = [], 0, SWEPT
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < want:
+                continue
+            t = pa.Table.from_batches(held)
+            group = groups(t)
+            end = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if end:
+                yield from sweep(t.slice(0, end), group[:end])
+            held, n = t.slice(end).to_batches(), len(t) - end
+            want = max(SWEPT, 2 * n)
+        if n:
+            t = pa.Table.from_batches(held)
+            yield from sweep(t, groups(t))
+
+    return run
+
+
 def nearest_above(items: DataFrame, headings: DataFrame, by: list[str], unit: float = 1.0, slack: float = 0.0) -> DataFrame:
     """(by, item, heading): each item with the nearest heading not below it (by more than slack) that overlaps it in x; of equally near ones the greatest ord.
 
-    items: by, item (each once), y, x0, x1; headings: by, ord, hy, hx0, hx1, heading. Two intervals overlap where a binary part of one is part of one of the other's. So
+    items: by, item, y, x0, x1; headings: by, ord, hy, hx0, hx1, heading. An item's repeats are one row. Rows are shuffled once, each as it is, and a task
+    sweeps its groups from above; only groups of more than FEW rows are dealt by binary parts. x is taken in whole units.
+    """
+    whole = lambda c: F.round(F.col(c) / unit).cast("long")
+    lines = [
+        headings.select(*by, F.col("hy").cast("double").alias("at"), F.lit(0).alias("turn"), "ord", whole("hx0").alias("a"), whole("hx1").alias("b"), F.lit(None).cast(items.schema["item"].dataType).alias("item"), "heading"),
+        items.select(*by, (F.col("y") + slack).cast("double").alias("at"), F.lit(1).alias("turn"), F.lit(None).cast(headings.schema["ord"].dataType).alias("ord"), whole("x0").alias("a"), whole("x1").alias("b"), "item", F.lit(None).cast(headings.schema["heading"].dataType).alias("heading")),
+    ]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*[items.schema[c] for c in by], items.schema["item"], headings.schema["heading"]])
+    swept = lambda rows: rows.repartition(*by).sortWithinPartitions(*by, "at", "turn", "ord").mapInArrow(_swept(by), kinds)
+    named = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    both = lines[0].unionByName(lines[1])
+    large = cut(both.groupBy(*named).agg(F.count("*").alias("__n")).where(F.col("__n") > FEW).drop("__n"))
+    if large.isEmpty():
+        return swept(both)
+    few = F.broadcast(large)
+    held = lambda df, how: df.join(few, [df[c].eqNullSafe(large[f"__g{i}"]) for i, c in enumerate(by)], how)
+    return swept(held(both, "left_anti")).unionByName(_nearest_by_parts(held(items, "left_semi"), held(headings, "left_semi"), by, unit, slack))
+
+
+def _nearest_by_parts(items: DataFrame, headings: DataFrame, by: list[str], unit: float, slack: float) -> DataFrame:
+    """As nearest_above, for groups of any size. Two intervals overlap where a binary part of one is part of one of the other's. So
     under every part the headings and items of one side by side are put in the order of y, and each item takes the last heading seen; pairs are
-    never made, and an interval is dealt to at most the square of the logarithm of its width. x is taken in whole units.
+    never made, and an interval is dealt to at most the square of the logarithm of its width.
     """
     def dealt(df: DataFrame, lo: str, hi: str) -> DataFrame:
         a, b = F.round(F.col(lo) / unit).cast("long"), F.round(F.col(hi) / unit).cast("long")
@@ -91,7 +173,7 @@ def nearest_above(items: DataFrame, headings: DataFrame, by: list[str], unit: fl
 
     their, own = cut(dealt(spread(headings), "hx0", "hx1")), cut(dealt(spread(items), "x0", "x1"))  # both are read three times
     scales = [df.select(F.max(F.array_max(F.transform("__parts", lambda p: p["s"])))).first()[0] for df in (their, own)]
-    none = items.select(*by, "item")
+    none = items.select(*by, "item").distinct()
     if None in scales:
         return none.withColumn("heading", F.lit(None).cast(headings.schema["heading"].dataType))
     top = max(scales)
